@@ -21,11 +21,13 @@ def strip(value: Column) -> Column:
 
 def zero_fill(value: Column, width: int) -> Column:
     """Left-pad with zeros behind a leading sign, never cutting the text."""
-    signed = value.rlike("^[+-]")
-    body = F.when(signed, F.substring(value, 2, 1 << 20)).otherwise(value)
-    sign = F.when(signed, F.substring(value, 1, 1)).otherwise(F.lit(""))
-    missing = F.greatest(F.lit(width) - F.length(value), F.lit(0))
-    return F.concat(sign, F.repeat(F.lit("0"), missing), body)
+    sign = F.substring(value, 1, 1)
+    signed = F.concat(sign, F.lpad(F.substring(value, 2, width), width - 1, "0"))
+    return (
+        F.when(F.length(value) >= width, value)
+        .when(sign.isin("+", "-"), signed)
+        .otherwise(F.lpad(value, width, "0"))
+    )
 
 
 def item6(value: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.keys import item6
+from ledgerloom.session import stage
 from ledgerloom.sources.catalog import Collections
 
 DEFAULT_LIMIT = 10
@@ -121,21 +122,24 @@ def orders_without_downstream(tables: Collections) -> DataFrame:
     return flags.filter(F.col("header") & (F.col("open") | ~F.col("items"))).select("salesorder")
 
 
-def _buckets(tables: Collections) -> list[tuple[str, DataFrame]]:
-    found = (delivered_not_billed(tables), billed_without_delivery(tables), orders_without_downstream(tables))
-    return [(name, ids.toDF("document")) for name, ids in zip(BUCKETS, found)]
-
-
 def broken_flows(tables: Collections) -> DataFrame:
     """``(bucket, document)`` of all broken flows."""
-    parts = [ids.select(F.lit(name).alias("bucket"), "document") for name, ids in _buckets(tables)]
+    found = (delivered_not_billed(tables), billed_without_delivery(tables), orders_without_downstream(tables))
+    parts = [
+        ids.toDF("document").select(F.lit(name).alias("bucket"), "document") for name, ids in zip(BUCKETS, found)
+    ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def broken_flow_summary(tables: Collections, sample: int = SAMPLE_SIZE) -> DataFrame:
-    """``(bucket, count, sample_ids)``: the sample is the first ids in ascending order."""
+    """``(bucket, count, sample_ids)``: the sample is the first ids in ascending order.
+
+    The documents are staged by bucket, since count and sample both read them.
+    """
+    found = stage(broken_flows(tables), "broken-flows", partition_by="bucket")
     parts = []
-    for name, ids in _buckets(tables):
+    for name in BUCKETS:
+        ids = found.filter(F.col("bucket") == name)
         first = ids.orderBy(F.asc_nulls_last("document")).limit(sample)
         listed = first.agg(F.array_sort(F.collect_list("document")).alias("ids"))
         parts.append(

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.graph_build import EDGE_COLUMNS, EDGE_ENDS, NODE_COLUMNS
+from ledgerloom.session import stage
 
 MAX_DEPTH = 2
 SAMPLE_SIZE = 5
@@ -88,28 +89,27 @@ def _other_end() -> Column:
     return F.when(F.col("source_id") == F.col("node_id"), F.col("target_id")).otherwise(F.col("source_id"))
 
 
-def _check_depth(depth: int) -> int:
-    return max(1, min(depth, MAX_DEPTH))
+def _seeds(nodes: DataFrame, seeds: DataFrame | None) -> DataFrame:
+    known = nodes.select(F.col("node_id").alias("seed_id"))
+    return known if seeds is None else known.join(seeds.select("seed_id"), "seed_id", "left_semi")
 
 
 def _reached(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """``(seed_id, node_id)`` of all ids within ``depth`` hops, the seed included.
 
-    Ids without a node row are reached and passed through like any other.
+    Ids without a node row are reached and passed through like any other. Before
+    a second hop the first is staged: it is used twice, and as a file its true
+    size decides whether the next join needs to shuffle the edges.
     """
-    frontier = seeds.select("seed_id", F.col("seed_id").alias("node_id"))
-    reached = frontier
+    reached = seeds.select("seed_id", F.col("seed_id").alias("node_id"))
     for hop in range(depth):
+        frontier = reached
         if hop:
-            frontier = frontier.filter(F.col("node_id") != F.col("seed_id")).distinct()
-        frontier = frontier.join(_adjacency(edges), "node_id").select("seed_id", _other_end().alias("node_id"))
-        reached = reached.unionByName(frontier)
-    return reached.distinct()
-
-
-def _seeds(nodes: DataFrame, seeds: DataFrame | None) -> DataFrame:
-    known = nodes.select(F.col("node_id").alias("seed_id"))
-    return known if seeds is None else known.join(seeds.select("seed_id"), "seed_id", "left_semi")
+            reached = stage(reached, "frontier")
+            frontier = reached.filter(F.col("node_id") != F.col("seed_id"))
+        step = frontier.join(_adjacency(edges), "node_id").select("seed_id", _other_end().alias("node_id"))
+        reached = reached.unionByName(step).distinct()
+    return reached
 
 
 def subgraph_nodes(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None, depth: int = 2) -> DataFrame:
@@ -119,17 +119,23 @@ def subgraph_nodes(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None,
     is one; at depth 2 that relates all neighbours of a hub to each other, so
     name the seeds there.
     """
-    reached = _reached(_seeds(nodes, seeds), edges, _check_depth(depth))
+    reached = _reached(_seeds(nodes, seeds), edges, clamp_depth(depth))
     return reached.join(nodes, "node_id").select("seed_id", *NODE_COLUMNS)
 
 
 def subgraph_edges(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None, depth: int = 2) -> DataFrame:
     """Edges with at least one end closer than ``depth`` hops to the seed."""
-    inner = _reached(_seeds(nodes, seeds), edges, _check_depth(depth) - 1)
+    inner = _reached(_seeds(nodes, seeds), edges, clamp_depth(depth) - 1)
+    if depth > 1:
+        inner = stage(inner, "frontier")
     touching = inner.join(_adjacency(edges, "edge_id", "edge_type", "metadata_json"), "node_id")
     return touching.select("seed_id", *EDGE_COLUMNS).distinct()
 
 
+def clamp_depth(depth: int) -> int:
+    return max(1, min(depth, MAX_DEPTH))
+
+
 def type_counts(rows: DataFrame, type_column: str) -> DataFrame:
     """Rows per type; sort by count, descending, for a report."""
     return rows.groupBy(type_column).agg(F.count("*").alias("count"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.keys import strip
 from ledgerloom.operators import flows
 from ledgerloom.operators.trace import DOCUMENT, Trace, trace_facts
+from ledgerloom.session import stage
 from ledgerloom.sources.catalog import Collections
 
 # Domain words, matched against whole words of a prompt.
@@ -203,6 +204,11 @@ def _flow_facts(tables: Collections) -> DataFrame:
     )
 
 
+def _asked_documents(routed: DataFrame) -> DataFrame:
+    """Document ids to trace, staged: a trace uses them several times, the prompts are read once."""
+    return stage(routed.filter(F.col(DOCUMENT).isNotNull()).select(DOCUMENT).distinct(), "asked")
+
+
 def _lines(*lines: Column) -> Column:
     return F.concat_ws("\n", *lines)
 
@@ -223,8 +229,7 @@ def answer(prompts: DataFrame, tables: Collections) -> DataFrame:
     entries. The ids of a trace are in :func:`trace_references`.
     """
     routed = route(prompts)
-    asked = routed.filter(F.col(DOCUMENT).isNotNull()).select(DOCUMENT).distinct()
-    facts = trace_facts(tables, asked)
+    facts = trace_facts(tables, _asked_documents(routed))
     joined = (
         routed.join(facts, DOCUMENT, "left")
         .join(_ranking_facts(tables), "intent", "left")
@@ -302,8 +307,7 @@ def answer(prompts: DataFrame, tables: Collections) -> DataFrame:
 
 def trace_references(prompts: DataFrame, tables: Collections) -> DataFrame:
     """``(billing_document_id, kind, ref_id)`` of the nodes and edges trace answers refer to."""
-    asked = route(prompts).filter(F.col(DOCUMENT).isNotNull()).select(DOCUMENT).distinct()
-    trace = Trace(tables, asked)
+    trace = Trace(tables, _asked_documents(route(prompts)))
     nodes = trace.nodes().select(DOCUMENT, F.lit("node").alias("kind"), F.col("node_id").alias("ref_id"))
     edges = trace.edges().select(DOCUMENT, F.lit("edge").alias("kind"), F.col("edge_id").alias("ref_id"))
     return nodes.unionByName(edges)

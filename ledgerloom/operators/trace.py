@@ -6,13 +6,15 @@ behind those. Delivery nodes come from the reference of the billing item and
 need no delivery; sales order nodes need a matching delivery item. So only the
 sales order part joins items, and an inner join is enough.
 
-Where one id has several spellings, the row of the first billing item counts.
+Ids determine everything about an edge and most nodes, so plain DISTINCT removes
+repeats. Only item nodes carry the item number as it is spelled; where one id
+has several spellings, that of the first billing item counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
+from functools import cached_property, reduce
 from types import SimpleNamespace
 
 from pyspark.sql import Column, DataFrame
@@ -24,19 +26,20 @@ from ledgerloom.operators.graph_build import join_id
 from ledgerloom.sources.catalog import Collections
 
 DOCUMENT = "billing_document_id"
-NODE_FIELDS = ("node_type", "label", "metadata_json")
-EDGE_FIELDS = ("source_id", "target_id", "edge_type")
+NODE_FIELDS = ("node_id", "node_type", "label", "metadata_json")
 
 
-def documents(tables: Collections, ids: DataFrame | None = None) -> DataFrame:
-    """Headers to trace, one per document; ``ids(billing_document_id)`` limits them."""
+def _known(tables: Collections, ids: DataFrame | None) -> DataFrame:
     headers = tables["billing_document_headers"].select(
         F.col("billingdocument").alias(DOCUMENT), "accountingdocument", "soldtoparty"
     )
     headers = headers.filter(F.col(DOCUMENT).isNotNull())
-    if ids is not None:
-        headers = headers.join(ids.select(DOCUMENT), DOCUMENT, "left_semi")
-    first = headers.groupBy(DOCUMENT).agg(F.min(F.struct("accountingdocument", "soldtoparty")).alias("header"))
+    return headers if ids is None else headers.join(ids.select(DOCUMENT), DOCUMENT, "left_semi")
+
+
+def documents(tables: Collections, ids: DataFrame | None = None) -> DataFrame:
+    """Headers to trace, one per document; ``ids(billing_document_id)`` limits them."""
+    first = _known(tables, ids).groupBy(DOCUMENT).agg(F.min(F.struct("accountingdocument", "soldtoparty")).alias("header"))
     return first.select(DOCUMENT, "header.*")
 
 
@@ -46,36 +49,12 @@ def unknown_documents(tables: Collections, ids: DataFrame) -> DataFrame:
     return ids.select(DOCUMENT).distinct().join(known, DOCUMENT, "left_anti")
 
 
-def _node(node_id: Column, node_type: str, label: Column, metadata: Mapping[str, str]) -> Column:
-    members = {member: F.col(column) for member, column in metadata.items()}
-    return F.struct(
-        node_id.alias("node_id"),
-        F.lit(node_type).alias("node_type"),
-        label.alias("label"),
-        to_metadata(members).alias("metadata_json"),
-    )
-
-
-def _edge(edge_id: Column, source: Column, target: Column, edge_type: str) -> Column:
-    return F.struct(
-        edge_id.alias("edge_id"),
-        source.alias("source_id"),
-        target.alias("target_id"),
-        F.lit(edge_type).alias("edge_type"),
-    )
-
-
-def _emit(rows: DataFrame, position: Column, *elements: Column) -> DataFrame:
-    """One row per element; ``position`` orders rows that give the same id."""
-    return rows.select(DOCUMENT, position.alias("position"), F.inline(F.array(*elements)))
-
-
 def _ids() -> SimpleNamespace:
-    """Ids shared by the nodes and edges of a trace."""
+    """Node ids and keys of a trace."""
     entry = [spelled(F.col("accountingdocument")), spelled(F.col("accountingdocumentitem"))]
-    billing = [F.col(DOCUMENT), trace_item(F.col("billingdocumentitem"))]
-    delivery = [F.col("deliverydocument"), trace_item(F.col("deliverydocumentitem"))]
-    order = [F.col("salesorder"), trace_item(F.col("salesorderitem"))]
+    billing = [DOCUMENT, "billing_item"]
+    delivery = ["deliverydocument", "delivery_item"]
+    order = ["salesorder", "sales_item"]
     return SimpleNamespace(
         document=join_id("billingdocument", DOCUMENT),
         customer=join_id("customer", "soldtoparty"),
@@ -83,227 +62,309 @@ def _ids() -> SimpleNamespace:
         entry=join_id("journalentry", *entry),
         billing_key=billing,
         billing_item=join_id("billingitem", *billing),
-        delivery=join_id("delivery", "deliverydocument"),
         delivery_key=delivery,
         delivery_item=join_id("deliveryitem", *delivery),
-        order=join_id("salesorder", "salesorder"),
         order_key=order,
         order_item=join_id("salesorderitem", *order),
     )
 
 
-def _item_label(column: str) -> Column:
-    return F.concat(F.lit("Item "), spelled(F.col(column)))
+def _text(prefix: str, column: str) -> Column:
+    return F.concat(F.lit(f"{prefix} "), spelled(F.col(column)))
+
+
+def _nodes(rows: DataFrame, node_id: Column, node_type: str, label: Column, metadata: Mapping[str, str]) -> DataFrame:
+    return rows.select(
+        DOCUMENT,
+        node_id.alias("node_id"),
+        F.lit(node_type).alias("node_type"),
+        label.alias("label"),
+        to_metadata({member: F.col(column) for member, column in metadata.items()}).alias("metadata_json"),
+    )
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _link(kind: str, *key: str) -> Column:
+    """One fact about a document: a kind and up to four key columns."""
+    columns = [F.col(key[i]) if i < len(key) else F.lit(None).cast("string") for i in range(4)]
+    return F.struct(F.lit(kind).alias("kind"), *[c.alias(name) for c, name in zip(columns, "abcd")])
 
 
 class Trace:
     """The plans of one batch of traces."""
 
     def __init__(self, tables: Collections, ids: DataFrame | None = None):
+        self.tables = tables
+        self.known = _known(tables, ids)
         self.headers = documents(tables, ids)
         self.customers = self.headers.filter(present(F.col("soldtoparty")))
-        entries = (
-            tables["journal_entry_items_accounts_receivable"]
-            .select("accountingdocument", "accountingdocumentitem")
-            .distinct()
+
+    @cached_property
+    def entries(self) -> DataFrame:
+        entries = self.tables["journal_entry_items_accounts_receivable"].select(
+            "accountingdocument", "accountingdocumentitem"
         )
         posted = self.headers.filter(present(F.col("accountingdocument")))
-        self.entries = posted.join(entries, "accountingdocument")
+        return posted.join(entries.distinct(), "accountingdocument")
 
-        items = tables["billing_document_items"].select(
+    @cached_property
+    def items(self) -> DataFrame:
+        """Billing items of the documents, with item numbers padded."""
+        items = self.tables["billing_document_items"].select(
             F.col("billingdocument").alias(DOCUMENT),
             "billingdocumentitem",
             F.col("referencesddocument").alias("deliverydocument"),
             F.col("referencesddocumentitem").alias("deliverydocumentitem"),
         )
-        self.items = items.distinct().join(self.headers.select(DOCUMENT), DOCUMENT, "left_semi")
-        self.delivered = self.items.filter(present(F.col("deliverydocument")))
-        shipped = tables["outbound_delivery_items"].select(
+        return items.join(self.known.select(DOCUMENT), DOCUMENT, "left_semi").select(
+            "*",
+            trace_item(F.col("billingdocumentitem")).alias("billing_item"),
+            trace_item(F.col("deliverydocumentitem")).alias("delivery_item"),
+        )
+
+    @cached_property
+    def delivered(self) -> DataFrame:
+        return self.items.filter(present(F.col("deliverydocument")))
+
+    @cached_property
+    def ordered(self) -> DataFrame:
+        """Billing items with the sales order items their deliveries fulfil."""
+        shipped = self.tables["outbound_delivery_items"].select(
             "deliverydocument",
             item6(F.col("deliverydocumentitem")).alias("match_item"),
             F.col("referencesddocument").alias("salesorder"),
             F.col("referencesddocumentitem").alias("salesorderitem"),
         )
+        shipped = shipped.filter(present(F.col("salesorder"))).distinct()
         matchable = self.items.withColumn("match_item", item6(F.col("deliverydocumentitem")))
-        self.ordered = matchable.join(
-            shipped.filter(present(F.col("salesorder"))).distinct(), ["deliverydocument", "match_item"]
+        return matchable.join(shipped, ["deliverydocument", "match_item"]).select(
+            "*", trace_item(F.col("salesorderitem")).alias("sales_item")
         )
 
     def nodes(self) -> DataFrame:
         """``(billing_document_id, node_id, node_type, label, metadata_json)``."""
-        none, item, ids = F.lit(None).cast("string"), F.col("billingdocumentitem"), _ids()
-        parts = [
-            _emit(
+        ids = _ids()
+        whole = [
+            _nodes(
                 self.headers,
-                none,
-                _node(
-                    ids.document,
-                    "BillingDocument",
-                    F.concat(F.lit("Invoice "), F.col(DOCUMENT)),
-                    {
-                        "billingdocument": DOCUMENT,
-                        "accountingdocument": "accountingdocument",
-                        "soldtoparty": "soldtoparty",
-                    },
-                ),
+                ids.document,
+                "BillingDocument",
+                _text("Invoice", DOCUMENT),
+                {
+                    "billingdocument": DOCUMENT,
+                    "accountingdocument": "accountingdocument",
+                    "soldtoparty": "soldtoparty",
+                },
             ),
-            _emit(
-                self.customers,
-                none,
-                _node(ids.customer, "Customer", F.col("soldtoparty"), {"businesspartner": "soldtoparty"}),
+            _nodes(
+                self.customers, ids.customer, "Customer", F.col("soldtoparty"), {"businesspartner": "soldtoparty"}
             ),
-            _emit(
+            _nodes(
                 self.entries,
-                none,
-                _node(
-                    ids.entry,
-                    "JournalEntry",
-                    F.concat(F.lit("JE "), F.col("accountingdocument")),
-                    {
-                        "accountingdocument": "accountingdocument",
-                        "accountingdocumentitem": "accountingdocumentitem",
-                    },
-                ),
+                ids.entry,
+                "JournalEntry",
+                _text("JE", "accountingdocument"),
+                {"accountingdocument": "accountingdocument", "accountingdocumentitem": "accountingdocumentitem"},
             ),
-            _emit(
-                self.items,
-                item,
-                _node(
-                    ids.billing_item,
-                    "BillingItem",
-                    _item_label("billingdocumentitem"),
-                    {"billingdocument": DOCUMENT, "billingdocumentitem": "billingdocumentitem"},
-                ),
+            _nodes(
+                self.delivered.select(DOCUMENT, "deliverydocument").distinct(),
+                join_id("delivery", "deliverydocument"),
+                "Delivery",
+                _text("Delivery", "deliverydocument"),
+                {"deliverydocument": "deliverydocument"},
             ),
-            _emit(
-                self.delivered,
-                item,
-                _node(
-                    ids.delivery,
-                    "Delivery",
-                    F.concat(F.lit("Delivery "), F.col("deliverydocument")),
-                    {"deliverydocument": "deliverydocument"},
-                ),
-                _node(
-                    ids.delivery_item,
-                    "DeliveryItem",
-                    _item_label("deliverydocumentitem"),
-                    {"deliverydocument": "deliverydocument", "deliverydocumentitem": "deliverydocumentitem"},
-                ),
+            _nodes(
+                self.ordered.select(DOCUMENT, "salesorder").distinct(),
+                join_id("salesorder", "salesorder"),
+                "SalesOrder",
+                _text("Order", "salesorder"),
+                {"salesorder": "salesorder"},
             ),
-            _emit(
-                self.ordered,
-                item,
-                _node(
-                    ids.order,
-                    "SalesOrder",
-                    F.concat(F.lit("Order "), F.col("salesorder")),
-                    {"salesorder": "salesorder"},
-                ),
-                _node(
-                    ids.order_item,
-                    "SalesOrderItem",
-                    _item_label("salesorderitem"),
-                    {"salesorder": "salesorder", "salesorderitem": "salesorderitem"},
-                ),
+            _nodes(
+                _first_spelling(self.items, ids.billing_key, "billingdocumentitem"),
+                ids.billing_item,
+                "BillingItem",
+                _text("Item", "billingdocumentitem"),
+                {"billingdocument": DOCUMENT, "billingdocumentitem": "billingdocumentitem"},
+            ),
+            _nodes(
+                _first_spelling(self.delivered, [DOCUMENT, *ids.delivery_key], "deliverydocumentitem"),
+                ids.delivery_item,
+                "DeliveryItem",
+                _text("Item", "deliverydocumentitem"),
+                {"deliverydocument": "deliverydocument", "deliverydocumentitem": "deliverydocumentitem"},
+            ),
+            _nodes(
+                _first_spelling(self.ordered, [DOCUMENT, *ids.order_key], "salesorderitem"),
+                ids.order_item,
+                "SalesOrderItem",
+                _text("Item", "salesorderitem"),
+                {"salesorder": "salesorder", "salesorderitem": "salesorderitem"},
             ),
         ]
-        return _first_per_id(reduce(DataFrame.unionByName, parts), "node_id", NODE_FIELDS)
+        return _union(whole)
+
+    def links(self) -> DataFrame:
+        """Distinct facts from the items of each document, ``(billing_document_id, kind, a, b, c, d)``.
+
+        Every base row is read once and gives all its facts, as short keys; ids
+        are built after repeats are gone.
+        """
+        delivery, order = ("deliverydocument", "delivery_item"), ("salesorder", "sales_item")
+        from_items = self.items.select(
+            DOCUMENT,
+            F.inline(
+                F.array(
+                    _link("billing_items", "billing_item"),
+                    _link("deliveries", "deliverydocument"),
+                    _link("delivery_items", *delivery),
+                    _link("billed_by", *delivery, "billing_item"),
+                )
+            ),
+        ).filter(present(F.col("a")))
+        from_orders = self.ordered.select(
+            DOCUMENT,
+            F.inline(
+                F.array(
+                    _link("sales_orders", "salesorder"),
+                    _link("sales_order_items", *order),
+                    _link("fulfilled_by", *order, *delivery),
+                )
+            ),
+        ).filter((F.col("kind") != "fulfilled_by") | present(F.col("c")))
+        return from_items.unionByName(from_orders).distinct()
 
     def edges(self) -> DataFrame:
         """``(billing_document_id, edge_id, source_id, target_id, edge_type)``."""
-        none, item, ids = F.lit(None).cast("string"), F.col("billingdocumentitem"), _ids()
+        ids = _ids()
+        own = self.customers.select(
+            DOCUMENT,
+            join_id("billing_document_for_customer", DOCUMENT).alias("edge_id"),
+            ids.document.alias("source_id"),
+            ids.customer.alias("target_id"),
+            F.lit("BILLING_DOCUMENT_FOR_CUSTOMER").alias("edge_type"),
+        )
+        posted = self.entries.select(
+            DOCUMENT,
+            join_id("billing_document_posted_to_journal_entry", DOCUMENT, *ids.entry_key).alias("edge_id"),
+            ids.document.alias("source_id"),
+            ids.entry.alias("target_id"),
+            F.lit("BILLING_DOCUMENT_POSTED_TO_JOURNAL_ENTRY").alias("edge_type"),
+        )
+        shapes = _edge_shapes()
+        edge = F.lit(None)
+        for kind, shape in shapes.items():
+            edge = F.when(F.col("kind") == kind, shape).otherwise(edge)
+        linked = self.links().filter(F.col("kind").isin(*shapes)).select(DOCUMENT, F.inline(F.array(edge)))
+        return _union([own, posted, linked])
+
+    def counts(self) -> DataFrame:
+        """Number of nodes of each kind, and of edges, per document."""
         parts = [
-            _emit(
-                self.customers,
-                none,
-                _edge(
-                    join_id("billing_document_for_customer", DOCUMENT),
-                    ids.document,
-                    ids.customer,
-                    "BILLING_DOCUMENT_FOR_CUSTOMER",
-                ),
-            ),
-            _emit(
-                self.entries,
-                none,
-                _edge(
-                    join_id("billing_document_posted_to_journal_entry", DOCUMENT, *ids.entry_key),
-                    ids.document,
-                    ids.entry,
-                    "BILLING_DOCUMENT_POSTED_TO_JOURNAL_ENTRY",
-                ),
-            ),
-            _emit(
-                self.items,
-                item,
-                _edge(
-                    join_id("billing_item_in_document", *ids.billing_key),
-                    ids.billing_item,
-                    ids.document,
-                    "BILLING_ITEM_IN_DOCUMENT",
-                ),
-            ),
-            _emit(
-                self.delivered,
-                item,
-                _edge(
-                    join_id("delivery_item_in_delivery", *ids.delivery_key),
-                    ids.delivery_item,
-                    ids.delivery,
-                    "DELIVERY_ITEM_IN_DELIVERY",
-                ),
-                _edge(
-                    join_id("delivery_item_billed_by_billing_item", *ids.delivery_key, *ids.billing_key),
-                    ids.delivery_item,
-                    ids.billing_item,
-                    "DELIVERY_ITEM_BILLED_BY_BILLING_ITEM",
-                ),
-            ),
-            _emit(
-                self.ordered,
-                item,
-                _edge(
-                    join_id("order_has_item", *ids.order_key), ids.order, ids.order_item, "ORDER_HAS_ITEM"
-                ),
-                F.when(
-                    present(F.col("deliverydocument")),
-                    _edge(
-                        join_id("item_fulfilled_by_delivery_item", *ids.order_key, *ids.delivery_key),
-                        ids.order_item,
-                        ids.delivery_item,
-                        "ITEM_FULFILLED_BY_DELIVERY_ITEM",
-                    ),
-                ),
-            ),
+            self.headers.select(DOCUMENT, F.lit("documents").alias("kind")),
+            self.customers.select(DOCUMENT, F.lit("customers").alias("kind")),
+            self.entries.select(DOCUMENT, F.lit("journal_entries").alias("kind")),
+            self.links().select(DOCUMENT, "kind"),
         ]
-        return _first_per_id(reduce(DataFrame.unionByName, parts), "edge_id", EDGE_FIELDS)
+        kinds = [F.count_if(F.col("kind") == kind).alias(kind) for kind in KINDS]
+        return _union(parts).groupBy(DOCUMENT).agg(*kinds)
 
     def summary(self) -> DataFrame:
         """Number of nodes and edges per document."""
-        counted = self.nodes().select(DOCUMENT, F.lit(1).alias("node"), F.lit(0).alias("edge"))
-        counted = counted.unionByName(self.edges().select(DOCUMENT, F.lit(0).alias("node"), F.lit(1).alias("edge")))
-        return counted.groupBy(DOCUMENT).agg(F.sum("node").alias("nodes"), F.sum("edge").alias("edges"))
+        return self.counts().select(
+            DOCUMENT,
+            reduce(Column.__add__, [F.col(kind) for kind in NODE_KINDS]).alias("nodes"),
+            reduce(Column.__add__, [F.col(kind) for kind in EDGE_KINDS]).alias("edges"),
+        )
+
+
+# What a trace counts per document. Nodes and edges of one kind correspond one to
+# one, save for documents, deliveries and sales orders, which are nodes only, and
+# the links between items, which are edges only.
+NODE_KINDS = (
+    "documents",
+    "customers",
+    "journal_entries",
+    "billing_items",
+    "deliveries",
+    "delivery_items",
+    "sales_orders",
+    "sales_order_items",
+)
+EDGE_KINDS = (
+    "customers",
+    "journal_entries",
+    "billing_items",
+    "delivery_items",
+    "sales_order_items",
+    "billed_by",
+    "fulfilled_by",
+)
+KINDS = tuple(dict.fromkeys(NODE_KINDS + EDGE_KINDS))
+
+
+def _edge(edge_type: str, edge_id: Column, source: Column, target: Column) -> Column:
+    return F.struct(
+        edge_id.alias("edge_id"),
+        source.alias("source_id"),
+        target.alias("target_id"),
+        F.lit(edge_type).alias("edge_type"),
+    )
 
 
-def _first_per_id(rows: DataFrame, id_column: str, fields: tuple[str, ...]) -> DataFrame:
-    order = F.struct(F.col("position").isNull().alias("unplaced"), "position", *fields)
-    placed = rows.filter(F.col(id_column).isNotNull())
-    first = placed.groupBy(DOCUMENT, id_column).agg(F.min(order).alias("first"))
-    return first.select(DOCUMENT, id_column, *[F.col("first").getField(f).alias(f) for f in fields])
+def _edge_shapes() -> dict[str, Column]:
+    """How each kind of link reads as an edge, from its key columns."""
+    return {
+        "billing_items": _edge(
+            "BILLING_ITEM_IN_DOCUMENT",
+            join_id("billing_item_in_document", DOCUMENT, "a"),
+            join_id("billingitem", DOCUMENT, "a"),
+            join_id("billingdocument", DOCUMENT),
+        ),
+        "delivery_items": _edge(
+            "DELIVERY_ITEM_IN_DELIVERY",
+            join_id("delivery_item_in_delivery", "a", "b"),
+            join_id("deliveryitem", "a", "b"),
+            join_id("delivery", "a"),
+        ),
+        "billed_by": _edge(
+            "DELIVERY_ITEM_BILLED_BY_BILLING_ITEM",
+            join_id("delivery_item_billed_by_billing_item", "a", "b", DOCUMENT, "c"),
+            join_id("deliveryitem", "a", "b"),
+            join_id("billingitem", DOCUMENT, "c"),
+        ),
+        "sales_order_items": _edge(
+            "ORDER_HAS_ITEM",
+            join_id("order_has_item", "a", "b"),
+            join_id("salesorder", "a"),
+            join_id("salesorderitem", "a", "b"),
+        ),
+        "fulfilled_by": _edge(
+            "ITEM_FULFILLED_BY_DELIVERY_ITEM",
+            join_id("item_fulfilled_by_delivery_item", "a", "b", "c", "d"),
+            join_id("salesorderitem", "a", "b"),
+            join_id("deliveryitem", "c", "d"),
+        ),
+    }
+
+
+def _first_spelling(rows: DataFrame, key: list[str], item: str) -> DataFrame:
+    """One row per ``key`` with the ``item`` of its first billing item."""
+    by = ["billingdocumentitem"] if item == "billingdocumentitem" else ["billingdocumentitem", item]
+    unplaced = F.col("billingdocumentitem").isNull().alias("unplaced")
+    first = rows.groupBy(*key).agg(F.min(F.struct(unplaced, *by)).alias("first"))
+    return first.select(*key, F.col("first").getField(item).alias(item))
 
 
 def trace_facts(tables: Collections, ids: DataFrame | None = None) -> DataFrame:
-    """What a written answer needs: customer label and node counts per document."""
-    nodes = Trace(tables, ids).nodes()
-
-    def of_type(node_type: str) -> Column:
-        return F.count_if(F.col("node_type") == node_type)
-
-    return nodes.groupBy(DOCUMENT).agg(
-        F.max(F.when(F.col("node_type") == "Customer", F.col("label"))).alias("customer"),
-        of_type("BillingItem").alias("billing_items"),
-        of_type("DeliveryItem").alias("delivery_items"),
-        of_type("SalesOrderItem").alias("sales_order_items"),
-        of_type("JournalEntry").alias("journal_entries"),
+    """What a written answer needs: the customer and the node counts per document."""
+    trace = Trace(tables, ids)
+    customers = trace.customers.select(DOCUMENT, F.col("soldtoparty").alias("customer"))
+    return (
+        trace.counts()
+        .join(customers, DOCUMENT, "left")
+        .select(DOCUMENT, "customer", "billing_items", "delivery_items", "sales_order_items", "journal_entries")
     )

@@ -47,6 +47,11 @@ class Workspace:
         self.folder = folder
         self.tables: Collections = order_to_cash(spark, folder)
 
+    def prepare(self) -> None:
+        """Stage the tables all collections are projections of."""
+        for name in ("sales_order_items", "billing_document_headers", "outbound_delivery_headers"):
+            self.tables[name]
+
     @cached_property
     def graph(self) -> Graph:
         nodes = stage(graph_build.build_nodes(self.tables), "nodes", partition_by="node_type")

@@ -10,13 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 # A hot key may hold a large share of all rows. Letting adaptive execution split
 # a skewed join even when the split costs one more shuffle keeps such a key off
-# a single task; without skew the plan is unchanged.
+# a single task; without skew the plan is unchanged. Ids share long prefixes and
+# sort slowly, so a join hashes a side whose every partition was measured to fit
+# and sorts otherwise.
 RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
+    # Graph tables have 12 folders; a task that keeps them all open need not sort.
+    "spark.sql.maxConcurrentOutputFileWriters": "16",
 }
 
+SHUFFLE_PARTITION_BYTES = 128 << 20
+
 _local_staging: dict[str, str] = {}
 
 
@@ -37,6 +44,15 @@ def build_session(app_name: str = "ledgerloom", master: str | None = None, **set
     return tune(builder.getOrCreate())
 
 
+def shuffle_partitions(shuffled_bytes: int, cores: int) -> int:
+    """Shuffle partitions that keep each near 128 MiB, at least one per core.
+
+    Adaptive execution merges partitions that turn out small, so it is safe to
+    estimate high.
+    """
+    return max(cores, -(-shuffled_bytes // SHUFFLE_PARTITION_BYTES))
+
+
 def staging_dir(spark: SparkSession) -> str:
     """Folder for staged tables: the cluster's checkpoint folder.
 
