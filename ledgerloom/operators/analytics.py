@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.keys import item6
 from ledgerloom.functions.typed import amount, day, days_between
+from ledgerloom.operators.flows import open_keys
 from ledgerloom.sources.catalog import Collections
 
 MONEY_TOTAL = "decimal(38,2)"
@@ -100,24 +101,30 @@ def _without(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def orders_without_delivery(tables: Collections) -> DataFrame:
     """Sales orders no delivery refers to, by document number alone."""
-    orders = tables["sales_order_headers"].select("salesorder").distinct()
-    delivered = (
-        tables["outbound_delivery_items"]
-        .filter(F.col("deliverydocument").isNotNull())
-        .select(F.col("referencesddocument").alias("salesorder"))
+    delivered = tables["outbound_delivery_items"].select(
+        "deliverydocument", F.col("referencesddocument").alias("salesorder")
+    )
+    missing = open_keys(
+        tables["sales_order_headers"].select("salesorder"),
+        delivered,
+        ["salesorder"],
+        F.col("deliverydocument").isNotNull(),
     )
-    return _without(orders, delivered, "salesorder").filter(F.col("salesorder").isNotNull())
+    return missing.filter(F.col("salesorder").isNotNull())
 
 
 def deliveries_without_invoice(tables: Collections) -> DataFrame:
     """Deliveries no billing item refers to, by document number alone."""
-    deliveries = tables["outbound_delivery_items"].select("deliverydocument").distinct()
-    billed = (
-        tables["billing_document_items"]
-        .filter(F.col("billingdocument").isNotNull())
-        .select(F.col("referencesddocument").alias("deliverydocument"))
+    billed = tables["billing_document_items"].select(
+        "billingdocument", F.col("referencesddocument").alias("deliverydocument")
+    )
+    missing = open_keys(
+        tables["outbound_delivery_items"].select("deliverydocument"),
+        billed,
+        ["deliverydocument"],
+        F.col("billingdocument").isNotNull(),
     )
-    return _without(deliveries, billed, "deliverydocument").filter(F.col("deliverydocument").isNotNull())
+    return missing.filter(F.col("deliverydocument").isNotNull())
 
 
 def invoices_without_payment(tables: Collections) -> DataFrame:

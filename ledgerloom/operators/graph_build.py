@@ -1,8 +1,9 @@
 """Projection of the collections into a property graph.
 
 Duplicates are removed on the source columns, before ids and metadata text are
-built: every output row names all of them, so the result equals DISTINCT over
-the finished rows while the shuffle carries only short columns. Edge joins
+built: a row with complete ids names all of them, so the result equals DISTINCT
+over the finished rows while the shuffle carries only short columns. Rows whose
+id lacks a part keep a null id for the checks to report. Edge joins
 remove duplicates on the side that is unique by key first, so repeated rows
 never multiply, and the final DISTINCT reuses the partitioning of the join.
 """

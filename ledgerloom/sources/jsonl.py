@@ -125,8 +125,10 @@ def scan(source: Source) -> DataFrame | None:
 
     loaded = parsed.select(*columns, rejected.alias(REJECTED))
     if source.name in ITEM_KEYS:
-        document, item = ITEM_KEYS[source.name]
-        loaded = loaded.withColumn(ITEM_KEY_COLUMN, loaded_item_key(F.col(document), F.col(item)))
+        document, item = (
+            F.col(c) if c in loaded.columns else F.lit(None).cast("string") for c in ITEM_KEYS[source.name]
+        )
+        loaded = loaded.withColumn(ITEM_KEY_COLUMN, loaded_item_key(document, item))
     return loaded
 
 
