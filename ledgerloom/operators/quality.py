@@ -8,9 +8,10 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.functions.keys import coverage_key, plain_key, spelled
-from ledgerloom.sources.catalog import Collections, sanitize
+from ledgerloom.sources.catalog import ITEM_KEY_COLUMN, Collections, sanitize
 
 # Least coverage in percent of each class, best first.
 CONFIRMED, PARTIAL, UNCERTAIN = 95, 80, 50
@@ -140,13 +141,18 @@ def join_coverage(tables: Collections, specs: Sequence[JoinSpec] = FLOW_JOINS) -
     )
 
 
+def _source_fields(df: DataFrame) -> list[T.StructField]:
+    """Columns of the records themselves, without the helper key."""
+    return [field for field in df.schema.fields if field.name.lower() != ITEM_KEY_COLUMN]
+
+
 def column_profile(tables: Collections, names: Iterable[str]) -> DataFrame:
     """``(collection, column, data_type, rows, non_null)``, one pass per collection."""
     parts = []
     for name in names:
-        df = tables[name]
+        df, fields = tables[name], _source_fields(tables[name])
         counted = df.agg(
-            F.count("*").alias("rows"), *[F.count(F.col(f"`{c}`")).alias(f"n_{i}") for i, c in enumerate(df.columns)]
+            F.count("*").alias("rows"), *[F.count(F.col(f"`{f.name}`")).alias(f"n_{i}") for i, f in enumerate(fields)]
         )
         columns = [
             F.struct(
@@ -154,7 +160,7 @@ def column_profile(tables: Collections, names: Iterable[str]) -> DataFrame:
                 F.lit(field.dataType.simpleString()).alias("data_type"),
                 F.col(f"n_{i}").alias("non_null"),
             )
-            for i, field in enumerate(df.schema.fields)
+            for i, field in enumerate(fields)
         ]
         parts.append(counted.select(F.lit(name).alias("collection"), "rows", F.inline(F.array(*columns))))
     return reduce(DataFrame.unionByName, parts).select("collection", "column", "data_type", "rows", "non_null")
@@ -198,7 +204,8 @@ def column_distinct(tables: Collections, names: Iterable[str]) -> DataFrame:
     parts = []
     for name in names:
         df = tables[name]
-        likely = [c for c in df.columns if any(part in c.lower() for part in KEY_NAME_PARTS)]
+        names_of = [field.name for field in _source_fields(df)]
+        likely = [c for c in names_of if any(part in c.lower() for part in KEY_NAME_PARTS)]
         if likely:
             values = [
                 F.struct(F.lit(c.lower()).alias("column"), spelled(F.col(f"`{c}`")).alias("value")) for c in likely
