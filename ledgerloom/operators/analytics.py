@@ -51,6 +51,7 @@ def invoice_lines(tables: Collections) -> DataFrame:
     """Every invoice line with its delivery item, sales order item and amounts.
 
     Lines without a delivery stay. Item numbers are compared in padded form.
+    Repeated delivery rows are dropped first, so copies cannot multiply lines.
     """
     headers = tables["billing_document_headers"].select(
         "billingdocument",
@@ -73,6 +74,7 @@ def invoice_lines(tables: Collections) -> DataFrame:
         F.col("referencesddocumentitem").alias("salesorderitem"),
         item6(F.col("deliverydocumentitem")).alias("item"),
     )
+    shipped = shipped.distinct()
     on = (F.col("ref_document") == F.col("deliverydocument")) & (F.col("ref_item") == F.col("item"))
     return (
         lines.join(shipped, on, "left")

@@ -83,7 +83,7 @@ def billed_without_delivery(tables: Collections) -> DataFrame:
     instead of gathering on one null key.
     """
     keys = ["deliverydocument", "delivery_item"]
-    references = _billing_references(tables).distinct()
+    references = _billing_references(tables)
     complete = F.col("deliverydocument").isNotNull() & F.col("delivery_item").isNotNull()
     dangling = references.filter(complete).join(_delivery_keys(tables).distinct(), keys, "left_anti")
     unreferenced = references.filter(~complete)

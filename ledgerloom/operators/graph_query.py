@@ -26,9 +26,16 @@ def lookup(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     return nodes.join(ids.select("node_id"), "node_id", "left_semi").select(*NODE_COLUMNS)
 
 
-def _known(nodes: DataFrame, ids: DataFrame | None) -> DataFrame:
+def _chosen(nodes: DataFrame, ids: DataFrame | None) -> DataFrame:
+    """``node_id`` of the chosen nodes: those in ``ids(node_id)``, or all.
+
+    A choice is staged. As a file its true size is known to the planner, so a
+    few ids are sent to the edges instead of shuffling the edges to them.
+    """
     every = nodes.select("node_id")
-    return every if ids is None else every.join(ids.select("node_id"), "node_id", "left_semi")
+    if ids is None:
+        return every
+    return stage(every.join(ids.select("node_id"), "node_id", "left_semi"), "chosen")
 
 
 def incident_edges(nodes: DataFrame, edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
@@ -54,7 +61,7 @@ def incident_edges(nodes: DataFrame, edges: DataFrame, ids: DataFrame | None = N
             )
         ),
     )
-    return directed.join(_known(nodes, ids), "node_id", "left_semi").select(
+    return directed.join(_chosen(nodes, ids), "node_id", "left_semi").select(
         "node_id", "direction", "neighbor_id", *EDGE_COLUMNS
     )
 
@@ -89,26 +96,22 @@ def _other_end() -> Column:
     return F.when(F.col("source_id") == F.col("node_id"), F.col("target_id")).otherwise(F.col("source_id"))
 
 
-def _seeds(nodes: DataFrame, seeds: DataFrame | None) -> DataFrame:
-    known = nodes.select(F.col("node_id").alias("seed_id"))
-    return known if seeds is None else known.join(seeds.select("seed_id"), "seed_id", "left_semi")
-
-
-def _reached(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+def _reached(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None, depth: int) -> DataFrame:
     """``(seed_id, node_id)`` of all ids within ``depth`` hops, the seed included.
 
-    Ids without a node row are reached and passed through like any other. Before
-    a second hop the first is staged: it is used twice, and as a file its true
-    size decides whether the next join needs to shuffle the edges.
+    Ids without a node row are reached and passed through like any other. What
+    is reached from chosen seeds is staged after each hop, so its true size
+    decides how the next join runs; from all nodes only a hop that is used
+    twice is staged.
     """
-    reached = seeds.select("seed_id", F.col("seed_id").alias("node_id"))
-    for hop in range(depth):
-        frontier = reached
-        if hop:
-            reached = stage(reached, "frontier")
-            frontier = reached.filter(F.col("node_id") != F.col("seed_id"))
+    chosen = None if seeds is None else seeds.select(F.col("seed_id").alias("node_id"))
+    reached = _chosen(nodes, chosen).select(F.col("node_id").alias("seed_id"), "node_id")
+    for hop in range(1, depth + 1):
+        frontier = reached if hop == 1 else reached.filter(F.col("node_id") != F.col("seed_id"))
         step = frontier.join(_adjacency(edges), "node_id").select("seed_id", _other_end().alias("node_id"))
         reached = reached.unionByName(step).distinct()
+        if seeds is not None or hop < depth:
+            reached = stage(reached, "reached")
     return reached
 
 
@@ -119,15 +122,13 @@ def subgraph_nodes(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None,
     is one; at depth 2 that relates all neighbours of a hub to each other, so
     name the seeds there.
     """
-    reached = _reached(_seeds(nodes, seeds), edges, clamp_depth(depth))
+    reached = _reached(nodes, edges, seeds, clamp_depth(depth))
     return reached.join(nodes, "node_id").select("seed_id", *NODE_COLUMNS)
 
 
 def subgraph_edges(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None, depth: int = 2) -> DataFrame:
     """Edges with at least one end closer than ``depth`` hops to the seed."""
-    inner = _reached(_seeds(nodes, seeds), edges, clamp_depth(depth) - 1)
-    if depth > 1:
-        inner = stage(inner, "frontier")
+    inner = _reached(nodes, edges, seeds, clamp_depth(depth) - 1)
     touching = inner.join(_adjacency(edges, "edge_id", "edge_type", "metadata_json"), "node_id")
     return touching.select("seed_id", *EDGE_COLUMNS).distinct()
 

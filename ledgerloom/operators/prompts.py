@@ -229,9 +229,13 @@ def answer(prompts: DataFrame, tables: Collections) -> DataFrame:
     entries. The ids of a trace are in :func:`trace_references`.
     """
     routed = route(prompts)
-    facts = trace_facts(tables, _asked_documents(routed))
+    facts = trace_facts(tables, _asked_documents(routed)).withColumnRenamed(DOCUMENT, "traced")
+    # Prompts that ask for no document would all share one key; a number made
+    # from the row spreads them. Document ids are digits, so nothing meets it.
+    spread = F.concat(F.lit("none-"), F.xxhash64(*prompts.columns).cast("string"))
     joined = (
-        routed.join(facts, DOCUMENT, "left")
+        routed.withColumn("traced", F.coalesce(DOCUMENT, spread))
+        .join(facts, "traced", "left")
         .join(_ranking_facts(tables), "intent", "left")
         .join(_flow_facts(tables), "intent", "left")
     )
