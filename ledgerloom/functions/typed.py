@@ -35,4 +35,4 @@ def timestamp(date: Column, clock: Column) -> Column:
 
 
 def days_between(start: Column, end: Column) -> Column:
-    return F.date_diff(end, start)
+    return F.date_diff(end, start).cast("bigint")

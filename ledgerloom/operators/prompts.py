@@ -49,7 +49,7 @@ TRACE_PHRASES = ("trace billing", "trace document", "billing flow")
 EXPLORE_PHRASES = ("explore", "show", "graph", "relationships", "connected")
 
 # Patterns of the document id and of the requested number of products.
-DOCUMENT_PATTERN = r"(?U)\b([0-9]{8,})\b"
+DOCUMENT_PATTERN = r"(?<![\p{L}\p{N}_])([0-9]{8,})(?![\p{L}\p{N}_])"
 LIMIT_PATTERN = r"(?U)(?:top|highest|first)\s+([0-9]+)"
 
 # Intents and reasons.

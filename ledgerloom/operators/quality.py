@@ -34,6 +34,11 @@ class JoinSpec(NamedTuple):
     def name(self) -> str:
         return f"{_side(self.left, self.left_keys)} -> {_side(self.right, self.right_keys)}"
 
+    @property
+    def condition(self) -> str:
+        pairs = zip(self.left_keys, self.right_keys)
+        return " AND ".join(f"{self.left}.{a} = {self.right}.{b}" for a, b in pairs)
+
 
 def _side(collection: str, keys: tuple[str, ...]) -> str:
     return f"{collection}.{keys[0]}" if len(keys) == 1 else f"{collection}.({', '.join(keys)})"
@@ -90,18 +95,50 @@ def _keys(tables: Collections, spec: JoinSpec, left: bool) -> DataFrame:
     )
 
 
-def join_coverage(tables: Collections, specs: Sequence[JoinSpec] = FLOW_JOINS) -> DataFrame:
-    """Distinct keys of both sides of each join, how many match, and a class for the share.
+def _rows_per_key(tables: Collections, specs: Sequence[JoinSpec]) -> DataFrame:
+    """Rows of both sides per join and key.
 
-    All sides of all joins go through one grouping by key with partial
-    aggregation; a key with very many rows arrives as few.
+    All sides of all joins go through one grouping with partial aggregation; a
+    key with very many rows arrives as few.
     """
     sides = [_keys(tables, spec, left) for spec in specs for left in (True, False)]
-    per_key = (
+    return (
         reduce(DataFrame.unionByName, sides)
         .groupBy("join_path", "key_1", "key_2")
         .agg(F.sum("left_row").alias("left_rows"), F.sum("right_row").alias("right_rows"))
     )
+
+
+def list_joins(tables: Collections, specs: Sequence[JoinSpec] = FLOW_JOINS) -> DataFrame:
+    """``(left_table, right_table, condition, cardinality)`` of each join.
+
+    The cardinality, such as ``1:N``, says whether any key repeats on a side.
+    """
+    most = _rows_per_key(tables, specs).groupBy("join_path").agg(
+        F.max("left_rows").alias("most_left"), F.max("right_rows").alias("most_right")
+    )
+    wanted = tables.spark.createDataFrame(
+        [(spec.name, spec.left, spec.right, spec.condition) for spec in specs],
+        "join_path string, left_table string, right_table string, condition string",
+    )
+
+    def side(column: str, many: str) -> Column:
+        return F.when(F.col(column) > 1, many).otherwise("1")
+
+    both = (F.col("most_left") > 1) & (F.col("most_right") > 1)
+    return wanted.join(most, "join_path", "left").select(
+        "left_table",
+        "right_table",
+        "condition",
+        F.when(both, "N:M").otherwise(
+            F.concat(side("most_left", "N"), F.lit(":"), side("most_right", "N"))
+        ).alias("cardinality"),
+    )
+
+
+def join_coverage(tables: Collections, specs: Sequence[JoinSpec] = FLOW_JOINS) -> DataFrame:
+    """Distinct keys of both sides of each join, how many match, and a class for the share."""
+    per_key = _rows_per_key(tables, specs)
     in_left, in_right = F.col("left_rows") > 0, F.col("right_rows") > 0
     measured = per_key.groupBy("join_path").agg(
         F.sum("left_rows").alias("left_count"),

@@ -484,6 +484,19 @@ SELECT *, round(matched / left_keys * 100, 2) AS coverage_pct,
 FROM ({_union([_coverage(*j) for j in JOINS])})
 """
 
+def _cardinality(left: str, left_keys: list[str], right: str, right_keys: list[str]) -> str:
+    def repeats(table: str, names: list[str]) -> str:
+        keys = ", ".join(f"lpad(trim({n}), 10, '0')" for n in names)
+        return f"(SELECT max(n) > 1 FROM (SELECT count(*) AS n FROM {table} GROUP BY {keys}))"
+
+    condition = " AND ".join(f"{left}.{a} = {right}.{b}" for a, b in zip(left_keys, right_keys))
+    l, r = repeats(left, left_keys), repeats(right, right_keys)
+    return (
+        f"SELECT '{left}' AS left_table, '{right}' AS right_table, '{condition}' AS condition, "
+        f"CASE WHEN {l} AND {r} THEN 'N:M' WHEN {l} THEN 'N:1' WHEN {r} THEN '1:N' ELSE '1:1' END AS cardinality"
+    )
+
+
 KEY_PARTS = ("id", "key", "number", "document", "order")
 
 
@@ -883,6 +896,7 @@ def statements() -> dict[str, str]:
     # Quality
     base = f"WITH {COLLECTIONS}\n"
     result["join_coverage"] = base + COVERAGE
+    result["schema_joins"] = base + _union([_cardinality(*j) for j in JOINS])
     result["collection_profile"] = base + (
         "SELECT collection, max(rows) AS row_count, string_agg(col, ', ' ORDER BY col) AS columns "
         f"FROM ({_column_rows(COLUMN_FILLED)}) GROUP BY 1"

@@ -354,6 +354,11 @@ def join_coverage(w: Workspace) -> DataFrame:
     return quality.join_coverage(w.tables)
 
 
+@query
+def schema_joins(w: Workspace) -> DataFrame:
+    return quality.list_joins(w.tables)
+
+
 @query
 def collection_profile(w: Workspace) -> DataFrame:
     return quality.collection_profile(w.tables, COLLECTIONS)

@@ -258,6 +258,21 @@ def test_coverage_classes(make_tables, matching, total, expected):
     assert quality.join_coverage(tables, [spec]).first()["classification"] == expected
 
 
+def test_list_joins(make_tables):
+    tables = make_tables(
+        sales_order_headers=[{"salesorder": "1", "soldtoparty": "c"}, {"salesorder": "2", "soldtoparty": "c"}],
+        sales_order_items=[{"salesorder": "1"}, {"salesorder": "01"}, {"salesorder": "2", "material": "m"}],
+        business_partners=[{"businesspartner": "c"}],
+    )
+    got = {(r["left_table"], r["right_table"]): r for r in quality.list_joins(tables).collect()}
+    assert got["sales_order_headers", "sales_order_items"]["cardinality"] == "1:N"
+    assert got["sales_order_headers", "business_partners"]["cardinality"] == "N:1"
+    assert got["outbound_delivery_items", "plants"]["cardinality"] == "1:1"
+    assert got["sales_order_items", "outbound_delivery_items"]["condition"] == (
+        "sales_order_items.salesOrder = outbound_delivery_items.referenceSdDocument AND "
+        "sales_order_items.salesOrderItem = outbound_delivery_items.referenceSdDocumentItem")
+
+
 def test_profiles(make_tables):
     tables = make_tables(
         plants=[{"plant": str(i), "addressid": "x" if i else None} for i in range(10)],
