@@ -14,7 +14,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.keys import strip
 from ledgerloom.operators import flows
 from ledgerloom.operators.trace import DOCUMENT, Trace, trace_facts
 from ledgerloom.session import stage
@@ -83,13 +82,10 @@ CITED_FLOWS = 50
 FLOW_NODE_PREFIXES = ("delivery", "billingdocument", "salesorder")
 
 
-def normalized(prompt: Column) -> Column:
-    """Lower-case text with everything but letters, digits, ``_`` and white space blanked."""
-    return strip(F.regexp_replace(F.lower(prompt), r"(?U)[^\p{L}\p{N}_\s]", " "))
-
-
-def _words(prompt: Column) -> Column:
-    return F.array_remove(F.array_distinct(F.split(normalized(prompt), r"(?U)\s+")), "")
+def words(prompt: Column) -> Column:
+    """Distinct lower-case words: runs of letters, digits and ``_`` of any script."""
+    text = F.regexp_replace(F.lower(prompt), r"[^\p{L}\p{N}_]+", " ")
+    return F.array_remove(F.array_distinct(F.split(text, " ")), "")
 
 
 def _is_blank(prompt: Column) -> Column:
@@ -110,8 +106,8 @@ def _literals(words: list[str]) -> Column:
 def guard(prompts: DataFrame) -> DataFrame:
     """``prompts`` with ``in_domain`` and ``reason``; out-of-domain words win."""
     prompt = F.coalesce("prompt", F.lit(""))
-    words = prompts.withColumn("_words", _words(prompt))
-    checked = words.withColumn("_out", F.array_sort(F.array_intersect("_words", _literals(OUT_OF_DOMAIN))))
+    split = prompts.withColumn("_words", words(prompt))
+    checked = split.withColumn("_out", F.array_sort(F.array_intersect("_words", _literals(OUT_OF_DOMAIN))))
     foreign = F.size("_out") > 0
     domestic = F.arrays_overlap("_words", _literals(IN_DOMAIN))
     reason = (
@@ -129,11 +125,13 @@ def classify(prompts: DataFrame) -> DataFrame:
     The domain check is not part of this; :func:`route` adds it.
     """
     prompt = F.coalesce("prompt", F.lit(""))
-    text = F.lower(prompt)
-    found_id = F.nullif(F.regexp_extract(prompt, DOCUMENT_PATTERN, 1), F.lit(""))
+    read = prompts.withColumns(
+        {"_text": F.lower(prompt), DOCUMENT: F.nullif(F.regexp_extract(prompt, DOCUMENT_PATTERN, 1), F.lit(""))}
+    )
+    text = F.col("_text")
     found_limit = F.nullif(F.regexp_extract(text, LIMIT_PATTERN, 1), F.lit(""))
     asks_trace = _any_of(text, TRACE_PHRASES) | text.contains(
-        F.concat(F.lit("trace "), F.coalesce(found_id, F.lit("")))
+        F.concat(F.lit("trace "), F.coalesce(DOCUMENT, F.lit("")))
     )
     intent = (
         F.when(_any_of(text, TOP_PRODUCTS_PHRASES), TOP_PRODUCTS)
@@ -142,9 +140,7 @@ def classify(prompts: DataFrame) -> DataFrame:
         .when(_any_of(text, EXPLORE_PHRASES), EXPLORE)
         .otherwise(UNKNOWN)
     )
-    return prompts.select(
-        *prompts.columns, intent.alias("intent"), found_id.alias(DOCUMENT), found_limit.alias("product_limit")
-    )
+    return read.select(*prompts.columns, intent.alias("intent"), DOCUMENT, found_limit.alias("product_limit"))
 
 
 def route(prompts: DataFrame) -> DataFrame:

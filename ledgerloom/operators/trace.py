@@ -13,7 +13,7 @@ has several spellings, that of the first billing item counts.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import cached_property, reduce
 from types import SimpleNamespace
 
@@ -207,35 +207,22 @@ class Trace:
         ]
         return _union(whole)
 
-    def links(self) -> DataFrame:
+    def links(self, kinds: Sequence[str]) -> DataFrame:
         """Distinct facts from the items of each document, ``(billing_document_id, kind, a, b, c, d)``.
 
-        Every base row is read once and gives all its facts, as short keys; ids
-        are built after repeats are gone.
+        Every base row is read once and gives its facts of all ``kinds``, as
+        short keys; ids are built after repeats are gone.
         """
-        delivery, order = ("deliverydocument", "delivery_item"), ("salesorder", "sales_item")
-        from_items = self.items.select(
-            DOCUMENT,
-            F.inline(
-                F.array(
-                    _link("billing_items", "billing_item"),
-                    _link("deliveries", "deliverydocument"),
-                    _link("delivery_items", *delivery),
-                    _link("billed_by", *delivery, "billing_item"),
-                )
-            ),
-        ).filter(present(F.col("a")))
-        from_orders = self.ordered.select(
-            DOCUMENT,
-            F.inline(
-                F.array(
-                    _link("sales_orders", "salesorder"),
-                    _link("sales_order_items", *order),
-                    _link("fulfilled_by", *order, *delivery),
-                )
-            ),
-        ).filter((F.col("kind") != "fulfilled_by") | present(F.col("c")))
-        return from_items.unionByName(from_orders).distinct()
+        parts = []
+        of_items = [_link(kind, *key) for kind, key in ITEM_LINKS.items() if kind in kinds]
+        if of_items:
+            rows = self.items.select(DOCUMENT, F.inline(F.array(*of_items)))
+            parts.append(rows.filter(present(F.col("a"))))
+        of_orders = [_link(kind, *key) for kind, key in ORDER_LINKS.items() if kind in kinds]
+        if of_orders:
+            rows = self.ordered.select(DOCUMENT, F.inline(F.array(*of_orders)))
+            parts.append(rows.filter((F.col("kind") != "fulfilled_by") | present(F.col("c"))))
+        return _union(parts).distinct()
 
     def edges(self) -> DataFrame:
         """``(billing_document_id, edge_id, source_id, target_id, edge_type)``."""
@@ -258,29 +245,39 @@ class Trace:
         edge = F.lit(None)
         for kind, shape in shapes.items():
             edge = F.when(F.col("kind") == kind, shape).otherwise(edge)
-        linked = self.links().filter(F.col("kind").isin(*shapes)).select(DOCUMENT, F.inline(F.array(edge)))
+        linked = self.links(list(shapes)).select(DOCUMENT, F.inline(F.array(edge)))
         return _union([own, posted, linked])
 
-    def counts(self) -> DataFrame:
-        """Number of nodes of each kind, and of edges, per document."""
-        parts = [
-            self.headers.select(DOCUMENT, F.lit("documents").alias("kind")),
-            self.customers.select(DOCUMENT, F.lit("customers").alias("kind")),
-            self.entries.select(DOCUMENT, F.lit("journal_entries").alias("kind")),
-            self.links().select(DOCUMENT, "kind"),
-        ]
-        kinds = [F.count_if(F.col("kind") == kind).alias(kind) for kind in KINDS]
-        return _union(parts).groupBy(DOCUMENT).agg(*kinds)
+    def counts(self, kinds: Sequence[str]) -> DataFrame:
+        """How often each of ``kinds`` occurs, per document."""
+        own = {"documents": self.headers, "customers": self.customers, "journal_entries": self.entries}
+        parts = [own[kind].select(DOCUMENT, F.lit(kind).alias("kind")) for kind in own if kind in kinds]
+        parts.append(self.links([kind for kind in kinds if kind not in own]).select(DOCUMENT, "kind"))
+        return _union(parts).groupBy(DOCUMENT).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
 
     def summary(self) -> DataFrame:
         """Number of nodes and edges per document."""
-        return self.counts().select(
+        return self.counts(KINDS).select(
             DOCUMENT,
             reduce(Column.__add__, [F.col(kind) for kind in NODE_KINDS]).alias("nodes"),
             reduce(Column.__add__, [F.col(kind) for kind in EDGE_KINDS]).alias("edges"),
         )
 
 
+# Facts a billing item gives by itself, and with the delivery item it refers to:
+# kind and key columns.
+ITEM_LINKS = {
+    "billing_items": ("billing_item",),
+    "deliveries": ("deliverydocument",),
+    "delivery_items": ("deliverydocument", "delivery_item"),
+    "billed_by": ("deliverydocument", "delivery_item", "billing_item"),
+}
+ORDER_LINKS = {
+    "sales_orders": ("salesorder",),
+    "sales_order_items": ("salesorder", "sales_item"),
+    "fulfilled_by": ("salesorder", "sales_item", "deliverydocument", "delivery_item"),
+}
+
 # What a trace counts per document. Nodes and edges of one kind correspond one to
 # one, save for documents, deliveries and sales orders, which are nodes only, and
 # the links between items, which are edges only.
@@ -362,9 +359,7 @@ def _first_spelling(rows: DataFrame, key: list[str], item: str) -> DataFrame:
 def trace_facts(tables: Collections, ids: DataFrame | None = None) -> DataFrame:
     """What a written answer needs: the customer and the node counts per document."""
     trace = Trace(tables, ids)
+    counted = ("billing_items", "delivery_items", "sales_order_items", "journal_entries")
     customers = trace.customers.select(DOCUMENT, F.col("soldtoparty").alias("customer"))
-    return (
-        trace.counts()
-        .join(customers, DOCUMENT, "left")
-        .select(DOCUMENT, "customer", "billing_items", "delivery_items", "sales_order_items", "journal_entries")
-    )
+    found = trace.counts(("documents", *counted))
+    return found.join(customers, DOCUMENT, "left").select(DOCUMENT, "customer", *counted)
