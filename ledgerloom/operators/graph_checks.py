@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.session import stage
+
 
 def id_report(rows: DataFrame, id_column: str, type_column: str) -> DataFrame:
     """Per type: rows, distinct ids, ids used more than once, rows without an id."""
@@ -39,6 +41,16 @@ def keep_first(rows: DataFrame, id_column: str) -> DataFrame:
     return kept.select(id_column, *[F.col("first").getField(c).alias(c) for c in others]).select(*rows.columns)
 
 
+def absent_ids(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """Distinct non-null ``ids(node_id)`` without a node row, staged.
+
+    Only ids are shuffled for this. There are few as a rule, and as a file the
+    planner knows it, so the edges themselves need no shuffle to be checked.
+    """
+    known = nodes.select("node_id")
+    return stage(ids.select("node_id").dropna().distinct().join(known, "node_id", "left_anti"), "absent")
+
+
 def dangling_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(edge_id, edge_type, end, missing_id)`` for each edge end without a node row.
 
@@ -50,12 +62,10 @@ def dangling_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         "edge_type",
         F.inline(
             F.array(
-                F.struct(F.lit("source").alias("end"), F.col("source_id").alias("missing_id")),
-                F.struct(F.lit("target").alias("end"), F.col("target_id").alias("missing_id")),
+                F.struct(F.lit("source").alias("end"), F.col("source_id").alias("node_id")),
+                F.struct(F.lit("target").alias("end"), F.col("target_id").alias("node_id")),
             )
         ),
     )
-    absent = ends.select("missing_id").distinct().join(
-        nodes.select(F.col("node_id").alias("missing_id")), "missing_id", "left_anti"
-    )
-    return ends.join(absent, "missing_id").select("edge_id", "edge_type", "end", "missing_id")
+    absent = absent_ids(nodes, ends)
+    return ends.join(absent, "node_id").select("edge_id", "edge_type", "end", F.col("node_id").alias("missing_id"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.graph_build import EDGE_COLUMNS, EDGE_ENDS, NODE_COLUMNS
+from ledgerloom.operators.graph_checks import absent_ids
 from ledgerloom.session import stage
 
 MAX_DEPTH = 2
@@ -26,16 +27,23 @@ def lookup(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     return nodes.join(ids.select("node_id"), "node_id", "left_semi").select(*NODE_COLUMNS)
 
 
-def _chosen(nodes: DataFrame, ids: DataFrame | None) -> DataFrame:
-    """``node_id`` of the chosen nodes: those in ``ids(node_id)``, or all.
+def _chosen(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """``node_id`` of the nodes in ``ids(node_id)``, staged.
 
-    A choice is staged. As a file its true size is known to the planner, so a
-    few ids are sent to the edges instead of shuffling the edges to them.
+    As a file its true size is known to the planner, so a few ids are sent to
+    the edges instead of shuffling the edges to them.
     """
-    every = nodes.select("node_id")
-    if ids is None:
-        return every
-    return stage(every.join(ids.select("node_id"), "node_id", "left_semi"), "chosen")
+    return stage(nodes.select("node_id").join(ids.select("node_id"), "node_id", "left_semi"), "chosen")
+
+
+def _at_nodes(rows: DataFrame, nodes: DataFrame, ids: DataFrame | None) -> DataFrame:
+    """``rows`` whose ``node_id`` is one of the chosen nodes, or any node.
+
+    For any node, the ids to leave out are the smaller side: see ``absent_ids``.
+    """
+    if ids is not None:
+        return rows.join(_chosen(nodes, ids), "node_id", "left_semi")
+    return rows.filter(F.col("node_id").isNotNull()).join(absent_ids(nodes, rows), "node_id", "left_anti")
 
 
 def incident_edges(nodes: DataFrame, edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
@@ -61,9 +69,7 @@ def incident_edges(nodes: DataFrame, edges: DataFrame, ids: DataFrame | None = N
             )
         ),
     )
-    return directed.join(_chosen(nodes, ids), "node_id", "left_semi").select(
-        "node_id", "direction", "neighbor_id", *EDGE_COLUMNS
-    )
+    return _at_nodes(directed, nodes, ids).select("node_id", "direction", "neighbor_id", *EDGE_COLUMNS)
 
 
 def neighbors(nodes: DataFrame, edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
@@ -104,8 +110,8 @@ def _reached(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None, depth:
     decides how the next join runs; from all nodes only a hop that is used
     twice is staged.
     """
-    chosen = None if seeds is None else seeds.select(F.col("seed_id").alias("node_id"))
-    reached = _chosen(nodes, chosen).select(F.col("node_id").alias("seed_id"), "node_id")
+    start = nodes if seeds is None else _chosen(nodes, seeds.select(F.col("seed_id").alias("node_id")))
+    reached = start.select(F.col("node_id").alias("seed_id"), "node_id")
     for hop in range(1, depth + 1):
         frontier = reached if hop == 1 else reached.filter(F.col("node_id") != F.col("seed_id"))
         step = frontier.join(_adjacency(edges), "node_id").select("seed_id", _other_end().alias("node_id"))
@@ -128,8 +134,13 @@ def subgraph_nodes(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None,
 
 def subgraph_edges(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None, depth: int = 2) -> DataFrame:
     """Edges with at least one end closer than ``depth`` hops to the seed."""
-    inner = _reached(nodes, edges, seeds, clamp_depth(depth) - 1)
-    touching = inner.join(_adjacency(edges, "edge_id", "edge_type", "metadata_json"), "node_id")
+    depth = clamp_depth(depth)
+    ends = _adjacency(edges, "edge_id", "edge_type", "metadata_json")
+    if depth == 1:
+        # Each edge is at each of its ends once, so nothing repeats.
+        ids = None if seeds is None else seeds.select(F.col("seed_id").alias("node_id"))
+        return _at_nodes(ends, nodes, ids).select(F.col("node_id").alias("seed_id"), *EDGE_COLUMNS)
+    touching = _reached(nodes, edges, seeds, depth - 1).join(ends, "node_id")
     return touching.select("seed_id", *EDGE_COLUMNS).distinct()
 
 
