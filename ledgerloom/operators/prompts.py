@@ -307,7 +307,4 @@ def answer(prompts: DataFrame, tables: Collections) -> DataFrame:
 
 def trace_references(prompts: DataFrame, tables: Collections) -> DataFrame:
     """``(billing_document_id, kind, ref_id)`` of the nodes and edges trace answers refer to."""
-    trace = Trace(tables, _asked_documents(route(prompts)))
-    nodes = trace.nodes().select(DOCUMENT, F.lit("node").alias("kind"), F.col("node_id").alias("ref_id"))
-    edges = trace.edges().select(DOCUMENT, F.lit("edge").alias("kind"), F.col("edge_id").alias("ref_id"))
-    return nodes.unionByName(edges)
+    return Trace(tables, _asked_documents(route(prompts))).references()

@@ -248,6 +248,34 @@ class Trace:
         linked = self.links(list(shapes)).select(DOCUMENT, F.inline(F.array(edge)))
         return _union([own, posted, linked])
 
+    def references(self) -> DataFrame:
+        """``(billing_document_id, kind, ref_id)`` of all nodes and edges, where ``kind`` is node or edge.
+
+        The same ids as in :meth:`nodes` and :meth:`edges`, from one pass over the facts.
+        """
+        ids = _ids()
+
+        def refs(node: Column | None, edge: Column | None) -> Column:
+            named = (("node", node), ("edge", edge))
+            return F.array(
+                *[F.struct(F.lit(k).alias("kind"), ref.alias("ref_id")) for k, ref in named if ref is not None]
+            )
+
+        customer_edge = join_id("billing_document_for_customer", DOCUMENT)
+        entry_edge = join_id("billing_document_posted_to_journal_entry", DOCUMENT, *ids.entry_key)
+        own = [
+            self.headers.select(DOCUMENT, F.inline(refs(ids.document, None))),
+            self.customers.select(DOCUMENT, F.inline(refs(ids.customer, customer_edge))),
+            self.entries.select(DOCUMENT, F.inline(refs(ids.entry, entry_edge))),
+        ]
+        nodes, edges = _node_shapes(), _edge_shapes()
+        found = F.lit(None)
+        for kind in (*ITEM_LINKS, *ORDER_LINKS):
+            edge = edges[kind].getField("edge_id") if kind in edges else None
+            found = F.when(F.col("kind") == kind, refs(nodes.get(kind), edge)).otherwise(found)
+        linked = self.links([*ITEM_LINKS, *ORDER_LINKS]).select(DOCUMENT, found.alias("refs"))
+        return _union([*own, linked.select(DOCUMENT, F.inline("refs"))])
+
     def counts(self, kinds: Sequence[str]) -> DataFrame:
         """How often each of ``kinds`` occurs, per document."""
         own = {"documents": self.headers, "customers": self.customers, "journal_entries": self.entries}
@@ -312,6 +340,17 @@ def _edge(edge_type: str, edge_id: Column, source: Column, target: Column) -> Co
     )
 
 
+def _node_shapes() -> dict[str, Column]:
+    """Ids of the nodes that kinds of links stand for, from their key columns."""
+    return {
+        "billing_items": join_id("billingitem", DOCUMENT, "a"),
+        "deliveries": join_id("delivery", "a"),
+        "delivery_items": join_id("deliveryitem", "a", "b"),
+        "sales_orders": join_id("salesorder", "a"),
+        "sales_order_items": join_id("salesorderitem", "a", "b"),
+    }
+
+
 def _edge_shapes() -> dict[str, Column]:
     """How each kind of link reads as an edge, from its key columns."""
     return {

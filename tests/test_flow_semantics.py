@@ -191,6 +191,8 @@ def test_trace_matches_a_walk(messy_flow):
     for (doc, node_id), value in nodes.items():
         if value[0] in fixed:
             assert value == expected[doc][0][node_id]
+    references = [(d, "node", i) for d, i in nodes] + [(d, "edge", i) for d, i in edges]
+    assert rows_of(trace.references()) == sorted(references)
     assert rows_of(trace.summary()) == sorted(((d, len(n), len(e)) for d, (n, e) in expected.items()), key=repr)
 
 
