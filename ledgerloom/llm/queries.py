@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.decontamination import find_leaks
 from ledgerloom.llm.frames import table
+from ledgerloom.llm.simhash_dedup import near_duplicates
 from ledgerloom.llm.substring_dedup import remove_repeated
 
 
@@ -31,9 +32,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op7_decontamination": op7_decontamination,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
 
 SQL: dict[str, str] = {}
