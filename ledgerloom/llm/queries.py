@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.decontamination import find_leaks
 from ledgerloom.llm.fingerprints import edited_neighbours
 from ledgerloom.llm.frames import table
+from ledgerloom.llm.language_id import held_out, identify, learn
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.simhash_dedup import near_duplicates
 from ledgerloom.llm.substring_dedup import remove_repeated
@@ -55,12 +56,24 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = learn(documents.filter(~held_out(F.col("doc_id"))))
+    return identify(documents.select("doc_id", "text"), model).select(
+        "row.doc_id",
+        F.coalesce(held_out(F.col("row.doc_id")), F.lit(False)).alias("held_out"),
+        "lang_pred",
+        "score",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_packing": op3_packing,
     "op7_decontamination": op7_decontamination,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_document_fingerprints": op9_document_fingerprints,
+    "op10_language_id": op10_language_id,
 }
 
 SQL: dict[str, str] = {}
