@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import quality
 from ledgerloom.llm.decontamination import find_leaks
 from ledgerloom.llm.fingerprints import edited_neighbours
 from ledgerloom.llm.frames import table
@@ -22,6 +23,18 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    may_learn = ~held_out(F.col("doc_id"))
+    network = quality.learn(documents.filter(may_learn), table(spark, sf_dir, "labels").filter(may_learn))
+    return quality.score(documents, network).select(
+        "row.doc_id",
+        F.coalesce(held_out(F.col("row.doc_id")), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -69,6 +82,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_packing": op3_packing,
     "op7_decontamination": op7_decontamination,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
