@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import quality
+from ledgerloom.llm.chat_format import prefix_tree, read_back
 from ledgerloom.llm.decontamination import find_leaks
 from ledgerloom.llm.fingerprints import edited_neighbours
 from ledgerloom.llm.frames import table
@@ -39,6 +40,17 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+# A conversation whose texts hold control strings of templates.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], given.schema)
+    return read_back(prefix_tree(given.unionByName(odd), tokenizer), tokenizer)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = F.transform("items", lambda x: x.cast("string"))
@@ -84,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_packing": op3_packing,
+    "op4_chat_formatting": op4_chat_formatting,
     "op7_decontamination": op7_decontamination,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_document_fingerprints": op9_document_fingerprints,
