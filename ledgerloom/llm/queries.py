@@ -14,6 +14,7 @@ from ledgerloom.llm.decontamination import find_leaks
 from ledgerloom.llm.fingerprints import edited_neighbours
 from ledgerloom.llm.frames import table
 from ledgerloom.llm.language_id import held_out, identify, learn
+from ledgerloom.llm.license_scan import scan
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.simhash_dedup import near_duplicates
 from ledgerloom.llm.substring_dedup import remove_repeated
@@ -58,6 +59,10 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.page_id", "row.url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = F.transform("items", lambda x: x.cast("string"))
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_html_extraction": op5_html_extraction,
+    "op6_license_scan": op6_license_scan,
     "op7_decontamination": op7_decontamination,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_document_fingerprints": op9_document_fingerprints,
