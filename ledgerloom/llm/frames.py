@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LAST = (1 << 63) - 1
 # Rows that go to a Python worker at once; texts may be long, so far fewer than Spark's 10,000.
@@ -44,6 +45,11 @@ def as_row(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
 
 
+def row_and(rows: DataFrame, more: str) -> T.StructType:
+    """Schema of the column ``row`` and of ``more`` columns given as DDL."""
+    return T.StructType([rows.schema["row"], *T.StructType.fromDDL(more).fields])
+
+
 def identified(docs: DataFrame) -> DataFrame:
     """``row``, ``order`` (``doc_id``, null last) and ``copy``, which tells rows with one ``doc_id`` apart by text.
 
@@ -55,3 +61,16 @@ def identified(docs: DataFrame) -> DataFrame:
     rows = as_row(docs)
     return rows.select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(LAST)).alias("order"), copy.alias("copy"))
 
+
+
+def join_totals(rows: DataFrame, totals: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join ``rows`` with ``totals``, an aggregate by the long ``key``, such that a hot key can be split.
+
+    Joined by the plain key, the aggregate would meet the rows in its own
+    partitions, and Spark only splits a skewed join between two shuffles that
+    nothing stands on. The key's bits are flipped for the join, so that the totals
+    are shuffled once more, by themselves.
+    """
+    flipped = totals.withColumn("_flipped", F.bitwise_not(key)).drop(key)
+    joined = rows.withColumn("_flipped", F.bitwise_not(key)).join(flipped, "_flipped", how)
+    return joined.drop("_flipped")

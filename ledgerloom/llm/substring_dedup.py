@@ -14,8 +14,12 @@ are extended to (at most) twice their length, up to ``window``:
 Every level groups by hash with a partial minimum and maximum of the document
 order (nothing is gathered by key) and joins the survivors back, so a passage
 that a third of all documents share is combined before the shuffle and its join
-partition can be split. Whole texts are shuffled once, by document; both passes
-over that shuffle reuse it.
+partition can be split. Places of one hash within one text (periodic texts) are
+one row. Whole texts are shuffled once, by document; both passes over that
+shuffle reuse it.
+
+A text that equals an earlier one as a whole needs no comparison of parts: all its
+windows stand there. It leaves after the first level; its original stays in.
 """
 
 from __future__ import annotations
@@ -27,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.frames import identified, ready
-from ledgerloom.llm.words import SPACED, Windows, covered, groups, signed, sliding, spans, texts_of, word_hashes
+from ledgerloom.llm.frames import identified, join_totals, ready, row_and
+from ledgerloom.llm.words import SPACED, Windows, covered, groups, mix, signed, sliding, spans, texts_of, word_hashes
 from ledgerloom.session import stage
 
 WINDOW = 50
@@ -38,6 +42,29 @@ def _levels(window: int) -> tuple[int, int, int]:
     return -(-window // 4), -(-window // 2), window
 
 
+def _key(*hashes: np.ndarray) -> np.ndarray:
+    """One hash of several."""
+    key = np.zeros(len(hashes[0]), np.uint64)
+    for h in hashes:
+        key = mix(key * np.uint64(3) + h)
+    return key
+
+
+def _together(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The first row of each key, and the places of its further rows (null where there are none)."""
+    n = len(keys)
+    order = np.argsort(keys, kind="stable")
+    opens = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]]) if n else np.zeros(0, np.int64)
+    if len(opens) == n:
+        return np.arange(n), pa.nulls(n, pa.list_(pa.int32()))
+    sizes = np.diff(np.append(opens, n)) - 1
+    rest = np.delete(places[order], opens)
+    lists = pa.ListArray.from_arrays(
+        pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(rest), mask=pa.array(sizes == 0)
+    )
+    return order[opens], lists
+
+
 def _parts(window: int):
     """Task function: the first level's windows of each text, with the hashes of both extensions."""
     part, half, _ = _levels(window)
@@ -64,17 +91,20 @@ def _parts(window: int):
                 right_hash, left_hash = np.zeros((2, len(at)), np.uint64)
                 right_hash[right] = windows.hash(at[right], half)
                 left_hash[left] = windows.hash(at[left] - (half - part), half)
-                text = pa.array(i + np.searchsorted(ends, at, side="right"))
+                text = i + np.searchsorted(ends, at, side="right")
+                same = mix(_key(grams[at], right_hash, left_hash) ^ text.astype(np.uint64))
+                one, more = _together(same, (at - begin[at]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(signed(grams[at])),
-                        order.take(text),
-                        copy.take(text),
-                        pa.array((at - begin[at]).astype(np.int32)),
-                        pa.array(signed(right_hash), mask=~right),
-                        pa.array(signed(left_hash), mask=~left),
+                        pa.array(signed(grams[at[one]])),
+                        order.take(pa.array(text[one])),
+                        copy.take(pa.array(text[one])),
+                        pa.array((at - begin[at])[one].astype(np.int32)),
+                        more,
+                        pa.array(signed(right_hash[one]), mask=~right[one]),
+                        pa.array(signed(left_hash[one]), mask=~left[one]),
                     ],
-                    ["hash", "order", "copy", "place", "right", "left"],
+                    ["hash", "order", "copy", "place", "more", "right", "left"],
                 )
 
     return run
@@ -99,15 +129,18 @@ def _passages(window: int):
                 fits = starts < n
                 np.add.at(change, starts[fits], 1)
                 np.add.at(change, np.minimum(last[fits] + 1, n), -1)
-                at = np.flatnonzero(np.cumsum(change[:-1]) > 0)
+                at = np.flatnonzero(np.cumsum(change[:-1]) > 0).astype(np.int32)
+                found = Windows(hashes).hash(at, window)
+                one, more = _together(found, at)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(signed(Windows(hashes).hash(at, window))),
-                        pa.array(np.full(len(at), batch.column("order")[k].as_py())),
-                        pa.array(np.full(len(at), batch.column("copy")[k].as_py())),
-                        pa.array(at.astype(np.int32)),
+                        pa.array(signed(found[one])),
+                        pa.array(np.full(len(one), batch.column("order")[k].as_py())),
+                        pa.array(np.full(len(one), batch.column("copy")[k].as_py())),
+                        pa.array(at[one]),
+                        more,
                     ],
-                    ["hash", "order", "copy", "place"],
+                    ["hash", "order", "copy", "place", "more"],
                 )
 
     return run
@@ -136,12 +169,15 @@ def _kept(window: int, one_space: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, places = batch.column("row"), batch.column("places")
+            whole = batch.column("whole").fill_null(False).to_pylist()
             texts, kept, removed = texts_of(row.field("text")), [], []
             _, counts = word_hashes(texts, SPACED)
             for k, data in enumerate(texts):
-                gone = None
-                if places[k].is_valid:
-                    gone = covered(np.asarray(places[k].values, np.int64), window, int(counts[k]))
+                gone, n = None, int(counts[k])
+                if whole[k] and n >= window:
+                    gone = np.ones(n, bool)
+                elif places[k].is_valid:
+                    gone = covered(np.asarray(places[k].values, np.int64), window, n)
                 kept.append(cut(data, gone))
                 removed.append(0 if gone is None else int(gone.sum()))
             yield pa.RecordBatch.from_arrays(
@@ -173,31 +209,42 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, one_space: bool = Fal
     rows = identified(docs)
     narrow = rows.select("order", "copy", F.col("row.text").alias("text"))
 
-    def repeated(found: DataFrame) -> DataFrame:
+    def only_repeated(found: DataFrame) -> DataFrame:
         ends = found.groupBy("hash").agg(F.min("order").alias("first"), F.max("order").alias("last"))
-        return ends.filter("first < last").select("hash")
+        return join_totals(found, ends.filter("first < last").select("hash"), "hash", "left_semi")
 
-    schema = "hash long, order long, copy long, place int, right long, left long"
-    parts = narrow.mapInArrow(_parts(window), schema)
-    hits = stage(parts.join(repeated(parts.select("hash", "order")), "hash", "left_semi").drop("hash"), "parts")
+    def places(found: DataFrame) -> DataFrame:
+        lists = F.collect_list(F.concat(F.array("place"), F.coalesce("more", F.array().cast("array<int>"))))
+        return found.groupBy("order", "copy").agg(F.flatten(lists).alias("places"))
 
+    texts = narrow.select("order", "copy", F.xxhash64("text").alias("hash"), F.md5("text").alias("digest"))
+    originals = texts.groupBy("hash", "digest").agg(F.min("order").alias("first"))
+    copies = join_totals(texts.withColumnRenamed("digest", "own"), originals, "hash")
+    copies = copies.filter((F.col("own") == F.col("digest")) & (F.col("order") > F.col("first")))
+    copies = stage(copies.select("order", "copy").distinct(), "copies")
+
+    schema = "hash long, order long, copy long, place int, more array<int>"
+    parts = narrow.mapInArrow(_parts(window), f"{schema}, right long, left long")
+    hits = only_repeated(parts).drop("hash").join(copies, ["order", "copy"], "left_anti")
+    hits = stage(hits, "parts")
+
+    ahead = half - part
+    before = F.transform("more", lambda x: x - ahead)
     sides = F.array(
-        F.struct(F.col("right").alias("hash"), F.col("place")),
-        F.struct(F.col("left").alias("hash"), (F.col("place") - (half - part)).alias("place")),
+        F.struct(F.col("right").alias("hash"), "place", "more"),
+        F.struct(F.col("left").alias("hash"), (F.col("place") - ahead).alias("place"), before.alias("more")),
     )
     halves = hits.select("order", "copy", F.explode(sides).alias("side")).select("order", "copy", "side.*")
-    halves = halves.filter("hash is not null")
-    around = halves.join(repeated(halves.select("hash", "order")), "hash", "left_semi")
-    around = around.groupBy("order", "copy").agg(F.collect_set("place").alias("places"))
-
-    passages = rows.join(around, ["order", "copy"]).mapInArrow(
-        _passages(window), "hash long, order long, copy long, place int"
+    around = places(only_repeated(halves.filter("hash is not null")))
+
+    passages = rows.join(around, ["order", "copy"]).mapInArrow(_passages(window), schema)
+    ends = passages.groupBy("hash").agg(F.min("order").alias("first"), F.max("order").alias("last"))
+    gone = join_totals(passages, ends.filter("first < last").select("hash", "first"), "hash")
+    gone = places(gone.filter(F.col("order") > F.col("first")))
+    gone = gone.withColumn("whole", F.lit(False)).unionByName(
+        copies.select("order", "copy", F.lit(None).cast("array<int>").alias("places"), F.lit(True).alias("whole"))
     )
-    first = passages.groupBy("hash").agg(F.min("order").alias("first"))
-    gone = passages.join(first, "hash").filter(F.col("order") > F.col("first"))
-    gone = gone.groupBy("order", "copy").agg(F.collect_list("place").alias("places"))
 
-    row_type = rows.schema["row"].dataType.simpleString()
     return rows.join(gone, ["order", "copy"], "left").mapInArrow(
-        _kept(window, one_space), f"row {row_type}, kept string, n_words long, n_removed long"
+        _kept(window, one_space), row_and(rows, "kept string, n_words long, n_removed long")
     )
