@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import boosting, dom
-from ledgerloom.llm.frames import as_row, ready
+from ledgerloom.llm.frames import as_row, ready, row_and
 
 # Pages whose sentences the training pages are made of, and training pages.
 SAMPLE_PAGES = 200
@@ -330,4 +330,4 @@ def extract(pages: DataFrame, trees: boosting.Trees) -> DataFrame:
             texts += _texts(pages, rows, trees)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, text string")
+    return rows.mapInArrow(run, row_and(rows, "text string"))

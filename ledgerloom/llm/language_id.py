@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.frames import as_row, ready
+from ledgerloom.llm.frames import as_row, ready, row_and
 from ledgerloom.llm.words import ALNUM, ALNUM_BLANKS, PIECE, groups, spans, texts_of
 
 UNKNOWN = "und"
@@ -279,9 +279,8 @@ def identify(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFra
                 ["row", "lang_pred", "score", "spans"],
             )
 
-    row_type = rows.schema["row"].dataType.simpleString()
     spans_type = "array<struct<first: long, after: long, lang: string>>"
-    return rows.mapInArrow(run, f"row {row_type}, lang_pred string, score double, spans {spans_type}")
+    return rows.mapInArrow(run, row_and(rows, f"lang_pred string, score double, spans {spans_type}"))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.frames import as_row, ready
+from ledgerloom.llm.frames import as_row, ready, row_and
 from ledgerloom.llm.words import SPACED, Windows, spans, texts_of, word_hashes
 
 # Most documents in either training set; the sets go to the driver as statistics only.
@@ -205,4 +205,4 @@ def score(docs: DataFrame, network: Network | None) -> DataFrame:
                 scores = network.score(np.array([statistics(t) for t in texts]).reshape(-1, STATISTICS))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores)], ["row", "score"])
 
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(run, row_and(rows, "score double"))
