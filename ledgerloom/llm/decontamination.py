@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.fm_index import FMIndex
-from ledgerloom.llm.frames import as_row, ready
+from ledgerloom.llm.frames import as_row, ready, row_and
 from ledgerloom.llm.words import ALNUM, ALNUM_BLANKS, covered, groups, spans, texts_of, word_hashes
 
 WINDOW = 10
@@ -131,6 +131,8 @@ def _task(blocks: list, window: int):
                 for shared in blocks:
                     block: Block = shared.value
                     for text, place, which in _hits(hashes, counts[i:j], block, window):
+                        if not len(text):
+                            continue
                         order = np.argsort(text, kind="stable")
                         text, place, which = text[order], place[order], which[order]
                         cuts = np.flatnonzero(np.diff(text, prepend=-1))
@@ -181,8 +183,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
     ready(spark)
     blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, window)]
     rows = as_row(docs)
-    row_type = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(
-        _task(blocks, window),
-        f"row {row_type}, n_words long, spans array<struct<first: long, after: long>>, items array<long>, clean string",
-    )
+    more = "n_words long, spans array<struct<first: long, after: long>>, items array<long>, clean string"
+    return rows.mapInArrow(_task(blocks, window), row_and(rows, more))
