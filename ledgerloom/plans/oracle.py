@@ -10,10 +10,14 @@ AS_OF = "DATE '1998-08-02'"
 
 COLLECTIONS = """
 lines AS (
-  SELECT l_orderkey AS ok, l_linenumber AS ln, min(l_partkey) AS partkey, min(l_suppkey) AS suppkey,
-         sum(CAST(l_quantity AS DECIMAL(15,2))) AS qty, sum(CAST(l_extendedprice AS DECIMAL(15,2))) AS amt,
-         CAST(min(l_shipdate) AS DATE) AS shipdate, max(l_linestatus) AS ls, max(l_returnflag) AS rf
-  FROM lineitem GROUP BY 1, 2),
+  SELECT l_orderkey AS ok,
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber NULLS FIRST, l_partkey NULLS FIRST,
+           l_suppkey NULLS FIRST, l_quantity NULLS FIRST, l_extendedprice NULLS FIRST, l_discount NULLS FIRST,
+           l_tax NULLS FIRST, l_returnflag NULLS FIRST, l_linestatus NULLS FIRST, l_shipdate NULLS FIRST) AS ln,
+         l_partkey AS partkey, l_suppkey AS suppkey, CAST(l_quantity AS DECIMAL(15,2)) AS qty,
+         CAST(l_extendedprice AS DECIMAL(15,2)) AS amt, CAST(l_shipdate AS DATE) AS shipdate,
+         l_linestatus AS ls, l_returnflag AS rf
+  FROM lineitem),
 billed AS (
   SELECT b.*, o_custkey AS custkey, o_orderstatus AS status
   FROM (SELECT ok, min(shipdate) AS billed_on, sum(amt) AS total, min(rf) = 'R' AS cancelled

@@ -1,6 +1,6 @@
 """The given tables as an order-to-cash dataset, prepared once per session.
 
-Like a load before querying: the merged line items and the built graph are
+Like a load before querying: the numbered line items and the built graph are
 written to the staging folder when a query first needs them, and every query
 reads from there. No query result is kept.
 """

@@ -2,8 +2,8 @@
 
 Line items give the sales, delivery and billing items of one order; delivery,
 billing, accounting and payment documents get number ranges of their own. Line
-numbers repeat within an order, so the lines are merged first; that table is
-staged, and all item collections are projections of it without a shuffle.
+numbers repeat within an order, so the lines are numbered anew first; that table
+is staged, and all item collections are projections of it without a shuffle.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import posixpath
 from collections.abc import Callable
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.keys import item6
@@ -44,21 +44,38 @@ def _item() -> Column:
     return _text(F.col("ln") * 10)
 
 
-def _greatest_letter(column: str) -> Column:
-    """Greatest of one-letter values; numbers let the grouping hash instead of sort."""
-    return F.char(F.max(F.ascii(column)))
+# All columns of a line but its order, by which the lines of an order are numbered.
+LINE_ORDER = (
+    "l_linenumber",
+    "l_partkey",
+    "l_suppkey",
+    "l_quantity",
+    "l_extendedprice",
+    "l_discount",
+    "l_tax",
+    "l_returnflag",
+    "l_linestatus",
+    "l_shipdate",
+)
 
 
-def merged_lines(lineitem: DataFrame) -> DataFrame:
-    """One row per (order, line number)."""
-    return lineitem.groupBy(F.col("l_orderkey").alias("ok"), F.col("l_linenumber").alias("ln")).agg(
-        F.min("l_partkey").alias("partkey"),
-        F.min("l_suppkey").alias("suppkey"),
-        F.sum(F.col("l_quantity").cast(MONEY)).alias("qty"),
-        F.sum(F.col("l_extendedprice").cast(MONEY)).alias("amt"),
-        F.min("l_shipdate").cast("date").alias("shipdate"),
-        _greatest_letter("l_linestatus").alias("ls"),
-        _greatest_letter("l_returnflag").alias("rf"),
+def numbered_lines(lineitem: DataFrame) -> DataFrame:
+    """Every line, numbered from 1 within its order.
+
+    Line numbers repeat within an order, so all columns decide the number; lines
+    that agree in all of them are interchangeable. A window holds one order.
+    """
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER))
+    return lineitem.select(
+        F.col("l_orderkey").alias("ok"),
+        number.alias("ln"),
+        F.col("l_partkey").alias("partkey"),
+        F.col("l_suppkey").alias("suppkey"),
+        F.col("l_quantity").cast(MONEY).alias("qty"),
+        F.col("l_extendedprice").cast(MONEY).alias("amt"),
+        F.col("l_shipdate").cast("date").alias("shipdate"),
+        F.col("l_linestatus").alias("ls"),
+        F.col("l_returnflag").alias("rf"),
     )
 
 
@@ -100,7 +117,7 @@ def order_to_cash(spark: SparkSession, folder: str) -> Collections:
 
     @cache
     def lines() -> DataFrame:
-        return stage(merged_lines(table("lineitem")), "lines")
+        return stage(numbered_lines(table("lineitem")), "lines")
 
     @cache
     def billed() -> DataFrame:

@@ -102,8 +102,3 @@ def messy_flow(make_tables):
         ],
     }
     return rows, make_tables(**rows)
-
-
-def rows_of(df, *columns):
-    """Rows as a sorted list of tuples, in the order of ``columns``."""
-    return sorted((tuple(row) for row in df.select(*(columns or df.columns)).collect()), key=repr)

@@ -5,7 +5,7 @@ import json
 
 import duckdb
 import pytest
-from conftest import rows_of
+from helpers import rows_of
 
 from ledgerloom.operators import analytics, flows, graph_build, quality
 from ledgerloom.operators.trace import DOCUMENT, Trace, trace_facts, unknown_documents

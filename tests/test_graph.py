@@ -4,7 +4,7 @@ import random
 from itertools import product
 
 import pytest
-from conftest import rows_of
+from helpers import rows_of
 
 from ledgerloom.operators import graph_build, graph_checks, graph_query
 from ledgerloom.sources.graph_store import EDGE_SCHEMA, NODE_SCHEMA, Graph, GraphIntegrityError, counts, read_graph, write_graph

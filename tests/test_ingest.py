@@ -2,7 +2,7 @@ import json
 import os
 
 import pytest
-from conftest import rows_of
+from helpers import rows_of
 from pyspark.sql import functions as F
 
 from ledgerloom.sources import ingest, jsonl

@@ -3,7 +3,7 @@
 import os
 
 import pytest
-from conftest import rows_of
+from helpers import rows_of
 
 from ledgerloom.operators import flows, graph_build, graph_query, quality
 from ledgerloom.operators.trace import DOCUMENT, Trace
