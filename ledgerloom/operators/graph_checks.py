@@ -51,13 +51,9 @@ def absent_ids(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     return stage(ids.select("node_id").dropna().distinct().join(known, "node_id", "left_anti"), "absent")
 
 
-def dangling_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(edge_id, edge_type, end, missing_id)`` for each edge end without a node row.
-
-    Ends are reduced to distinct ids before they meet the nodes, so a node with
-    very many edges is looked up once.
-    """
-    ends = edges.select(
+def _ends(edges: DataFrame) -> DataFrame:
+    """``(edge_id, edge_type, end, node_id)`` of both ends."""
+    return edges.select(
         "edge_id",
         "edge_type",
         F.inline(
@@ -67,5 +63,25 @@ def dangling_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             )
         ),
     )
+
+
+def dangling_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(edge_type, end, edges, dangling)``: how many edge ends lead to no node, zeros included."""
+    absent = absent_ids(nodes, _ends(edges)).withColumn("missing", F.lit(True))
+    return (
+        _ends(edges)
+        .join(absent, "node_id", "left")
+        .groupBy("edge_type", "end")
+        .agg(F.count("*").alias("edges"), F.count("missing").alias("dangling"))
+    )
+
+
+def dangling_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(edge_id, edge_type, end, missing_id)`` for each edge end without a node row.
+
+    Ends are reduced to distinct ids before they meet the nodes, so a node with
+    very many edges is looked up once.
+    """
+    ends = _ends(edges)
     absent = absent_ids(nodes, ends)
     return ends.join(absent, "node_id").select("edge_id", "edge_type", "end", F.col("node_id").alias("missing_id"))

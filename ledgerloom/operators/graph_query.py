@@ -16,7 +16,6 @@ from ledgerloom.operators.graph_build import EDGE_COLUMNS, EDGE_ENDS, NODE_COLUM
 from ledgerloom.operators.graph_checks import absent_ids
 from ledgerloom.session import stage
 
-MAX_DEPTH = 2
 SAMPLE_SIZE = 5
 PAGE_SIZE = 500
 MAX_PAGE_SIZE = 1000
@@ -87,10 +86,18 @@ def neighbors(nodes: DataFrame, edges: DataFrame, ids: DataFrame | None = None)
 
 
 def related_counts(nodes: DataFrame, edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """Number of distinct neighbours per node and neighbour type."""
-    pairs = incident_edges(nodes, edges.select(*EDGE_COLUMNS), ids).select("node_id", "neighbor_id").distinct()
-    types = nodes.select(F.col("node_id").alias("neighbor_id"), F.col("node_type").alias("related_type"))
-    return pairs.join(types, "neighbor_id").groupBy("node_id", "related_type").agg(F.count("*").alias("related"))
+    """Number of distinct neighbours per node and neighbour type.
+
+    The type of a neighbour follows from the edge type and the direction, so the
+    pairs needn't meet the nodes; those without a node row are taken out instead.
+    """
+    ends = F.create_map(*[F.lit(x) for name, (source, target) in EDGE_ENDS.items() for x in (name, (source + "|" + target))])
+    side = F.when(F.col("direction") == "outgoing", 1).otherwise(0)
+    related = F.split(ends[F.col("edge_type")], "[|]")[side].alias("related_type")
+    pairs = incident_edges(nodes, edges.select(*EDGE_COLUMNS), ids).select("node_id", "neighbor_id", related).distinct()
+    absent = absent_ids(nodes, pairs.select(F.col("neighbor_id").alias("node_id")))
+    known = pairs.join(absent.select(F.col("node_id").alias("neighbor_id")), "neighbor_id", "left_anti")
+    return known.groupBy("node_id", "related_type").agg(F.count("*").alias("related"))
 
 
 def _adjacency(edges: DataFrame, *columns: str) -> DataFrame:
@@ -122,19 +129,20 @@ def _reached(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None, depth:
 
 
 def subgraph_nodes(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None, depth: int = 2) -> DataFrame:
-    """Nodes within ``depth`` (1 or 2) undirected hops of each ``seeds(seed_id)``.
+    """Nodes within ``depth`` undirected hops (1 or more) of each ``seeds(seed_id)``.
 
     A seed that is no node has an empty subgraph. Without ``seeds`` every node
-    is one; at depth 2 that relates all neighbours of a hub to each other, so
-    name the seeds there.
+    is one, at depth 1 only: beyond, all neighbours of a hub would be related to
+    each other.
     """
-    reached = _reached(nodes, edges, seeds, clamp_depth(depth))
+    _check_depth(depth, seeds)
+    reached = _reached(nodes, edges, seeds, depth)
     return reached.join(nodes, "node_id").select("seed_id", *NODE_COLUMNS)
 
 
 def subgraph_edges(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None, depth: int = 2) -> DataFrame:
     """Edges with at least one end closer than ``depth`` hops to the seed."""
-    depth = clamp_depth(depth)
+    _check_depth(depth, seeds)
     ends = _adjacency(edges, "edge_id", "edge_type", "metadata_json")
     if depth == 1:
         # Each edge is at each of its ends once, so nothing repeats.
@@ -144,8 +152,11 @@ def subgraph_edges(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None,
     return touching.select("seed_id", *EDGE_COLUMNS).distinct()
 
 
-def clamp_depth(depth: int) -> int:
-    return max(1, min(depth, MAX_DEPTH))
+def _check_depth(depth: int, seeds: DataFrame | None) -> None:
+    if depth < 1:
+        raise ValueError("depth must be at least 1")
+    if depth > 1 and seeds is None:
+        raise ValueError("name the seeds of subgraphs deeper than 1")
 
 
 def type_counts(rows: DataFrame, type_column: str) -> DataFrame:
@@ -202,21 +213,24 @@ def highlight(rows: DataFrame, id_column: str, referenced: DataFrame) -> DataFra
     )
 
 
-def _page(rows: DataFrame, order_column: str, limit: int, offset: int) -> DataFrame:
+def _page(rows: DataFrame, key: str, limit: int, after_id: str | None) -> DataFrame:
+    """The first ``limit`` rows behind ``after_id``: however deep a page is, a task keeps ``limit`` rows."""
     if not 1 <= limit <= MAX_PAGE_SIZE:
         raise ValueError(f"limit must be between 1 and {MAX_PAGE_SIZE}")
-    if offset < 0:
-        raise ValueError("offset must not be negative")
     total = rows.agg(F.count("*").alias("total"))
-    return rows.orderBy(order_column).offset(offset).limit(limit).withColumn("total", total.scalar())
+    left = rows if after_id is None else rows.filter(F.col(key) > after_id)
+    return left.orderBy(key).limit(limit).withColumn("total", total.scalar())
 
 
 def node_page(
-    nodes: DataFrame, node_type: str | None = None, limit: int = PAGE_SIZE, offset: int = 0
+    nodes: DataFrame, node_type: str | None = None, limit: int = PAGE_SIZE, after_id: str | None = None
 ) -> DataFrame:
-    """One page of nodes by id, each row with the total number of matches."""
+    """One page of nodes by id, each row with the total number of matches.
+
+    ``after_id`` is the last id of the page before; without it this is the first page.
+    """
     rows = nodes if node_type is None else nodes.filter(F.col("node_type") == node_type)
-    return _page(rows.select(*NODE_COLUMNS), "node_id", limit, offset)
+    return _page(rows.select(*NODE_COLUMNS), "node_id", limit, after_id)
 
 
 def filter_edges(
@@ -238,9 +252,11 @@ def filter_edges(
     return rows if source_id is None else rows.filter(F.col("source_id") == source_id)
 
 
-def edge_page(edges: DataFrame, limit: int = PAGE_SIZE, offset: int = 0, **filters: str | None) -> DataFrame:
-    """One page of edges by id; see :func:`filter_edges` for the filters."""
-    return _page(filter_edges(edges, **filters).select(*EDGE_COLUMNS), "edge_id", limit, offset)
+def edge_page(
+    edges: DataFrame, limit: int = PAGE_SIZE, after_id: str | None = None, **filters: str | None
+) -> DataFrame:
+    """One page of edges by id; see :func:`node_page`, and :func:`filter_edges` for the filters."""
+    return _page(filter_edges(edges, **filters).select(*EDGE_COLUMNS), "edge_id", limit, after_id)
 
 
 def typed_path(nodes: DataFrame, edges: DataFrame, edge_types: Sequence[str]) -> DataFrame:

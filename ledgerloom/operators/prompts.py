@@ -9,7 +9,7 @@ prompts on the document, so they are a table of their own.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,6 +78,7 @@ ANSWER_UNKNOWN = (
 ANSWER_NO_PRODUCTS = "No products found in the dataset."
 
 CITED_PRODUCTS = 10
+LISTED_PRODUCTS = 50
 CITED_FLOWS = 50
 FLOW_NODE_PREFIXES = ("delivery", "billingdocument", "salesorder")
 
@@ -99,7 +100,7 @@ def _any_of(text: Column, phrases: tuple[str, ...]) -> Column:
     return found
 
 
-def _literals(words: list[str]) -> Column:
+def _literals(words: Sequence[str]) -> Column:
     return F.array(*[F.lit(word) for word in words])
 
 
@@ -160,24 +161,18 @@ def route(prompts: DataFrame) -> DataFrame:
     )
 
 
-def _ranking_facts(tables: Collections) -> DataFrame:
-    """One row: the number of products and the first ten with their counts."""
-    counted = flows.products_by_billing(tables)
-    best = flows.top_products(tables, CITED_PRODUCTS).agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct((-F.col("billing_document_count")).alias("rank"), "product", "billing_document_count")
-            )
-        ).alias("best")
-    )
-    return counted.agg(F.count("*").alias("products")).select(
-        F.lit(TOP_PRODUCTS).alias("intent"), "products", best.scalar().alias("best")
-    )
+def _ranking_facts(tables: Collections, most: int) -> tuple[Column, Column]:
+    """The number of products, and the first ``most`` with their counts."""
+    counted = stage(flows.products_by_billing(tables), "ranking")
+    rank = F.struct((-F.col("billing_document_count")).alias("rank"), "product", "billing_document_count")
+    first = counted.orderBy(F.desc("billing_document_count"), "product").limit(most)
+    best = first.agg(F.array_sort(F.collect_list(rank)).alias("best"))
+    return counted.agg(F.count("*").alias("products")).scalar(), best.scalar()
 
 
-def _flow_facts(tables: Collections) -> DataFrame:
-    """One row: the three counts and the sampled ids in report order."""
-    summary = flows.broken_flow_summary(tables)
+def _flow_facts(tables: Collections, sample: int, most: int) -> Column:
+    """The three counts, the sampled ids in report order, and both as one object."""
+    summary = flows.broken_flow_summary(tables, sample)
 
     def of(bucket: str, column: str) -> Column:
         return F.max(F.when(F.col("bucket") == bucket, F.col(column)))
@@ -192,16 +187,19 @@ def _flow_facts(tables: Collections) -> DataFrame:
     )
     samples = F.concat(*[f"sample_{i}" for i, _ in buckets])
     node_ids = F.concat(*[F.transform(f"sample_{i}", prefixed(FLOW_NODE_PREFIXES[i])) for i, _ in buckets])
+    cited = [F.struct(F.col(f"flow_{i}").alias("count"), F.col(f"sample_{i}").alias("sample_ids")).alias(b) for i, b in buckets]
     return row.select(
-        F.lit(BROKEN_FLOWS).alias("intent"),
-        *[f"flow_{i}" for i, _ in buckets],
-        F.slice(samples, 1, CITED_FLOWS).alias("flow_ids"),
-        F.slice(node_ids, 1, CITED_FLOWS).alias("flow_node_ids"),
-    )
+        F.struct(
+            *[f"flow_{i}" for i, _ in buckets],
+            F.slice(samples, 1, most).alias("flow_ids"),
+            F.slice(node_ids, 1, most).alias("flow_node_ids"),
+            F.to_json(F.struct(*cited)).alias("cited"),
+        )
+    ).scalar()
 
 
 def _asked_documents(routed: DataFrame) -> DataFrame:
-    """Document ids to trace, staged: a trace uses them several times, the prompts are read once."""
+    """Document ids to trace, staged: a trace uses them several times."""
     return stage(routed.filter(F.col(DOCUMENT).isNotNull()).select(DOCUMENT).distinct(), "asked")
 
 
@@ -217,29 +215,44 @@ def _counted(value: str, label: str) -> Column:
     return F.concat(F.lit("- "), F.col(value).cast("string"), F.lit(f" {label}"))
 
 
-def answer(prompts: DataFrame, tables: Collections) -> DataFrame:
-    """``prompts`` with intent, answer text, clarification flag and cited ids.
-
-    ``cited_ids`` holds the bare ids of ranking and broken-flow answers and
-    ``cited_node_ids`` the graph node ids they stand for; both have at most 50
-    entries. The ids of a trace are in :func:`trace_references`.
+def answer(
+    prompts: DataFrame,
+    tables: Collections,
+    cited_products: int = CITED_PRODUCTS,
+    cited_flows: int = CITED_FLOWS,
+    sample: int = flows.SAMPLE_SIZE,
+    listed_products: int = LISTED_PRODUCTS,
+) -> DataFrame:
+    """``prompts`` with intent, answer text, clarification flag, cited ids and the data behind them.
+
+    ``cited_ids`` holds the bare ids of ranking (``cited_products`` at most) and
+    broken-flow answers (``cited_flows`` at most, ``sample`` of each kind) and
+    ``cited_node_ids`` the graph node ids they stand for. ``cited_data_summary`` is
+    JSON text: the asked limit and the ranking rows (``listed_products`` at most),
+    the three kinds of broken flows with counts and samples, or the sizes of a
+    trace; ``{}`` for all other answers. The ids of a trace are in
+    :func:`trace_references`. The routed prompts are staged: both the documents to
+    trace and the answers read them.
     """
-    routed = route(prompts)
-    facts = trace_facts(tables, _asked_documents(routed)).withColumnRenamed(DOCUMENT, "traced")
+    routed = stage(route(prompts), "routed")
+    asked = _asked_documents(routed)
+    sizes = Trace(tables, asked).summary()
+    facts = trace_facts(tables, asked).join(sizes, DOCUMENT).withColumnRenamed(DOCUMENT, "traced")
     # Prompts that ask for no document would all share one key; a number made
     # from the row spreads them. Document ids are digits, so nothing meets it.
     spread = F.concat(F.lit("none-"), F.xxhash64(*prompts.columns).cast("string"))
     joined = (
         routed.withColumn("traced", F.coalesce(DOCUMENT, spread))
         .join(facts, "traced", "left")
-        .join(_ranking_facts(tables), "intent", "left")
-        .join(_flow_facts(tables), "intent", "left")
     )
+    products, best = _ranking_facts(tables, max(cited_products, listed_products))
+    joined = joined.withColumns({"products": products, "best": best, "flow": _flow_facts(tables, sample, cited_flows)})
+    joined = joined.select("*", "flow.*")
 
     wanted = F.coalesce(F.col("product_limit").try_cast("decimal(38,0)"), F.col("products").cast("decimal(38,0)"))
     limit = F.when(F.col("product_limit").isNull(), F.lit(flows.DEFAULT_LIMIT)).otherwise(wanted)
     listed = F.least(limit.cast("decimal(38,0)"), F.col("products").cast("decimal(38,0)")).cast("bigint")
-    cited = F.slice("best", F.lit(1), F.least(listed, F.lit(CITED_PRODUCTS)).cast("int"))
+    cited = F.slice("best", F.lit(1), F.least(listed, F.lit(cited_products)).cast("int"))
     leader = F.get("best", F.lit(0))
     ranking = F.when(listed == 0, ANSWER_NO_PRODUCTS).otherwise(
         F.concat(
@@ -288,6 +301,20 @@ def answer(prompts: DataFrame, tables: Collections) -> DataFrame:
         .when(_is_blank(F.col("prompt")), ANSWER_EMPTY)
         .otherwise(ANSWER_UNKNOWN)
     )
+    rows = F.transform(
+        F.slice("best", F.lit(1), F.least(listed, F.lit(listed_products)).cast("int")),
+        lambda p: F.struct(p["product"].alias("product"), p["billing_document_count"].alias("billing_document_count")),
+    )
+    ranked = F.to_json(F.struct(limit.cast("decimal(38,0)").alias("limit"), rows.alias("results")))
+    traced_sizes = F.to_json(F.struct("nodes", "edges"))
+    cited_data = (
+        F.when(failed, "{}")
+        .when((intent == TOP_PRODUCTS) & (listed == 0), '{"count":0}')
+        .when(intent == TOP_PRODUCTS, ranked)
+        .when(intent == BROKEN_FLOWS, F.col("cited"))
+        .when((intent == TRACE) & F.col(DOCUMENT).isNotNull(), traced_sizes)
+        .otherwise("{}")
+    )
     none = F.array().cast("array<string>")
     products = F.transform(cited, lambda p: p["product"])
     ids = F.when(intent == TOP_PRODUCTS, products).when(intent == BROKEN_FLOWS, F.col("flow_ids")).otherwise(none)
@@ -302,6 +329,7 @@ def answer(prompts: DataFrame, tables: Collections) -> DataFrame:
         .when(intent == BROKEN_FLOWS, F.col("flow_node_ids"))
         .otherwise(none)
         .alias("cited_node_ids"),
+        cited_data.alias("cited_data_summary"),
     )
 
 

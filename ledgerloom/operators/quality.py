@@ -204,18 +204,23 @@ def column_profile(tables: Collections, names: Iterable[str]) -> DataFrame:
 
 
 def collection_profile(tables: Collections, names: Iterable[str]) -> DataFrame:
-    """``(collection, row_count, columns)`` with the column names in order."""
-    return column_profile(tables, names).groupBy("collection").agg(
-        F.max("rows").alias("row_count"), F.array_join(F.array_sort(F.collect_list("column")), ", ").alias("columns")
-    )
+    """``(collection, row_count, columns)`` with the column names in order; names come from the schema."""
+    parts = []
+    for name in names:
+        columns = ", ".join(sorted(field.name.lower() for field in _source_fields(tables[name])))
+        counted = tables[name].agg(F.count("*").alias("row_count"))
+        parts.append(counted.select(F.lit(name).alias("collection"), "row_count", F.lit(columns).alias("columns")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def sample_records(tables: Collections, names: Iterable[str]) -> DataFrame:
-    """``(collection, sample)`` with one record of each collection as JSON text."""
+    """``(collection, sample)`` with the first record of each collection, by its columns in order of name, as JSON text."""
     parts = []
     for name in names:
-        record = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
-        parts.append(tables[name].limit(1).select(F.lit(name).alias("collection"), record.alias("sample")))
+        columns = sorted(tables[name].columns)
+        record = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+        first = tables[name].orderBy(*[F.asc_nulls_last(c) for c in columns]).limit(1)
+        parts.append(first.select(F.lit(name).alias("collection"), record.alias("sample")))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -165,7 +165,12 @@ CORE = [
     "journal_entry_items_accounts_receivable", "payments_accounts_receivable", "business_partner_addresses",
 ]
 OPTIONAL = CORE[9:]
-LOADED = ["sales_order_items", "outbound_delivery_items", "billing_document_items", "business_partners"]
+LOADED = ["sales_order_items", "outbound_delivery_items", "billing_document_items"]
+# Tables that give one line each to a collection's files that loading must reject.
+REJECTED = {
+    "sales_order_headers": ("nation",), "outbound_delivery_headers": ("region",), "billing_document_headers": ("region",),
+    "business_partners": ("nation", "region"), "products": ("region", "nation"), "plants": ("region",),
+}
 
 
 def _pad(column: str) -> str:
@@ -330,7 +335,7 @@ BILLED_FOR = _edge(
     "billing_document_items b WHERE b.material IS NOT NULL")
 
 ALL_NODES, ALL_EDGES = _union(list(NODES.values())), _union(list(EDGES.values()))
-GRAPH = f"graph_nodes AS ({ALL_NODES}), graph_edges AS ({ALL_EDGES})"
+GRAPH = f"graph_nodes AS MATERIALIZED ({ALL_NODES}), graph_edges AS MATERIALIZED ({ALL_EDGES})"
 
 
 def _count(table: str, alias: str = "rows") -> str:
@@ -338,17 +343,22 @@ def _count(table: str, alias: str = "rows") -> str:
 
 
 NOT_BILLED = (
-    f"SELECT DISTINCT d.deliverydocument FROM outbound_delivery_items d LEFT JOIN billing_document_items b "
-    f"ON {_BILLING_OF_DELIVERY} WHERE b.billingdocument IS NULL"
+    "SELECT DISTINCT deliverydocument FROM outbound_delivery_items d WHERE NOT EXISTS "
+    f"(SELECT 1 FROM billing_document_items b WHERE {_BILLING_OF_DELIVERY}) OR EXISTS "
+    f"(SELECT 1 FROM billing_document_items b WHERE b.billingdocument IS NULL AND {_BILLING_OF_DELIVERY})"
 )
 NOT_DELIVERED = (
-    f"SELECT DISTINCT b.billingdocument FROM billing_document_items b LEFT JOIN outbound_delivery_items d "
-    f"ON {_BILLING_OF_DELIVERY} WHERE d.deliverydocument IS NULL"
+    "SELECT DISTINCT billingdocument FROM billing_document_items b WHERE NOT EXISTS "
+    f"(SELECT 1 FROM outbound_delivery_items d WHERE {_BILLING_OF_DELIVERY}) OR EXISTS "
+    f"(SELECT 1 FROM outbound_delivery_items d WHERE d.deliverydocument IS NULL AND {_BILLING_OF_DELIVERY})"
 )
+# An order is open if it has no items, or an item that no delivery item refers to; a reference from a row
+# without a number doesn't count.
 NO_DOWNSTREAM = (
-    "SELECT DISTINCT h.salesorder FROM sales_order_headers h LEFT JOIN sales_order_items s "
-    f"ON h.salesorder = s.salesorder LEFT JOIN outbound_delivery_items d ON {_DELIVERY_OF_ORDER} "
-    "WHERE d.deliverydocument IS NULL"
+    "SELECT DISTINCT salesorder FROM sales_order_headers h WHERE NOT EXISTS "
+    "(SELECT 1 FROM sales_order_items s WHERE s.salesorder = h.salesorder) OR EXISTS "
+    "(SELECT 1 FROM sales_order_items s LEFT JOIN outbound_delivery_items d "
+    f"ON {_DELIVERY_OF_ORDER} WHERE s.salesorder = h.salesorder AND d.deliverydocument IS NULL)"
 )
 BUCKETS = {
     "delivered_but_not_billed": (NOT_BILLED, "deliverydocument", "delivery_"),
@@ -573,11 +583,12 @@ ends AS (
   UNION ALL SELECT target_id, 'incoming', source_id, * FROM graph_edges),
 pairs AS (SELECT DISTINCT node_id, neighbor_id FROM ends)
 """
-PLANT_HOPS = """
-seeds AS (SELECT node_id AS seed_id FROM graph_nodes WHERE node_type = 'Plant'),
+HOPS = """
+seeds AS (SELECT node_id AS seed_id FROM graph_nodes WHERE node_type IN ({types})),
 links AS (SELECT source_id AS a, target_id AS b FROM graph_edges UNION SELECT target_id, source_id FROM graph_edges),
 hop1 AS (SELECT seed_id, seed_id AS node_id FROM seeds UNION SELECT seed_id, b FROM seeds JOIN links ON a = seed_id),
-hop2 AS (SELECT * FROM hop1 UNION SELECT seed_id, b FROM hop1 JOIN links ON a = node_id)
+hop2 AS (SELECT * FROM hop1 UNION SELECT seed_id, b FROM hop1 JOIN links ON a = node_id),
+hop3 AS (SELECT * FROM hop2 UNION SELECT seed_id, b FROM hop2 JOIN links ON a = node_id)
 """
 
 EXAMPLE_PROMPTS = [
@@ -679,13 +690,21 @@ ranked AS (
 totals AS (
   SELECT (SELECT count(*) FROM ranking) AS products,
          (SELECT list(product ORDER BY place) FROM ranked WHERE place <= 10) AS best,
+         (SELECT list('{{"product":"' || product || '","billing_document_count":' || billing_document_count || '}}'
+                      ORDER BY place) FROM ranked WHERE place <= 50) AS best_rows,
          (SELECT billing_document_count FROM ranked WHERE place = 1) AS best_count),
 flow_totals AS (
   SELECT count(*) FILTER (place = 0) AS n0, count(*) FILTER (place = 1) AS n1, count(*) FILTER (place = 2) AS n2,
          list(document ORDER BY place, n) FILTER (n <= 20) AS documents,
+         list('"' || document || '"' ORDER BY n) FILTER (place = 0 AND n <= 20) AS s0,
+         list('"' || document || '"' ORDER BY n) FILTER (place = 1 AND n <= 20) AS s1,
+         list('"' || document || '"' ORDER BY n) FILTER (place = 2 AND n <= 20) AS s2,
          list(node_id ORDER BY place, n) FILTER (n <= 20) AS node_ids
   FROM numbered),
-facts AS ({TRACE_FACTS}),
+facts AS (
+  SELECT f.*, (SELECT count(*) FROM trace_nodes n WHERE n.billing_document_id = f.billing_document_id) AS nodes,
+         (SELECT count(*) FROM trace_edges e WHERE e.billing_document_id = f.billing_document_id) AS edges
+  FROM ({TRACE_FACTS}) f),
 joined AS (
   SELECT r.*, f.* EXCLUDE (billing_document_id), t.*, w.*,
          least(coalesce(CAST(product_limit AS BIGINT), 10), products) AS listed,
@@ -720,11 +739,33 @@ SELECT prompt_id, CASE WHEN failed THEN 'error' ELSE intent END AS intent,
        WHEN intent = 'broken_flows' THEN array_to_string(documents[1:50], ',') ELSE '' END AS cited_ids,
   CASE WHEN intent = 'top_products' THEN
          coalesce(array_to_string(['product_' || p FOR p IN best[1:least(listed, 10)]], ','), '')
-       WHEN intent = 'broken_flows' THEN array_to_string(node_ids[1:50], ',') ELSE '' END AS cited_node_ids
+       WHEN intent = 'broken_flows' THEN array_to_string(node_ids[1:50], ',') ELSE '' END AS cited_node_ids,
+  CASE WHEN failed THEN '{{}}'
+       WHEN intent = 'top_products' AND listed = 0 THEN '{{"count":0}}'
+       WHEN intent = 'top_products' THEN '{{"limit":' || coalesce(CAST(product_limit AS HUGEINT), 10) || ',"results":['
+            || coalesce(array_to_string(best_rows[1:least(listed, 50)], ','), '') || ']}}'
+       WHEN intent = 'broken_flows' THEN '{{"delivered_but_not_billed":{{"count":' || n0 || ',"sample_ids":['
+            || coalesce(array_to_string(s0, ','), '') || ']}},"billed_without_delivery":{{"count":' || n1
+            || ',"sample_ids":[' || coalesce(array_to_string(s1, ','), '')
+            || ']}},"sales_orders_with_no_downstream_flow":{{"count":' || n2 || ',"sample_ids":['
+            || coalesce(array_to_string(s2, ','), '') || ']}}}}'
+       WHEN intent = 'trace_billing_flow' AND billing_document_id IS NOT NULL
+            THEN '{{"nodes":' || nodes || ',"edges":' || edges || '}}'
+       ELSE '{{}}' END AS cited_data_summary
 FROM joined
 """
 
 
+def _first_record(table: str) -> str:
+    columns = sorted(COLUMNS[table][1].split())
+    members = ", ".join(f"'{c}', {c}" for c in columns)
+    order = ", ".join(f"{c} NULLS LAST" for c in columns)
+    return (
+        f"(SELECT '{table}' AS collection, CAST(json_object({members}) AS VARCHAR) AS sample "
+        f"FROM {table} ORDER BY {order} LIMIT 1)"
+    )
+
+
 def _id_report(table: str, id_column: str, type_column: str) -> str:
     return (
         f"SELECT {type_column}, count(*) AS rows, count(DISTINCT {id_column}) AS distinct_ids, "
@@ -747,17 +788,27 @@ def statements() -> dict[str, str]:
         f"FROM {t}" for t in CORE
     ])
     loaded = _union([
-        f"SELECT '{t}' AS collection, count(*) AS inserted, CAST(0 AS BIGINT) AS errors FROM {t}" for t in LOADED
+        f"SELECT '{t}' AS collection, count(*) AS inserted, "
+        + " + ".join(["CAST(0 AS BIGINT)", *(f"(SELECT count(*) FROM {bad})" for bad in REJECTED.get(t, ()))])
+        + f" AS errors, 4 AS files FROM {t}"
+        for t in CORE
     ])
-    plain["load_summary"] = (
+    plain["load_summary"] = plain["ingest_report"] = (
         "SELECT coalesce(collection, 'TOTAL') AS collection, CAST(sum(inserted) AS BIGINT) AS inserted, "
-        f"CAST(sum(errors) AS BIGINT) AS errors, 'ok' AS status FROM ({loaded}) GROUP BY ROLLUP (collection)"
+        "CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(files) AS BIGINT) AS files, "
+        f"CASE WHEN sum(errors) > 0 THEN 'warning' ELSE 'ok' END AS status FROM ({loaded}) GROUP BY ROLLUP (collection)"
     )
-    for table in LOADED[:3]:
+    plain["ingested_items"] = f"SELECT {', '.join(COLUMNS['sales_order_items'][1].split())} FROM sales_order_items"
+    plain["ingested_counts"] = _union([_count(t) for t in CORE])
+    plain["resolved_paths"] = _union([
+        f"SELECT '{t}' AS collection, '{asked}' AS asked, count(*) AS lines FROM {t}"
+        for t in LOADED for asked in ("folder", "file")
+    ])
+    for table in LOADED:
         plain[f"load_{table}"] = f"SELECT {', '.join(COLUMNS[table][1].split())} FROM {table}"
     plain["normalized_item_keys"] = _union([
         f"SELECT '{t}' AS collection, {COLUMNS[t][1].split()[0]} || '_' || {_pad(COLUMNS[t][1].split()[1])} AS item_key "
-        f"FROM {t}" for t in LOADED[:3]
+        f"FROM {t}" for t in LOADED
     ])
     plain["schema_listing"] = _schema_listing()
     plain["typed_billing_headers"] = """
@@ -781,11 +832,20 @@ def statements() -> dict[str, str]:
     plain["graph_nodes"], plain["graph_edges"] = ALL_NODES, ALL_EDGES
     graph["node_id_report"] = _id_report("graph_nodes", "node_id", "node_type")
     graph["edge_id_report"] = _id_report("graph_edges", "edge_id", "edge_type")
-    graph["dangling_edges"] = """
-        SELECT edge_id, edge_type, side AS "end", missing_id FROM (
+    all_ends = """(
           SELECT edge_id, edge_type, 'source' AS side, source_id AS missing_id FROM all_edges
-          UNION ALL SELECT edge_id, edge_type, 'target', target_id FROM all_edges)
-        WHERE missing_id NOT IN (SELECT node_id FROM graph_nodes WHERE node_type <> 'Product')"""
+          UNION ALL SELECT edge_id, edge_type, 'target', target_id FROM all_edges)"""
+    graph["dangling_edges"] = f"""
+        SELECT edge_id, edge_type, side AS "end", missing_id FROM {all_ends}
+        WHERE missing_id NOT IN (SELECT node_id FROM graph_nodes)"""
+    graph["dangling_counts"] = f"""
+        SELECT edge_type, side AS "end", count(*) AS edges,
+               count(*) FILTER (missing_id NOT IN (SELECT node_id FROM graph_nodes)) AS dangling
+        FROM {all_ends} GROUP BY 1, 2"""
+    graph["graph_sink"] = """
+        SELECT node_type AS type, count(*) AS "count" FROM graph_nodes GROUP BY 1
+        UNION ALL SELECT edge_type, count(*) FROM graph_edges GROUP BY 1"""
+    plain["exported_products"] = f"SELECT format, r.* FROM ({RANKING}) r, (VALUES ('csv'), ('json')) kinds(format)"
     graph["graph_totals"] = _union([_count("graph_nodes"), _count("graph_edges")])
 
     # Graph queries
@@ -807,6 +867,13 @@ def statements() -> dict[str, str]:
                any_value(first_paid_on - created_on) AS total_o2c_days
         FROM milestones m JOIN pairs p ON p.node_id = 'salesorder_' || m.salesorder
         JOIN graph_nodes n ON n.node_id = p.neighbor_id GROUP BY 1, 2"""
+    graph["node_details"] = """
+        SELECT p.node_id, p.neighbor_id, n.node_type AS neighbor_type, n.label AS neighbor_label,
+               n.metadata_json AS neighbor_metadata, invoiced_on - created_on AS days_to_invoice,
+               first_paid_on - invoiced_on AS days_to_payment, first_paid_on - created_on AS total_o2c_days
+        FROM pairs p JOIN graph_nodes n ON n.node_id = p.neighbor_id
+        JOIN graph_nodes o ON o.node_id = p.node_id AND o.node_type = 'SalesOrder'
+        LEFT JOIN milestones m ON p.node_id = 'salesorder_' || m.salesorder"""
     graph["subgraph_nodes_depth_1"] = """
         SELECT s.seed_id, n.node_id, n.node_type, n.label
         FROM (SELECT node_id AS seed_id, node_id FROM graph_nodes UNION SELECT node_id, neighbor_id FROM pairs) s
@@ -826,9 +893,17 @@ def statements() -> dict[str, str]:
         UNION ALL SELECT 'edge', coalesce(edge_type, 'TOTAL'), count(*) FROM graph_edges GROUP BY ROLLUP (edge_type)"""
     graph["sample_nodes"] = "SELECT * FROM graph_nodes ORDER BY node_type, node_id LIMIT 5"
     graph["sample_edges"] = "SELECT * FROM graph_edges ORDER BY edge_type, edge_id LIMIT 5"
-    graph["merged_subgraph_nodes"] = """
-        SELECT node_id, node_type, label, CASE WHEN node_type = 'Delivery' THEN 0 ELSE 1 END AS batch
-        FROM graph_nodes WHERE node_type IN ('Delivery', 'DeliveryItem', 'Plant')"""
+    batch = "CASE node_type WHEN 'Delivery' THEN 0 ELSE 1 END"
+    seeds = f"SELECT node_id, {batch} AS batch FROM graph_nodes WHERE node_type IN ('Delivery', 'BillingDocument')"
+    graph["merged_subgraph_nodes"] = f"""
+        SELECT n.node_id, n.node_type, n.label, max(s.batch) AS batch
+        FROM (SELECT * FROM ({seeds}) UNION ALL SELECT p.neighbor_id, s.batch FROM ({seeds}) s JOIN pairs p USING (node_id)) s
+        JOIN graph_nodes n ON n.node_id = s.node_id GROUP BY 1, 2, 3"""
+    graph["merged_subgraph_edges"] = f"""
+        SELECT e.edge_id, e.source_id, e.target_id, e.edge_type, max(s.batch) AS batch
+        FROM ({seeds}) s JOIN ends e USING (node_id) GROUP BY 1, 2, 3, 4"""
+    graph["subgraph_nodes_depth_3"] = """
+        SELECT h.seed_id, n.node_id, n.node_type, n.label FROM hop3 h JOIN graph_nodes n ON n.node_id = h.node_id"""
     graph["highlighted_nodes"] = f"""
         SELECT node_id, node_type, node_id IN (SELECT 'delivery_' || deliverydocument FROM ({NOT_BILLED})) AS highlighted
         FROM graph_nodes"""
@@ -836,24 +911,28 @@ def statements() -> dict[str, str]:
         SELECT edge_id, edge_type, edge_id IN (SELECT edge_id FROM trace_edges) AS highlighted FROM graph_edges"""
     graph["node_page"] = """
         SELECT *, (SELECT count(*) FROM graph_nodes WHERE node_type = 'SalesOrder') AS total
-        FROM (SELECT * FROM graph_nodes WHERE node_type = 'SalesOrder' ORDER BY node_id LIMIT 100 OFFSET 200)"""
+        FROM (SELECT * FROM graph_nodes WHERE node_type = 'SalesOrder' AND node_id > 'salesorder_12'
+              ORDER BY node_id LIMIT 100)"""
     graph["edge_page"] = """
         SELECT *, (SELECT count(*) FROM typed_edges WHERE source_type = 'DeliveryItem') AS total
         FROM (SELECT * EXCLUDE (source_type) FROM typed_edges WHERE source_type = 'DeliveryItem'
-              ORDER BY edge_id LIMIT 500 OFFSET 500)"""
+              AND edge_id > 'delivery_item_from_plant_8' ORDER BY edge_id LIMIT 500)"""
     graph["filtered_edges"] = """
         SELECT edge_id, source_id, target_id, edge_type FROM typed_edges WHERE source_type = 'BillingDocument'"""
-    graph["path_customer_to_product"] = """
+    def only(edge_type: str) -> str:
+        return f"(SELECT * FROM graph_edges WHERE edge_type = '{edge_type}')"
+
+    graph["path_customer_to_product"] = f"""
         SELECT a.source_id AS node_0, a.target_id AS node_1, b.target_id AS node_2, c.target_id AS node_3
-        FROM graph_edges a JOIN graph_edges b ON a.target_id = b.source_id JOIN graph_edges c ON b.target_id = c.source_id
-        WHERE a.edge_type = 'CUSTOMER_PLACED_ORDER' AND b.edge_type = 'ORDER_HAS_ITEM'
-          AND c.edge_type = 'ITEM_FOR_PRODUCT' AND a.source_id IN (SELECT node_id FROM graph_nodes)"""
-    graph["path_payment_to_customer"] = """
+        FROM {only("CUSTOMER_PLACED_ORDER")} a JOIN {only("ORDER_HAS_ITEM")} b ON a.target_id = b.source_id
+        JOIN {only("ITEM_FOR_PRODUCT")} c ON b.target_id = c.source_id
+        WHERE a.source_id IN (SELECT node_id FROM graph_nodes)"""
+    graph["path_payment_to_customer"] = f"""
         SELECT a.source_id AS node_0, a.target_id AS node_1, b.source_id AS node_2, c.target_id AS node_3
-        FROM graph_edges a JOIN graph_edges b ON a.target_id = b.target_id JOIN graph_edges c ON b.source_id = c.source_id
-        WHERE a.edge_type = 'PAYMENT_CLEARS_JOURNAL_ENTRY'
-          AND b.edge_type = 'BILLING_DOCUMENT_POSTED_TO_JOURNAL_ENTRY'
-          AND c.edge_type = 'BILLING_DOCUMENT_FOR_CUSTOMER' AND a.source_id IN (SELECT node_id FROM graph_nodes)"""
+        FROM {only("PAYMENT_CLEARS_JOURNAL_ENTRY")} a
+        JOIN {only("BILLING_DOCUMENT_POSTED_TO_JOURNAL_ENTRY")} b ON a.target_id = b.target_id
+        JOIN {only("BILLING_DOCUMENT_FOR_CUSTOMER")} c ON b.source_id = c.source_id
+        WHERE a.source_id IN (SELECT node_id FROM graph_nodes)"""
 
     # Flows and traces
     plain["top_products"] = f"{RANKING} ORDER BY billing_document_count DESC, product LIMIT 10"
@@ -878,17 +957,19 @@ def statements() -> dict[str, str]:
 
     for name, sql in graph.items():
         extra = [GRAPH]
-        if name in ("node_edges", "node_neighbors", "node_related_counts", "node_details_lead_times") or name.endswith(
+        if name.startswith(("node_edges", "node_neighbors", "node_related", "node_details", "merged")) or name.endswith(
             "depth_1"
         ):
             extra.append(ENDS)
-        if name == "node_details_lead_times":
+        if name.startswith("node_details"):
             extra.append(MILESTONES)
         if name.endswith("depth_2"):
-            extra.append(PLANT_HOPS)
+            extra.append(HOPS.format(types="'Plant', 'Address', 'Payment'"))
+        if name.endswith("depth_3"):
+            extra.append(HOPS.format(types="'Payment'"))
         if name == "highlighted_edges":
             extra.append(TRACE)
-        if name == "dangling_edges":
+        if name.startswith("dangling"):
             extra.append(f"all_edges AS (SELECT * FROM graph_edges UNION ALL ({BILLED_FOR}))")
         if name in ("edge_page", "filtered_edges"):
             extra.append(
@@ -905,6 +986,7 @@ def statements() -> dict[str, str]:
         "SELECT collection, max(rows) AS row_count, string_agg(col, ', ' ORDER BY col) AS columns "
         f"FROM ({_column_rows(COLUMN_FILLED)}) GROUP BY 1"
     )
+    result["sample_records"] = base + _union([_first_record(t) for t in COLUMNS])
     result["column_distinct"] = base + _distinct_values()
     result["key_candidates"] = base + f"SELECT * FROM ({_distinct_values()}) WHERE distinct_values > rows * 0.8"
     result["shared_columns"] = base + (

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import posixpath
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,13 +14,16 @@ from ledgerloom.functions.metadata import parse_metadata
 from ledgerloom.functions.typed import amount, day, iso_timestamp, timestamp
 from ledgerloom.operators import analytics, flows, graph_build, graph_checks, graph_query, prompts, quality
 from ledgerloom.operators.trace import DOCUMENT, Trace, trace_facts
-from ledgerloom.plans.workspace import Workspace, open_workspace
+from ledgerloom.plans.workspace import FILES, Workspace, open_workspace
+from ledgerloom.session import staging_path
 from ledgerloom.sources import graph_store, ingest, jsonl
-from ledgerloom.sources.catalog import COLLECTIONS, ITEM_KEY_COLUMN, ITEM_KEYS
+from ledgerloom.sources.catalog import COLLECTIONS, CORE_COLLECTIONS, ITEM_KEY_COLUMN, ITEM_KEYS
 
 AS_OF = datetime.date(1998, 8, 2)
-SPARK_JSON_FILES = ("part-*.json",)
 CUSTOMER_TO_PRODUCT = ("CUSTOMER_PLACED_ORDER", "ORDER_HAS_ITEM", "ITEM_FOR_PRODUCT")
+# Node types whose subgraphs are asked for at depth 2, and whose neighbourhoods are merged.
+DEEP_SEEDS = ("Plant", "Address", "Payment")
+MERGED_SEEDS = ("Delivery", "BillingDocument")
 PAYMENT_TO_CUSTOMER = (
     "PAYMENT_CLEARS_JOURNAL_ENTRY",
     "BILLING_DOCUMENT_POSTED_TO_JOURNAL_ENTRY",
@@ -54,15 +58,43 @@ def required_collections(w: Workspace) -> DataFrame:
 
 @query
 def load_summary(w: Workspace) -> DataFrame:
-    names = ["sales_order_items", "outbound_delivery_items", "billing_document_items", "business_partners"]
-    report = ingest.load_report(w.spark, w.jsonl_root, names, SPARK_JSON_FILES)
-    return ingest.with_total(report).select("collection", "inserted", "errors", "status")
+    report = ingest.load_report(w.spark, w.jsonl_root, CORE_COLLECTIONS, FILES)
+    return ingest.with_total(report).select("collection", "inserted", "errors", "files", "status")
+
+
+@query
+def ingest_report(w: Workspace) -> DataFrame:
+    return ingest.with_total(w.ingested[1]).select("collection", "inserted", "errors", "files", "status")
+
+
+@query
+def ingested_items(w: Workspace) -> DataFrame:
+    """Items of all orders as read back from the ingested tables."""
+    tables = ingest.open_tables(w.spark, w.ingested[0])
+    return tables["sales_order_items"].select(*w.tables["sales_order_items"].columns)
+
+
+@query
+def ingested_counts(w: Workspace) -> DataFrame:
+    return ingest.row_counts(ingest.open_tables(w.spark, w.ingested[0]))
+
+
+@query
+def resolved_paths(w: Workspace) -> DataFrame:
+    """Lines of the item collections when asked for by folder and by the name of a file there isn't."""
+    parts = []
+    for name in ITEM_KEYS:
+        folder = posixpath.join(w.jsonl_root, name)
+        for asked, path in (("folder", folder), ("file", folder + jsonl.SUFFIX)):
+            counted = jsonl.Source(w.spark, path, name, FILES).lines().agg(F.count("*").alias("lines"))
+            parts.append(counted.select(F.lit(name).alias("collection"), F.lit(asked).alias("asked"), "lines"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _loaded(name: str) -> Query:
     def run(w: Workspace) -> DataFrame:
         path = posixpath.join(w.jsonl_root, name)
-        return jsonl.read_collection(w.spark, path, name, SPARK_JSON_FILES).select(*w.tables[name].columns)
+        return jsonl.read_collection(w.spark, path, name, FILES).select(*w.tables[name].columns)
 
     return run
 
@@ -75,7 +107,7 @@ for _name in ("sales_order_items", "outbound_delivery_items", "billing_document_
 def normalized_item_keys(w: Workspace) -> DataFrame:
     parts = []
     for name in ITEM_KEYS:
-        loaded = jsonl.read_collection(w.spark, posixpath.join(w.jsonl_root, name), name, SPARK_JSON_FILES)
+        loaded = jsonl.read_collection(w.spark, posixpath.join(w.jsonl_root, name), name, FILES)
         parts.append(loaded.select(F.lit(name).alias("collection"), F.col(ITEM_KEY_COLUMN).alias("item_key")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -140,13 +172,40 @@ def edge_id_report(w: Workspace) -> DataFrame:
     return graph_checks.id_report(w.graph.edges, "edge_id", "edge_type")
 
 
+def _all_edges(w: Workspace) -> DataFrame:
+    extra = graph_build.billed_for(w.tables).withColumn("edge_type", F.lit(graph_build.BILLED_FOR))
+    return w.graph.edges.unionByName(extra)
+
+
+@query
+def dangling_counts(w: Workspace) -> DataFrame:
+    return graph_checks.dangling_counts(w.graph.nodes, _all_edges(w))
+
+
 @query
 def dangling_edges(w: Workspace) -> DataFrame:
-    edges = w.graph.edges.unionByName(
-        graph_build.billed_for(w.tables).withColumn("edge_type", F.lit(graph_build.BILLED_FOR))
-    )
-    without_products = w.graph.nodes.filter(F.col("node_type") != "Product")
-    return graph_checks.dangling_edges(without_products, edges)
+    return graph_checks.dangling_edges(w.graph.nodes, _all_edges(w))
+
+
+@query
+def graph_sink(w: Workspace) -> DataFrame:
+    """Rows per type of the graph as written with its ids checked, and read back."""
+    written = graph_store.write_graph(w.graph, staging_path(w.spark, "sink", w.owner))
+    nodes = graph_query.type_counts(written.nodes, "node_type").withColumnRenamed("node_type", "type")
+    return nodes.unionByName(graph_query.type_counts(written.edges, "edge_type").withColumnRenamed("edge_type", "type"))
+
+
+@query
+def exported_products(w: Workspace) -> DataFrame:
+    """The ranking of products as read back from an export in either format."""
+    ranking, parts = flows.products_by_billing(w.tables), []
+    for kind in ("csv", "json"):
+        path = staging_path(w.spark, f"export-{kind}", w.owner)
+        ingest.export(ranking, path, kind)
+        reader = w.spark.read.schema(ranking.schema)
+        read = reader.option("header", "true").csv(path) if kind == "csv" else reader.json(path)
+        parts.append(read.select(F.lit(kind).alias("format"), *ranking.columns))
+    return parts[0].unionByName(parts[1])
 
 
 @query
@@ -186,6 +245,14 @@ def node_related_counts(w: Workspace) -> DataFrame:
     return graph_query.related_counts(*w.graph)
 
 
+@query
+def node_details(w: Workspace) -> DataFrame:
+    """Each order with its related nodes, a row each, and its lead times."""
+    related = graph_query.neighbors(*w.graph, _ids_of_type(w, "SalesOrder", "node_id"))
+    times = analytics.lead_times(w.tables).withColumn("node_id", F.concat(F.lit("salesorder_"), F.col("salesorder")))
+    return related.join(times.drop("salesorder"), "node_id", "left")
+
+
 @query
 def node_details_lead_times(w: Workspace) -> DataFrame:
     related = graph_query.related_counts(*w.graph, _ids_of_type(w, "SalesOrder", "node_id"))
@@ -207,16 +274,26 @@ def subgraph_edges_depth_1(w: Workspace) -> DataFrame:
     return graph_query.subgraph_edges(*w.graph, None, depth=1).select("seed_id", "edge_id", "edge_type")
 
 
+def _deep_seeds(w: Workspace) -> DataFrame:
+    kinds = [_ids_of_type(w, t, "seed_id") for t in DEEP_SEEDS]
+    return reduce(DataFrame.unionByName, kinds)
+
+
 @query
 def subgraph_nodes_depth_2(w: Workspace) -> DataFrame:
-    seeds = _ids_of_type(w, "Plant", "seed_id")
-    return graph_query.subgraph_nodes(*w.graph, seeds, depth=2)
+    return graph_query.subgraph_nodes(*w.graph, _deep_seeds(w), depth=2)
 
 
 @query
 def subgraph_edges_depth_2(w: Workspace) -> DataFrame:
-    seeds = _ids_of_type(w, "Plant", "seed_id")
-    return graph_query.subgraph_edges(*w.graph, seeds, depth=2)
+    return graph_query.subgraph_edges(*w.graph, _deep_seeds(w), depth=2)
+
+
+@query
+def subgraph_nodes_depth_3(w: Workspace) -> DataFrame:
+    """What three hops reach from each payment: entry, invoice, and the invoice's items and customer."""
+    seeds = _ids_of_type(w, "Payment", "seed_id")
+    return graph_query.subgraph_nodes(*w.graph, seeds, depth=3).select("seed_id", "node_id", "node_type", "label")
 
 
 @query
@@ -246,10 +323,17 @@ def sample_edges(w: Workspace) -> DataFrame:
 
 @query
 def merged_subgraph_nodes(w: Workspace) -> DataFrame:
-    of_type = {t: w.graph.nodes.filter(F.col("node_type") == t) for t in ("Delivery", "DeliveryItem", "Plant")}
-    first = of_type["Delivery"].unionByName(of_type["Plant"])
-    second = of_type["Plant"].unionByName(of_type["DeliveryItem"])
-    return graph_query.merge([first, second], "node_id").select("node_id", "node_type", "label", "batch")
+    """The neighbourhoods of all deliveries, then those of all invoices, as one set of nodes."""
+    seeds = [_ids_of_type(w, t, "seed_id") for t in MERGED_SEEDS]
+    found = [graph_query.subgraph_nodes(*w.graph, s, depth=1).drop("seed_id") for s in seeds]
+    return graph_query.merge(found, "node_id").select("node_id", "node_type", "label", "batch")
+
+
+@query
+def merged_subgraph_edges(w: Workspace) -> DataFrame:
+    seeds = [_ids_of_type(w, t, "seed_id") for t in MERGED_SEEDS]
+    found = [graph_query.subgraph_edges(*w.graph, s, depth=1).drop("seed_id") for s in seeds]
+    return graph_query.merge(found, "edge_id").select("edge_id", "source_id", "target_id", "edge_type", "batch")
 
 
 @query
@@ -267,12 +351,14 @@ def highlighted_edges(w: Workspace) -> DataFrame:
 
 @query
 def node_page(w: Workspace) -> DataFrame:
-    return graph_query.node_page(w.graph.nodes, "SalesOrder", limit=100, offset=200)
+    return graph_query.node_page(w.graph.nodes, "SalesOrder", limit=100, after_id="salesorder_12")
 
 
 @query
 def edge_page(w: Workspace) -> DataFrame:
-    return graph_query.edge_page(w.graph.edges, limit=500, offset=500, source_type="DeliveryItem")
+    return graph_query.edge_page(
+        w.graph.edges, limit=500, after_id="delivery_item_from_plant_8", source_type="DeliveryItem"
+    )
 
 
 @query
@@ -364,6 +450,11 @@ def collection_profile(w: Workspace) -> DataFrame:
     return quality.collection_profile(w.tables, COLLECTIONS)
 
 
+@query
+def sample_records(w: Workspace) -> DataFrame:
+    return quality.sample_records(w.tables, COLLECTIONS)
+
+
 @query
 def column_distinct(w: Workspace) -> DataFrame:
     return quality.column_distinct(w.tables, COLLECTIONS)
@@ -506,6 +597,7 @@ def prompt_answers(w: Workspace) -> DataFrame:
         DOCUMENT,
         F.array_join("cited_ids", ",").alias("cited_ids"),
         F.array_join("cited_node_ids", ",").alias("cited_node_ids"),
+        "cited_data_summary",
     )
 
 

@@ -2,25 +2,32 @@
 
 Like a load before querying: the numbered line items and the built graph are
 written to the staging folder when a query first needs them, and every query
-reads from there. No query result is kept.
+reads from there. No query result is kept. A workspace belongs to the files it
+was made from: when one of them changes, the next query opens a new one and what
+the old one staged is deleted.
 """
 
 from __future__ import annotations
 
 import posixpath
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import graph_build
-from ledgerloom.session import stage, staging_path, tune
-from ledgerloom.sources.catalog import Collections
+from ledgerloom.session import release, stage, staging_path, tune
+from ledgerloom.sources import ingest
+from ledgerloom.sources.catalog import CORE_COLLECTIONS, Collections
 from ledgerloom.sources.graph_store import Graph
 from ledgerloom.sources.tpch import BILLING_BASE, order_to_cash
 
 _open: dict[tuple[str, str], Workspace] = {}
 
+# Tables a workspace reads.
+TABLES = ("lineitem", "orders", "customer", "part", "supplier", "nation", "region", "conversations")
+
 # Example prompts.
 EXAMPLE_PROMPTS = (
     "Which products are associated with the highest number of billing documents?",
@@ -39,13 +46,29 @@ EXAMPLE_PROMPTS = (
 )
 
 
+# Files each collection is written to as JSON lines, and what they are called.
+FILES_EACH = 4
+FILES = ("part-*.txt",)
+# Lines that loading must reject, one per row of the table named.
+BAD_LINES = {
+    "sales_order_headers": (("nation", "no record"),),
+    "outbound_delivery_headers": (("region", '["deliverydocument"]'),),
+    "billing_document_headers": (("region", '{"billingdocumentiscancelled": "maybe"}'),),
+    "business_partners": (("nation", '{"businesspartner": "x"} trailing'), ("region", "{}")),
+    "products": (("region", "{'product': 'x'}"), ("nation", '{"product": "x"}{"product": "y"}')),
+    "plants": (("region", '{"plant": "x", "unknown": 1}'),),
+}
+
+
 class Workspace:
     """Collections, graph and prompts of one table folder."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark = tune(spark)
+    def __init__(self, spark: SparkSession, folder: str, files: tuple = ()):
+        self.files = files
+        self.spark = tune(spark, sum(size for _, size, _ in files))
         self.folder = folder
-        self.tables: Collections = order_to_cash(spark, folder)
+        self.owner = f"workspace-{uuid.uuid4().hex}"
+        self.tables: Collections = order_to_cash(spark, folder, self.owner)
 
     def prepare(self) -> None:
         """Stage the tables all collections are projections of."""
@@ -54,18 +77,34 @@ class Workspace:
 
     @cached_property
     def graph(self) -> Graph:
-        nodes = stage(graph_build.build_nodes(self.tables), "nodes", partition_by="node_type")
-        edges = stage(graph_build.build_edges(self.tables), "edges", partition_by="edge_type")
+        nodes = stage(graph_build.build_nodes(self.tables), "nodes", "node_type", self.owner)
+        edges = stage(graph_build.build_edges(self.tables), "edges", "edge_type", self.owner)
         return Graph(nodes, edges)
 
     @cached_property
     def jsonl_root(self) -> str:
-        """Folder with the item collections written as JSON lines."""
-        root = staging_path(self.spark, "jsonl")
-        for name in ("sales_order_items", "outbound_delivery_items", "billing_document_items", "business_partners"):
-            self.tables[name].write.json(posixpath.join(root, name), ignoreNullFields=False)
+        """Folder with the core collections as JSON lines, four files each, and lines that must be rejected.
+
+        Nations and regions give the bad lines, one kind to a collection; good
+        lines come first in every file.
+        """
+        root = staging_path(self.spark, "jsonl", self.owner)
+        for name in CORE_COLLECTIONS:
+            good = self.tables[name].select(
+                F.lit(False).alias("bad"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")
+            )
+            for table, line in BAD_LINES.get(name, ()):
+                good = good.unionByName(self.given(table).select(F.lit(True).alias("bad"), F.lit(line).alias("value")))
+            lines = good.repartition(FILES_EACH).sortWithinPartitions("bad").select("value")
+            lines.write.text(posixpath.join(root, name))
         return root
 
+    @cached_property
+    def ingested(self) -> tuple[str, DataFrame]:
+        """Folder with the tables ingested from the JSON lines, and the report of that."""
+        out = staging_path(self.spark, "ingested", self.owner)
+        return out, ingest.ingest(self.spark, self.jsonl_root, out, patterns=FILES)
+
     def given(self, name: str) -> DataFrame:
         return self.spark.read.parquet(posixpath.join(self.folder, f"{name}.parquet"))
 
@@ -108,8 +147,20 @@ class Workspace:
         return said.unionByName(traced).unionByName(ranked).unionByName(broken).unionByName(examples)
 
 
+def table_files(spark: SparkSession, folder: str) -> tuple:
+    """Path, size and time of change of all files of the tables, in order."""
+    paths = [posixpath.join(folder, f"{name}.parquet") for name in TABLES]
+    listed = spark.read.format("binaryFile").load(paths).select("path", "length", "modificationTime")
+    return tuple(sorted(tuple(row) for row in listed.collect()))
+
+
 def open_workspace(spark: SparkSession, folder: str) -> Workspace:
+    """The workspace of ``folder`` as its files are now."""
     key = (spark.sparkContext.applicationId, posixpath.normpath(folder))
-    if key not in _open:
-        _open[key] = Workspace(spark, folder)
+    files = table_files(spark, folder)
+    found = _open.get(key)
+    if found is None or found.files != files:
+        if found is not None:
+            release(spark, found.owner)
+        _open[key] = Workspace(spark, folder, files)
     return _open[key]

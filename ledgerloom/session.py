@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import posixpath
+import shutil
 import tempfile
 import uuid
 
@@ -20,17 +22,29 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     # Graph tables have 12 folders; a task that keeps them all open need not sort.
     "spark.sql.maxConcurrentOutputFileWriters": "16",
+    # Ids with common prefixes compress well; a file several times as large in memory
+    # must not count as small enough to be sent to every executor.
+    "spark.sql.sources.fileCompressionFactor": "4.0",
 }
 
 SHUFFLE_PARTITION_BYTES = 128 << 20
 
 _local_staging: dict[str, str] = {}
+_releasing: set[str] = set()
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings the operators rely on to a running session."""
+def tune(spark: SparkSession, input_bytes: int = 0) -> SparkSession:
+    """Apply the runtime settings the operators rely on to a running session.
+
+    This changes the caller's session: opening a workspace calls it. With
+    ``input_bytes`` shuffles also start with enough partitions for that much
+    input, where the session's own number is smaller.
+    """
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    wanted = shuffle_partitions(input_bytes, spark.sparkContext.defaultParallelism)
+    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(wanted))
     return spark
 
 
@@ -57,31 +71,69 @@ def staging_dir(spark: SparkSession) -> str:
     """Folder for staged tables: the cluster's checkpoint folder.
 
     Where none is set, a temporary folder serves a local session; on a cluster
-    that would be visible to one machine only, so it is refused.
+    that, or a folder of the machine's own file system, would be visible to one
+    machine only, so both are refused.
     """
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    local = spark.sparkContext.master.startswith("local")
+    if not local and (not shared or shared.startswith("file:")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     if shared:
         return shared
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     app = spark.sparkContext.applicationId
     if app not in _local_staging:
         _local_staging[app] = tempfile.mkdtemp(prefix="ledgerloom-")
     return _local_staging[app]
 
 
-def staging_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path in the staging folder."""
-    return os.path.join(staging_dir(spark), f"ledgerloom-{name}-{uuid.uuid4().hex}")
+def _staged_root(spark: SparkSession) -> str:
+    return posixpath.join(staging_dir(spark), f"ledgerloom-{spark.sparkContext.applicationId}")
+
+
+def staging_path(spark: SparkSession, name: str, owner: str = "queries") -> str:
+    """A new, unused path among the tables ``owner`` stages in this application."""
+    if spark.sparkContext.applicationId not in _releasing:
+        _releasing.add(spark.sparkContext.applicationId)
+        atexit.register(_release_at_exit, spark, spark.sparkContext.applicationId)
+    return posixpath.join(_staged_root(spark), owner, f"{name}-{uuid.uuid4().hex}")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in any file system that Spark reaches."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    """Give a folder another path in the same file system."""
+    source, target = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, to))
+    if not source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(source, target):
+        raise OSError(f"cannot rename {path} to {to}")
+
+
+def release(spark: SparkSession, owner: str | None = None) -> None:
+    """Delete what ``owner``, or the whole application, has staged; results that were not read yet are lost."""
+    root = _staged_root(spark)
+    delete(spark, posixpath.join(root, owner) if owner else root)
+
+
+def _release_at_exit(spark: SparkSession, app: str) -> None:
+    """What an application staged goes with it, if its session still runs then or the folder is its own."""
+    try:
+        release(spark)
+    except Exception:  # the session is gone; a retention rule of the shared folder has to do it
+        shutil.rmtree(_local_staging.get(app, ""), ignore_errors=True)
+
+
+def stage(df: DataFrame, name: str, partition_by: str | None = None, owner: str = "queries") -> DataFrame:
     """Write ``df`` to the staging folder and read it back.
 
+    ``owner`` can later ``release`` its tables together.
+
     The result has a file scan as its whole lineage, so a lost executor costs a
     re-read and every consumer gets column pruning and filter pushdown.
     """
-    path = staging_path(df.sparkSession, name)
+    path = staging_path(df.sparkSession, name, owner)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(partition_by)

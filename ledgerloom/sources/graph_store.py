@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import graph_checks
 from ledgerloom.operators.graph_build import EDGE_COLUMNS, NODE_COLUMNS
+from ledgerloom.session import delete, rename
 
 NODE_SCHEMA = ", ".join(f"{c} string" for c in NODE_COLUMNS)
 EDGE_SCHEMA = ", ".join(f"{c} string" for c in EDGE_COLUMNS)
@@ -32,25 +34,30 @@ def _violations(rows: DataFrame, id_column: str, required: tuple[str, ...]) -> i
 def write_graph(graph: Graph, path: str, strict: bool = True) -> Graph:
     """Replace the graph tables under ``path``.
 
+    The new tables are written beside the old ones, checked there and only then
+    put in their place, so a failed check leaves the old graph as it was.
     ``strict`` raises when ids are missing or repeated; the check reads the id
-    columns of the written tables, which stay for inspection. Otherwise the
-    smallest row per id is kept and rows without an id are left out.
+    columns of the written tables. Otherwise the smallest row per id is kept and
+    rows without an id are left out.
     """
     spark = graph.nodes.sparkSession
     nodes, edges = graph
     if not strict:
         nodes = graph_checks.keep_first(nodes, "node_id")
         edges = graph_checks.keep_first(edges, "edge_id")
-    node_path, edge_path = posixpath.join(path, "nodes"), posixpath.join(path, "edges")
-    nodes.select(*NODE_COLUMNS).write.mode("overwrite").partitionBy("node_type").parquet(node_path)
-    edges.select(*EDGE_COLUMNS).write.mode("overwrite").partitionBy("edge_type").parquet(edge_path)
-    written = read_graph(spark, path)
+    new = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    nodes.select(*NODE_COLUMNS).write.partitionBy("node_type").parquet(posixpath.join(new, "nodes"))
+    edges.select(*EDGE_COLUMNS).write.partitionBy("edge_type").parquet(posixpath.join(new, "edges"))
     if strict:
+        written = read_graph(spark, new)
         bad_nodes = _violations(written.nodes, "node_id", ("node_id", "label"))
         bad_edges = _violations(written.edges, "edge_id", ("edge_id", "source_id", "target_id"))
         if bad_nodes or bad_edges:
+            delete(spark, new)
             raise GraphIntegrityError(f"{bad_nodes} node ids and {bad_edges} edge ids are missing or repeated")
-    return written
+    delete(spark, path)
+    rename(spark, new, path)
+    return read_graph(spark, path)
 
 
 def read_graph(spark: SparkSession, path: str) -> Graph:

@@ -3,13 +3,16 @@
 A collection is a folder of ``part-*.jsonl`` files (or other ``*.jsonl`` files
 when there are none) or one such file. Its columns are those of the first
 record; later records may lack some, but a record with an unknown key, with a
-value its column cannot hold, or that is not a JSON object is rejected.
+value its column cannot hold, or that is not one strict JSON object is rejected.
+So is an object without members, but for item collections, whose key column
+makes it a row.
 """
 
 from __future__ import annotations
 
 import json
 import posixpath
+import re
 from collections.abc import Sequence
 from typing import Any
 
@@ -23,6 +26,7 @@ from ledgerloom.sources.catalog import ITEM_KEY_COLUMN, ITEM_KEYS, sanitize
 SUFFIX = ".jsonl"
 FILE_PATTERNS = ("part-*.jsonl", "*.jsonl")
 REJECTED = "_rejected"
+STRICT = {"allowSingleQuotes": "false"}
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame | None:
@@ -47,8 +51,13 @@ def resolve_path(spark: SparkSession, path: str, name: str) -> str:
     return path
 
 
+def _regex(pattern: str) -> str:
+    """A file name pattern with ``*`` and ``?`` as a regular expression."""
+    return "^" + "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in pattern) + "$"
+
+
 class Source:
-    """The files that make up one collection."""
+    """The files that make up one collection: those of the first pattern that any file matches."""
 
     def __init__(self, spark: SparkSession, path: str, name: str, patterns: Sequence[str] = FILE_PATTERNS):
         self.spark = spark
@@ -57,13 +66,15 @@ class Source:
         self.pattern = "*"
         self.files = 0
         self.first_file: str | None = None
-        for pattern in patterns:
-            listed = list_files(spark, self.path, pattern)
-            if listed is None:
-                continue
-            found = listed.agg(F.count("*"), F.min("path")).first()
-            if found[0]:
-                self.pattern, self.files, self.first_file = pattern, found[0], found[1]
+        listed = list_files(spark, self.path)
+        if listed is None:
+            return
+        file_name = F.url_decode(F.substring_index("path", "/", -1))
+        matches = [F.when(file_name.rlike(_regex(pattern)), F.col("path")) for pattern in patterns]
+        found = listed.agg(*[f(m) for m in matches for f in (F.count, F.min)]).first()
+        for k, pattern in enumerate(patterns):
+            if found[2 * k]:
+                self.pattern, self.files, self.first_file = pattern, found[2 * k], found[2 * k + 1]
                 break
 
     def lines(self) -> DataFrame:
@@ -110,11 +121,16 @@ def scan(source: Source) -> DataFrame | None:
     shape = ", ".join(f"`{key.replace('`', '``')}` string" for key in kinds)
     known = F.array(*[F.lit(sanitize(key)) for key in kinds])
 
+    # In brackets, a line must be the only element of a whole array: nothing may follow its object.
+    alone = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<map<string,string>>", STRICT)
     parsed = source.lines().select(
-        F.from_json("value", shape).alias("record"), F.json_object_keys("value").alias("keys")
+        F.from_json("value", shape, STRICT).alias("record"),
+        F.when(F.size(alone) == 1, F.map_keys(alone[0])).alias("keys"),
     )
     keys = F.transform("keys", lambda k: F.lower(F.translate(k, " -", "__")))
     rejected = F.col("keys").isNull() | (F.size(F.array_except(keys, known)) > 0)
+    if source.name not in ITEM_KEYS:
+        rejected = rejected | (F.size("keys") == 0)
     columns = []
     for key, kind in kinds.items():
         text = F.col("record").getField(key)

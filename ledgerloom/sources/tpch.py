@@ -109,23 +109,23 @@ def delivered_orders(lines: DataFrame) -> DataFrame:
     )
 
 
-def order_to_cash(spark: SparkSession, folder: str) -> Collections:
-    """The collections derived from the parquet tables in ``folder``."""
+def order_to_cash(spark: SparkSession, folder: str, owner: str = "queries") -> Collections:
+    """The collections derived from the parquet tables in ``folder``; ``owner`` owns what is staged."""
 
     def table(name: str) -> DataFrame:
         return spark.read.parquet(posixpath.join(folder, f"{name}.parquet"))
 
     @cache
     def lines() -> DataFrame:
-        return stage(numbered_lines(table("lineitem")), "lines")
+        return stage(numbered_lines(table("lineitem")), "lines", owner=owner)
 
     @cache
     def billed() -> DataFrame:
-        return stage(billed_orders(lines(), table("orders")), "billed-orders")
+        return stage(billed_orders(lines(), table("orders")), "billed-orders", owner=owner)
 
     @cache
     def delivered() -> DataFrame:
-        return stage(delivered_orders(lines()), "delivered-orders")
+        return stage(delivered_orders(lines()), "delivered-orders", owner=owner)
 
     def billed_lines() -> DataFrame:
         return lines().filter(F.col("rf").isin("N", "R"))

@@ -290,7 +290,7 @@ def test_profiles(make_tables):
     shared = rows_of(quality.shared_columns(tables, ["products", "product_plants", "plants"]), "column", "collections")
     assert shared == [("plant", "plants, product_plants"), ("product", "product_plants, products")]
     samples = {r["collection"]: r["sample"] for r in quality.sample_records(tables, names).collect()}
-    assert samples["products"] == '{"product":"p","producttype":null,"productgroup":null,"baseunit":null}'
+    assert samples["products"] == '{"baseunit":null,"product":"p","productgroup":null,"producttype":null}'
 
 
 @pytest.fixture(scope="module")

@@ -139,3 +139,30 @@ def test_export(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "j")).filter(F.col("value") != "").first()[0] == '{"x":"a","n":1,"e":null}'
     with pytest.raises(ValueError):
         ingest.export(df, str(tmp_path / "p"), "xml")
+
+
+STRICT_CASES = {
+    '{"product": "p1", "n": 1}': True,
+    '  {"product": "p2"}  ': True,
+    '{"product": null}': True,
+    '{"product": "p3"} trailing': False,
+    '{"product": "p4"}{"product": "p5"}': False,
+    '{"product": "p6"}, {"product": "p7"}': False,
+    "{'product': 'p8'}": False,
+    '{"product": "p9",}': False,
+    '[{"product": "p10"}]': False,
+    '{"product": NaN}': True,
+    "{}": False,
+}
+
+
+def test_only_one_strict_object_a_line(spark, tmp_path):
+    write(tmp_path / "products" / "part-1.jsonl", *STRICT_CASES)
+    records = jsonl.scan(jsonl.Source(spark, str(tmp_path / "products"), "products"))
+    assert [not r["_rejected"] for r in records.collect()] == list(STRICT_CASES.values())
+
+
+def test_an_item_without_members_is_a_row(spark, tmp_path):
+    write(tmp_path / "sales_order_items" / "part-1.jsonl", {"salesOrder": "1"}, "{}")
+    source = jsonl.Source(spark, str(tmp_path / "sales_order_items"), "sales_order_items")
+    assert jsonl.load_stats(jsonl.scan(source), "x").first()["inserted"] == 2

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 
 from ledgerloom.operators import flows, prompts
@@ -103,6 +105,14 @@ def test_answer_texts(answers):
         "- Sales Order Items: 0", "- Posted to Journal Entry: Yes"]
     assert answers["Trace billing document 90504248"]["answer_text"] == (
         "An error occurred processing your query: trace query failed: Billing document 90504248 not found.")
+    assert json.loads(top["cited_data_summary"]) == {
+        "limit": 5,
+        "results": [{"product": "n", "billing_document_count": 2}, {"product": "m", "billing_document_count": 1}],
+    }
+    assert json.loads(broken["cited_data_summary"])["billed_without_delivery"] == {"count": 2, "sample_ids": ["b2", "b3"]}
+    assert json.loads(traced["cited_data_summary"]) == {"nodes": 3, "edges": 2}
+    assert answers["hello"]["cited_data_summary"] == "{}"
+    assert json.loads(answers["highest 0 products by billing"]["cited_data_summary"]) == {"count": 0}
     assert answers[""]["answer_text"] == "Please provide a question or query."
     assert answers["trace invoice 90504248"]["answer_text"].startswith("I'm not sure what you're asking.")
 

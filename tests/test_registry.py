@@ -13,6 +13,8 @@ from tools.check_queries import TABLES, rows_of
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no table folder")
 QUERIES, SQL = spark_entry.queries(), spark_entry.oracle_sql()
+# The graph of the given tables has no edge to an id without a node.
+MAY_BE_EMPTY = {"dangling_edges"}
 QUERIES = {name: QUERIES[name] for name in REGISTRY}
 
 
@@ -35,4 +37,4 @@ def test_query(spark, con, name):
     result = con.execute(SQL[name])
     theirs = rows_of([d[0] for d in result.description], result.fetchall())
     assert ours == theirs
-    assert isinstance(ours[1], Counter) and ours[1]
+    assert isinstance(ours[1], Counter) and (ours[1] or name in MAY_BE_EMPTY)
