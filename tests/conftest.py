@@ -6,7 +6,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from ledgerloom.session import build_session  # noqa: E402
+from ledgerloom.session import build_session, release  # noqa: E402
 from ledgerloom.sources.catalog import Collections, declared_columns, declared_type  # noqa: E402
 
 
@@ -21,6 +21,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()
 
 
