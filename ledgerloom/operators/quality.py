@@ -81,13 +81,13 @@ FLOW_JOINS = (
 )
 
 
-def _keys(tables: Collections, spec: JoinSpec, left: bool) -> DataFrame:
+def _keys(tables: Collections, number: int, spec: JoinSpec, left: bool) -> DataFrame:
     collection, names = (spec.left, spec.left_keys) if left else (spec.right, spec.right_keys)
     form = coverage_key if spec.normalize else plain_key
     keys = [form(F.col(sanitize(name))) for name in names]
     second = keys[1] if len(keys) > 1 else F.lit("")
     return tables[collection].select(
-        F.lit(spec.name).alias("join_path"),
+        F.lit(number).alias("join_number"),
         keys[0].alias("key_1"),
         second.alias("key_2"),
         F.lit(1 if left else 0).cast("bigint").alias("left_row"),
@@ -96,15 +96,15 @@ def _keys(tables: Collections, spec: JoinSpec, left: bool) -> DataFrame:
 
 
 def _rows_per_key(tables: Collections, specs: Sequence[JoinSpec]) -> DataFrame:
-    """Rows of both sides per join and key.
+    """Rows of both sides per join (its place among ``specs``) and key.
 
     All sides of all joins go through one grouping with partial aggregation; a
     key with very many rows arrives as few.
     """
-    sides = [_keys(tables, spec, left) for spec in specs for left in (True, False)]
+    sides = [_keys(tables, k, spec, left) for k, spec in enumerate(specs) for left in (True, False)]
     return (
         reduce(DataFrame.unionByName, sides)
-        .groupBy("join_path", "key_1", "key_2")
+        .groupBy("join_number", "key_1", "key_2")
         .agg(F.sum("left_row").alias("left_rows"), F.sum("right_row").alias("right_rows"))
     )
 
@@ -114,19 +114,19 @@ def list_joins(tables: Collections, specs: Sequence[JoinSpec] = FLOW_JOINS) -> D
 
     The cardinality, such as ``1:N``, says whether any key repeats on a side.
     """
-    most = _rows_per_key(tables, specs).groupBy("join_path").agg(
+    most = _rows_per_key(tables, specs).groupBy("join_number").agg(
         F.max("left_rows").alias("most_left"), F.max("right_rows").alias("most_right")
     )
     wanted = tables.spark.createDataFrame(
-        [(spec.name, spec.left, spec.right, spec.condition) for spec in specs],
-        "join_path string, left_table string, right_table string, condition string",
+        [(k, spec.left, spec.right, spec.condition) for k, spec in enumerate(specs)],
+        "join_number int, left_table string, right_table string, condition string",
     )
 
     def side(column: str, many: str) -> Column:
         return F.when(F.col(column) > 1, many).otherwise("1")
 
     both = (F.col("most_left") > 1) & (F.col("most_right") > 1)
-    return wanted.join(most, "join_path", "left").select(
+    return wanted.join(most, "join_number", "left").select(
         "left_table",
         "right_table",
         "condition",
@@ -140,7 +140,7 @@ def join_coverage(tables: Collections, specs: Sequence[JoinSpec] = FLOW_JOINS) -
     """Distinct keys of both sides of each join, how many match, and a class for the share."""
     per_key = _rows_per_key(tables, specs)
     in_left, in_right = F.col("left_rows") > 0, F.col("right_rows") > 0
-    measured = per_key.groupBy("join_path").agg(
+    measured = per_key.groupBy("join_number").agg(
         F.sum("left_rows").alias("left_count"),
         F.sum("right_rows").alias("right_count"),
         F.count_if(in_left).alias("left_keys"),
@@ -148,9 +148,10 @@ def join_coverage(tables: Collections, specs: Sequence[JoinSpec] = FLOW_JOINS) -
         F.count_if(in_left & in_right).alias("matching"),
     )
     wanted = tables.spark.createDataFrame(
-        [(spec.name, spec.normalize) for spec in specs], "join_path string, normalized boolean"
+        [(k, spec.name, spec.normalize) for k, spec in enumerate(specs)],
+        "join_number int, join_path string, normalized boolean",
     )
-    joined = wanted.join(measured, "join_path", "left").na.fill(0)
+    joined = wanted.join(measured, "join_number", "left").na.fill(0)
     empty = (F.col("left_count") == 0) | (F.col("right_count") == 0)
     share = F.when(empty, F.lit(0.0)).otherwise(F.col("matching") / F.col("left_keys") * 100)
     matched = F.when(empty, F.lit(0).cast("bigint")).otherwise(F.col("matching"))
