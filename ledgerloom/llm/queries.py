@@ -116,5 +116,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_language_id": op10_language_id,
 }
-
-SQL: dict[str, str] = {}
