@@ -112,19 +112,21 @@ def _other_end() -> Column:
 def _reached(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None, depth: int) -> DataFrame:
     """``(seed_id, node_id)`` of all ids within ``depth`` hops, the seed included.
 
-    Ids without a node row are reached and passed through like any other. What
-    is reached from chosen seeds is staged after each hop, so its true size
-    decides how the next join runs; from all nodes only a hop that is used
-    twice is staged.
+    Ids without a node row are reached and passed through like any other. From
+    all nodes there is one hop, the edges themselves, which needn't meet the
+    nodes. What is reached from chosen seeds is staged after each hop, so its
+    true size decides how the next join runs.
     """
-    start = nodes if seeds is None else _chosen(nodes, seeds.select(F.col("seed_id").alias("node_id")))
+    if seeds is None:
+        step = _at_nodes(_adjacency(edges), nodes, None)
+        own = nodes.select(F.col("node_id").alias("seed_id"), "node_id")
+        return own.unionByName(step.select(F.col("node_id").alias("seed_id"), _other_end().alias("node_id"))).distinct()
+    start = _chosen(nodes, seeds.select(F.col("seed_id").alias("node_id")))
     reached = start.select(F.col("node_id").alias("seed_id"), "node_id")
     for hop in range(1, depth + 1):
         frontier = reached if hop == 1 else reached.filter(F.col("node_id") != F.col("seed_id"))
         step = frontier.join(_adjacency(edges), "node_id").select("seed_id", _other_end().alias("node_id"))
-        reached = reached.unionByName(step).distinct()
-        if seeds is not None or hop < depth:
-            reached = stage(reached, "reached")
+        reached = stage(reached.unionByName(step).distinct(), "reached")
     return reached
 
 
