@@ -134,7 +134,8 @@ NOTICES: tuple[tuple[str, str, str, float], ...] = (
     ("noncommercial", "commercial use", "(?:for|only) non commercial use(?: only)?", 0.6),
     ("noncommercial", "commercial use", "no commercial use", 0.6),
     ("no-warranty", "without warranty", "without warranty of any kind", 0.5),
-    ("no-warranty", "as is", "provided (?:on an )?as is(?: basis)?", 0.4),
+    ("no-warranty", "provided as is", "provided as is(?: basis)?", 0.4),
+    ("no-warranty", "provided on an as is", "provided on an as is(?: basis)?", 0.4),
     ("license", "see the license", "see the licen[sc]e (?:file )?for (?:the specific language|details|more information)", 0.5),
     ("license", "license agreement", "(?:under|subject to) the (?:terms of the )?licen[sc]e agreement", 0.5),
 )
@@ -147,7 +148,7 @@ _GRANT = (
 
 @dataclass(frozen=True)
 class Rule:
-    """``priority``: the smaller wins where detections overlap; ``keyword`` stands in every match."""
+    """``priority``: the smaller wins where detections overlap; ``keyword`` starts a word of every match."""
 
     priority: int
     label: str

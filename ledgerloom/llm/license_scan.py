@@ -28,6 +28,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Phrases, as words, and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 BASE_CONFIDENCE = 0.6
+# No reduced text holds it.
+MARK = "\u0001"
 
 
 def _reduced(text: Column) -> Column:
@@ -36,6 +38,15 @@ def _reduced(text: Column) -> Column:
     return F.regexp_replace(F.concat(F.lit(" "), lowered, F.lit(" ")), SEPARATORS, " ")
 
 
+def _with_words(rows: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and ``words``, the reduced text.
+
+    It is made by a generator, which the planner doesn't look into: as a plain
+    expression it would be copied into every use of it, also into each step of a loop.
+    """
+    return rows.select(*columns, F.explode(F.array(_reduced(F.col("row.text")))).alias("words"))
+
+
 def _blanks(text: Column) -> Column:
     return (F.char_length(text) - F.char_length(F.replace(text, F.lit(" "), F.lit("")))).cast("long")
 
@@ -63,30 +74,40 @@ def _detections(rows: DataFrame, signatures: Sequence[Rule]) -> DataFrame:
     by_keyword = {k: [vars(r) for r in signatures if r.keyword == k] for k in keywords}
     rule = "array<struct<priority: int, label: string, pattern: string, confidence: double>>"
     table = F.from_json(F.lit(json.dumps(list(by_keyword.values()))), f"array<{rule}>")
-    literals = F.from_json(F.lit(json.dumps(keywords)), "array<string>")
-    # Places of the keywords in the list that the text holds: a few, mostly none.
-    held = F.filter(F.sequence(F.lit(0), F.lit(len(keywords) - 1)), lambda k: F.contains(F.col("words"), literals[k]))
-    gated = rows.select("order", "copy", "words", held.alias("held")).filter(F.size("held") > 0)
-    tried = gated.select("order", "copy", "words", F.explode("held").alias("k"))
+    literals = F.from_json(F.lit(json.dumps([f" {k}" for k in keywords])), "array<string>")
+    # One look at each word leaves the keywords whose longest word the text has: a few, mostly none.
+    gates = [max(k.split()[:-1] or [k], key=len) for k in keywords]
+    listed = F.from_json(F.lit(json.dumps(gates)), "array<string>")
+    hits = F.array_intersect(F.split("words", " "), F.array_distinct(listed))
+    hit = rows.select("order", "copy", "words", F.explode(F.array(hits)).alias("hits")).filter(F.size("hits") > 0)
+    held = F.filter(
+        F.sequence(F.lit(0), F.lit(len(keywords) - 1)),
+        lambda k: F.array_contains("hits", listed[k]) & F.contains(F.col("words"), literals[k]),
+    )
+    tried = hit.select("order", "copy", "words", F.explode(held).alias("k"))
     tried = tried.select("order", "copy", "words", F.explode(table[F.col("k")]).alias("rule"))
+    # One pass marks all matches; between the marks gaps and matches take turns.
     pattern = F.concat(F.lit("(?<= )(?:"), F.col("rule.pattern"), F.lit(")(?= )"))
-    matches = tried.select(
+    marked = F.split(F.regexp_replace("words", pattern, F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+    sizes = tried.select(
         "order",
         "copy",
         "rule.priority",
         "rule.label",
         "rule.confidence",
-        F.transform(F.regexp_extract_all("words", pattern, F.lit(0)), F.char_length).alias("sizes"),
-        F.transform(F.split("words", pattern, -1), F.char_length).alias("gaps"),
-    ).filter(F.size("sizes") > 0)
-    single = matches.select(
-        "order", "copy", "priority", "label", "confidence", F.posexplode(F.arrays_zip("gaps", "sizes")).alias("k", "m")
-    ).filter("m.sizes is not null")
-    # A match starts after all gaps up to it and all matches before it.
+        F.explode(F.array(F.transform(marked, F.char_length))).alias("sizes"),
+    ).filter(F.size("sizes") > 1)
+    parts = sizes.select(
+        "order", "copy", "priority", "label", "confidence", F.posexplode("sizes").alias("k", "size")
+    )
     upto = Window.partitionBy("order", "copy", "priority").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    after = F.sum(F.col("m.gaps") + F.col("m.sizes")).over(upto)
-    return single.select(
-        "order", "copy", "priority", "label", "confidence", (after - F.col("m.sizes")).alias("first"), after.alias("after")
+    after = F.sum("size").over(upto)
+    return (
+        parts.withColumn("after", after)
+        .filter("k % 2 = 1")
+        .select(
+            "order", "copy", "priority", "label", "confidence", (F.col("after") - F.col("size")).alias("first"), "after"
+        )
     )
 
 
@@ -118,12 +139,11 @@ def scan(docs: DataFrame, signatures: Sequence[Rule] | None = None) -> DataFrame
     table gives no rows; other columns are ignored, whatever their names.
     """
     rows = identified(docs.select("doc_id", "text"))
-    words = rows.select("order", "copy", _reduced(F.col("row.text")).alias("words"))
-    found = _standing(_detections(words, rules() if signatures is None else signatures))
+    found = _standing(_detections(_with_words(rows, "order", "copy"), rules() if signatures is None else signatures))
     labelled = found.groupBy("order", "copy").agg(
         F.collect_set("label").alias("own"), F.max("confidence").alias("confidence")
     )
-    counted = rows.select("order", "copy", F.col("row.doc_id").alias("doc_id"), _reduced(F.col("row.text")).alias("words"))
+    counted = _with_words(rows, "order", "copy", "row.doc_id")
     counted = counted.select("order", "copy", "doc_id", (_blanks(F.col("words")) - 1).alias("n_words"), *_base("words"))
     labels = F.array_sort(F.array_union("base", F.coalesce("own", F.array().cast("array<string>"))))
     sure = F.greatest(F.coalesce("confidence", F.lit(0.0)), F.when(F.size("base") > 0, BASE_CONFIDENCE).otherwise(0.0))
