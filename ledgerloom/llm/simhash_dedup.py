@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.frames import LAST, identified, ready
+from ledgerloom.llm.frames import LAST, identified, join_totals, ready
 from ledgerloom.llm.graphs import components
 from ledgerloom.llm.words import LOWER, texts_of
 from ledgerloom.session import stage
@@ -152,7 +152,7 @@ def _grouped(rows: DataFrame, crowded: int) -> DataFrame:
     prints = stage(rows.mapInArrow(_fingerprints, "order long, copy long, print long"), "fingerprints")
     joined = components(links(prints, crowded)).select(F.col("node").alias("print"), F.col("component").alias("group"))
     groups = prints.select("print").distinct().join(joined, "print", "left")
-    return prints.join(groups.select("print", F.coalesce("group", "print").alias("group")), "print")
+    return join_totals(prints, groups.select("print", F.coalesce("group", "print").alias("group")), "print")
 
 
 def near_duplicates(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     def public(order: str) -> Column:
         return F.when(F.col(order) != LAST, F.col(order))
 
-    return grouped.join(least, "group").select(
+    return join_totals(grouped, least, "group").select(
         public("order").alias("doc_id"),
         F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
         public("least").alias("component_id"),
