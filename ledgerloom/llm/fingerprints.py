@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -129,9 +128,9 @@ def _dealt(docs: DataFrame, ranges: int) -> DataFrame:
     found = keyed.agg(F.percentile_approx("order", shares, 10 * ranges)).first()[0] if shares else []
     bounds = np.unique(np.array(found or [], np.int64))
 
-    @F.pandas_udf("int")
-    def range_of(order: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, order.to_numpy(), side="right").astype(np.int32))
+    @F.arrow_udf("int")
+    def range_of(order: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(bounds, order.to_numpy(), side="right").astype(np.int32))
 
     ranged = keyed.withColumn("range", range_of("order"))
     ids = ranged.select("range", F.struct("order", "tie").alias("key"))
