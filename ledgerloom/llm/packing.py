@@ -15,6 +15,7 @@ pad goes on with the next block. Nothing is shuffled.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -40,8 +41,8 @@ WORD_CUT = 64
 SEQUENCE = 4
 # Tokens packed at once; they take about 30 bytes each.
 BLOCK_TOKENS = 1_000_000
-# Words and pieces whose ids a task remembers, in two generations.
-REMEMBERED = 150_000
+# Words and pieces whose ids a worker remembers, in two generations of about 200 bytes an entry.
+REMEMBERED = 300_000
 
 
 class WordIds:
@@ -68,7 +69,8 @@ class WordIds:
             ids = old.get(piece)
             if ids is None:
                 spelled = piece if piece.isascii() else self.spell(piece)[0][0]
-                ids = np.array([t.id for t in self.whole.model.tokenize(spelled)], "<u4").tobytes()
+                found = [t.id for t in self.whole.model.tokenize(spelled)]
+                ids = struct.pack(f"<{len(found)}I", *found)
             if len(young) >= REMEMBERED:
                 young = {}
                 self.pieces = (young, self.pieces[0])
@@ -76,10 +78,15 @@ class WordIds:
         return ids
 
     def _word(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters only: one piece
+            return self._piece(word.decode().lower())
+        if word[:-1].isalpha() and word[-1] in b".,;:!?":
+            return self._piece(word[:-1].decode().lower()) + self._piece(chr(word[-1]))
         text = word.decode()
         # Below U+0250 lower case needs no context and the normal form changes nothing.
-        if max(text) < "\u0250" and text.isprintable() and not any(s in text for s in self.special):
-            return b"".join(map(self._piece, self.letters.findall(text.lower())))
+        if max(text) < "\u0250" and text.isprintable() and not any(x in text for x in self.special):
+            text = text.lower()
+            return self._piece(text) if text.isalpha() else b"".join(map(self._piece, self.letters.findall(text)))
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, data: bytes) -> np.ndarray:
@@ -100,6 +107,16 @@ class WordIds:
         return np.frombuffer(b"".join(found), "<u4")
 
 
+# Kept for the tasks that a worker runs one after the other.
+_encoders: dict[str, WordIds] = {}
+
+
+def _encoder(path: str) -> WordIds:
+    if path not in _encoders:
+        _encoders[path] = WordIds(path)
+    return _encoders[path]
+
+
 @dataclass(frozen=True)
 class Packing:
     size: int = SIZE
@@ -251,7 +268,7 @@ def pack(docs: DataFrame, tokenizer: str, packing: Packing = Packing(), end: int
     ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordIds(tokenizer)
+        encode = _encoder(tokenizer)
         vocabulary = encode.whole.get_vocab()
         closing = np.zeros(max(vocabulary.values()) + 1, bool)
         closing[[k for token, k in vocabulary.items() if token.endswith((".</w>", "!</w>", "?</w>"))]] = True
