@@ -181,6 +181,15 @@ def near_duplicates(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     )
 
 
+def first_of_groups(rows: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The first row (by ``order`` and ``copy``) of each group, as it came."""
+    first = grouped.groupBy("group").agg(F.min(F.struct("order", "copy")).alias("first")).select("first.*")
+    kept = rows.join(first, ["order", "copy"], "left_semi")
+    if not grouped.groupBy("order", "copy").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["order", "copy"])
+    return kept.select("row.*")
+
+
 def keep_one(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """The row of ``docs`` with the smallest ``doc_id`` of each component, with all its columns.
 
@@ -188,9 +197,4 @@ def keep_one(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
     and of equal rows one. Everything else is as for ``near_duplicates``.
     """
     rows = identified(docs)
-    grouped = _grouped(rows, crowded)
-    first = grouped.groupBy("group").agg(F.min(F.struct("order", "copy")).alias("first")).select("first.*")
-    kept = rows.join(first, ["order", "copy"], "left_semi")
-    if not grouped.groupBy("order", "copy").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["order", "copy"])
-    return kept.select("row.*")
+    return first_of_groups(rows, _grouped(rows, crowded))
