@@ -40,7 +40,7 @@ SCRIPT_SHARE = 0.02
 
 # Code point ranges of scripts, after the Unicode blocks.
 SCRIPTS = {
-    "latin": ((0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0x24F), (0x1E00, 0x1EFF)),
+    "latin": ((0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0x2AF), (0x1E00, 0x1EFF)),
     "greek": ((0x370, 0x3FF), (0x1F00, 0x1FFF)),
     "cyrillic": ((0x400, 0x52F),),
     "armenian": ((0x530, 0x58F),),
@@ -53,18 +53,47 @@ SCRIPTS = {
     "georgian": ((0x10A0, 0x10FF),),
     "hangul": ((0x1100, 0x11FF), (0xAC00, 0xD7AF)),
     "kana": ((0x3040, 0x30FF),),
-    "han": ((0x3400, 0x4DBF), (0x4E00, 0x9FFF)),
+    "han": ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF)),
+    "syriac": ((0x700, 0x74F),),
+    "thaana": ((0x780, 0x7BF),),
+    "gurmukhi": ((0xA00, 0xA7F),),
+    "gujarati": ((0xA80, 0xAFF),),
+    "oriya": ((0xB00, 0xB7F),),
+    "telugu": ((0xC00, 0xC7F),),
+    "kannada": ((0xC80, 0xCFF),),
+    "malayalam": ((0xD00, 0xD7F),),
+    "sinhala": ((0xD80, 0xDFF),),
+    "lao": ((0xE80, 0xEFF),),
+    "tibetan": ((0xF00, 0xFFF),),
+    "burmese": ((0x1000, 0x109F),),
+    "ethiopic": ((0x1200, 0x139F),),
+    "cherokee": ((0x13A0, 0x13FF),),
+    "canadian": ((0x1400, 0x167F),),
+    "khmer": ((0x1780, 0x17FF),),
+    "mongolian": ((0x1800, 0x18AF),),
+    # Letters of all other scripts; they share a bit, and only trigrams tell their languages apart.
+    "other": (),
 }
+# Signs among letters that go with any script: modifier letters, symbols, CJK punctuation, full and half width.
+NO_SCRIPT = ((0x2B0, 0x36F), (0x2000, 0x2BFF), (0x3000, 0x303F), (0xFE00, 0xFFFF))
 
 
 def _script_bits() -> np.ndarray:
     """Bit of the script by the first two bytes of a character (for ASCII by the first); 0 for no letter."""
-    bits = np.zeros((256, 256), np.uint16)
-    for k, ranges in enumerate(SCRIPTS.values()):
-        for low, high in ranges:
-            for point in range(low, high + 1):
-                encoded = chr(point).encode("utf-8", "surrogatepass")
-                bits[encoded[0], encoded[1] if len(encoded) > 1 else slice(None)] |= np.uint16(1 << k)
+    bits = np.zeros((256, 256), np.uint32)
+    listed = [(range(low, high + 1), k) for k, ranges in enumerate(SCRIPTS.values()) for low, high in ranges]
+    for points, k in listed:
+        for point in points:
+            encoded = chr(point).encode("utf-8", "surrogatepass")
+            bits[encoded[0], encoded[1] if len(encoded) > 1 else slice(None)] |= np.uint32(1 << k)
+    told = np.zeros(0x20000, bool)
+    for low, high in [*((p[0], p[-1]) for p, _ in listed), *NO_SCRIPT]:
+        told[low : high + 1] = True
+    other = np.uint32(1 << list(SCRIPTS).index("other"))
+    for point in (np.flatnonzero(~told[0x250:]) + 0x250).tolist():
+        if chr(point).isalpha():
+            encoded = chr(point).encode()
+            bits[encoded[0], encoded[1]] |= other
     for point in (0xD7, 0xF7):  # multiplication and division signs
         bits[tuple(chr(point).encode())] = 0
     return bits.ravel()
@@ -81,7 +110,7 @@ def _words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     grams = wide[:-2] << np.uint32(16) | wide[1:-1] << np.uint32(8) | wide[2:]
     buckets = (grams * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.int64)
     if not len(starts):
-        return starts, ends, buckets, np.zeros(0, np.uint16)
+        return starts, ends, buckets, np.zeros(0, np.uint32)
     scripts = _SCRIPT_BITS[data[:-1].astype(np.int64) << 8 | data[1:]]
     return starts, ends, buckets, np.bitwise_or.reduceat(scripts, starts)
 
@@ -188,7 +217,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 total[:BUCKETS] += np.bincount(buckets[inside], minlength=BUCKETS)
                 total[BUCKETS] += len(starts)
                 for k in range(len(SCRIPTS)):
-                    total[BUCKETS + 1 + k] += np.count_nonzero(scripts >> np.uint16(k) & np.uint16(1))
+                    total[BUCKETS + 1 + k] += np.count_nonzero(scripts >> np.uint32(k) & np.uint32(1))
     for language, total in totals.items():
         keys = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
@@ -208,7 +237,7 @@ def learn(docs: DataFrame) -> Model:
             raise ValueError(f"more than {MOST_LANGUAGES} languages")
         totals.setdefault(row["lang"], np.zeros(BUCKETS + len(SCRIPTS) + 1))[row["key"]] = row["n"]
     languages = sorted(totals)
-    scores, scripts = np.zeros((len(languages), BUCKETS), np.float32), np.zeros(len(languages), np.uint16)
+    scores, scripts = np.zeros((len(languages), BUCKETS), np.float32), np.zeros(len(languages), np.uint32)
     for k, language in enumerate(languages):
         grams, words, by_script = np.split(totals[language], [BUCKETS, BUCKETS + 1])
         scores[k] = np.log((grams + SMOOTHING) / (grams.sum() + SMOOTHING * BUCKETS))

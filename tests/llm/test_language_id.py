@@ -73,3 +73,23 @@ def test_nothing_learned_and_no_rows(documents, model):
 def test_held_out_ids(spark):
     rows = spark.range(40).select("id", held_out(F.col("id")).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in rows)
+
+
+OTHERS = {
+    "te": "ఇల్లు మరియు తోట ఆ ఇతర వస్తువుతో అక్కడ ఉంది",
+    "kn": "ಮನೆ ಮತ್ತು ತೋಟ ಆ ಇತರ ವಸ್ತುವಿನೊಂದಿಗೆ ಅಲ್ಲಿತ್ತು",
+    "km": "ផ្ទះ និង សួន ជាមួយ វត្ថុ ផ្សេង ទៀត",
+    "am": "ቤቱ እና የአትክልት ቦታው ከዚያ ሌላ ነገር ጋር",
+    "jv": "ꦲꦺꦴꦩꦃ ꦭꦤ꧀ ꦏꦼꦧꦺꦴꦤ꧀ ꦏꦭꦶꦪꦤ꧀",
+    "en": SAID["en"],
+}
+
+
+def test_languages_of_any_script(spark, documents):
+    rows = [(i, text, lang) for lang, text in OTHERS.items() for i in range(4)]
+    learned = learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    rows = [*enumerate(OTHERS.values()), (10, f"{OTHERS['te']} house"), (11, "ਘਰ ਅਤੇ ਬਾਗ"), (12, "house。 々 the ™")]
+    found = {r["row"]["doc_id"]: r for r in identify(documents(rows), learned).collect()}
+    assert [found[k]["lang_pred"] for k in range(len(OTHERS))] == list(OTHERS)
+    assert all(found[k]["score"] == 1.0 for k in range(len(OTHERS)))
+    assert found[10]["lang_pred"] == "te" and found[11]["score"] == 0.0 and found[12]["lang_pred"] == "en"
