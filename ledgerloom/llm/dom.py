@@ -20,6 +20,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SILENT = frozenset(
     "script style template noscript iframe object svg math canvas textarea select option button title head audio video".split()
 )
+# What a head can hold; any other element, or text, ends a head that has no end tag.
+_HEAD = frozenset("html head title meta link script style base basefont bgsound noframes noscript template".split())
 _RAW = frozenset("script style textarea title iframe noscript template".split())
 _CLOSING = {tag: re.compile(rf"</{tag}[\s/>]|\Z", re.IGNORECASE) for tag in _RAW}
 INLINE = frozenset(
@@ -95,6 +97,8 @@ def read(source: str) -> Page:
     while at < len(source):
         found = _TAG.search(source, at)
         upto = found.start() if found else len(source)
+        if silent and upto > at and tags[stack[-1]] == "head" and not source[at:upto].isspace():
+            close(len(stack) - 1)
         if upto > at and not silent:
             pieces.append((stack[-1], source[at:upto]))
         if not found:
@@ -108,6 +112,10 @@ def read(source: str) -> Page:
             if k:
                 close(k)
             continue
+        if silent and tag not in _HEAD:
+            k = nearest(("head",), frozenset())
+            if k:
+                close(k)
         if tag not in INLINE:
             pieces.append(None)
             if tag in _ITEMS:

@@ -101,3 +101,17 @@ def test_given_pages(spark):
     rows = QUERIES["op5_html_extraction"](spark, FOLDER).collect()
     assert len(rows) == len(pages) and all(r["n_chars"] == len(r["text"]) for r in rows)
     assert np.mean([r["text"] == wanted(pages[r["page_id"]]) for r in rows]) > 0.99
+
+
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ("<html><head><title>t</title><body><article><p>a</p></article>", "a"),
+        ("<head><meta charset=x><title>t</title><script>s</script><link rel=y><p>a<p>b", "a\nb"),
+        ("<head><title>t</title>\n<noscript><p>n</p></noscript>\n<style>s</style><div>a</div>", "a"),
+        ("<html><head><title>t</title>plain <b>text</b>", "plain text"),
+        ("<head>\n<title>t</title>\n</head><body><p>a", "a"),
+    ],
+)
+def test_heads_without_an_end_tag(source, text):
+    assert everything(source) == text
