@@ -31,10 +31,12 @@ NAMED: tuple[tuple[str, str, str, str], ...] = (
     ("gfdl-1.3", "free documentation licen", f"(?:gnu )?free documentation licen[sc]e {V}1 3", "gfdl 1 3(?: only| or later)?"),
     ("gfdl-1.2", "free documentation licen", f"(?:gnu )?free documentation licen[sc]e {V}1 2", "gfdl 1 2(?: only| or later)?"),
     ("gfdl", "free documentation licen", "(?:gnu )?free documentation licen[sc]e", ""),
-    ("bsd-2-clause", "bsd", "(?:simplified bsd|bsd 2 clause|2 clause bsd|two clause bsd|freebsd) licen[sc]e", "bsd 2 clause"),
+    ("bsd-2-clause", "bsd", "(?:simplified bsd|bsd 2 clause|2 clause bsd|two clause bsd) licen[sc]e", "bsd 2 clause"),
+    ("bsd-2-clause", "freebsd licen", "freebsd licen[sc]e", ""),
     ("bsd-3-clause", "bsd", "(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd) licen[sc]e", "bsd 3 clause"),
     ("bsd-4-clause", "bsd", "(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd) licen[sc]e", "bsd 4 clause"),
-    ("0bsd", "bsd", "(?:zero clause bsd|bsd zero clause|0bsd)(?: licen[sc]e)?", "0bsd"),
+    ("0bsd", "bsd", "(?:zero clause bsd|bsd zero clause)(?: licen[sc]e)?", "0bsd"),
+    ("0bsd", "0bsd", "0bsd(?: licen[sc]e)?", ""),
     ("bsd", "bsd", "bsd (?:style )?licen[sc]e", ""),
     ("isc", "isc licen", "isc licen[sc]e", "isc"),
     ("mpl-2.0", "mozilla public", f"mozilla public licen[sc]e {V}2(?: 0)?", "mpl 2 0"),
@@ -136,8 +138,8 @@ NOTICES: tuple[tuple[str, str, str, float], ...] = (
     ("no-warranty", "without warranty", "without warranty of any kind", 0.5),
     ("no-warranty", "provided as is", "provided as is(?: basis)?", 0.4),
     ("no-warranty", "provided on an as is", "provided on an as is(?: basis)?", 0.4),
-    ("license", "see the license", "see the licen[sc]e (?:file )?for (?:the specific language|details|more information)", 0.5),
-    ("license", "license agreement", "(?:under|subject to) the (?:terms of the )?licen[sc]e agreement", 0.5),
+    ("license", "see the licen", "see the licen[sc]e (?:file )?for (?:the specific language|details|more information)", 0.5),
+    ("license", "agreement", "(?:under|subject to) the (?:terms of the )?licen[sc]e agreement", 0.5),
 )
 
 _GRANT = (

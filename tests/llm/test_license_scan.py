@@ -4,7 +4,8 @@ import re
 import pytest
 
 from ledgerloom.llm.license_rules import Rule, rules
-from ledgerloom.llm.license_scan import BASE, scan
+from ledgerloom.llm.frames import identified
+from ledgerloom.llm.license_scan import BASE, _detections, _with_words, scan
 from llm_helpers import ODD_TEXTS, alnum_words
 
 
@@ -89,3 +90,55 @@ def test_empty_table(documents):
 def test_names(documents, text, label):
     (row,) = scan(documents([(1, text)])).collect()
     assert row["labels"] == label and row["n_base"] == 0
+
+
+def samples(parsed):
+    """Texts that a parsed pattern matches: a plain one, and one for each alternative, option and character."""
+    plain, variants = [], []
+    for op, value in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            own = [chr(value)]
+        elif name == "IN":
+            own = ["x"] if str(value[0][0]) == "NEGATE" else [chr(v if str(o) == "LITERAL" else v[0]) for o, v in value]
+        elif name == "NOT_LITERAL":
+            own = ["x"]
+        elif name == "BRANCH":
+            own = [t for branch in value[1] for t in samples(branch)]
+        elif name == "SUBPATTERN":
+            own = samples(value[3])
+        else:
+            assert name in ("MAX_REPEAT", "MIN_REPEAT"), name
+            least, most, inner = value
+            once = samples(inner)
+            own = [once[0] * least, *once] if most > least else [t * least for t in once]
+        variants += [(len(plain), t) for t in own[1:]]
+        plain.append(own[0])
+    return ["".join(plain), *("".join([*plain[:k], t, *plain[k + 1 :]]) for k, t in variants)]
+
+
+def test_prefilter_hides_no_match(documents):
+    signatures = rules()
+    texts = sorted({t for r in signatures for t in samples(re._parser.parse(r.pattern))})
+    lines = [f" {' '.join(x.decode() for x in alnum_words(t))} " for t in texts]
+    expected = set()
+    for r in signatures:
+        c = re.compile(f"(?<= )(?:{r.pattern})(?= )")
+        expected |= {(k, r.priority, m.start(), m.end()) for k, line in enumerate(lines) for m in c.finditer(line)}
+    rows = identified(documents(list(enumerate(texts))).select("doc_id", "text"))
+    found = _detections(_with_words(rows, "order", "copy"), signatures).select("order", "priority", "first", "after")
+    assert {tuple(r) for r in found.collect()} == expected
+
+
+@pytest.mark.parametrize(
+    "text, label",
+    [
+        ("FreeBSD License", "bsd-2-clause"),
+        ("released under the 0BSD license", "0bsd"),
+        ("see the licence for details", "license"),
+        ("under the terms of the licence agreement", "license"),
+    ],
+)
+def test_names_behind_the_prefilter(documents, text, label):
+    (row,) = scan(documents([(1, text)])).collect()
+    assert row["labels"] == label
