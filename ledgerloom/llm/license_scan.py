@@ -97,6 +97,8 @@ def _detections(rows: DataFrame, signatures: Sequence[Rule]) -> DataFrame:
         "rule.confidence",
         F.explode(F.array(F.transform(marked, F.char_length))).alias("sizes"),
     ).filter(F.size("sizes") > 1)
+    # Repeated rows share their sizes, and sums over both would shift all places; the window needs this shuffle anyway.
+    sizes = sizes.dropDuplicates(["order", "copy", "priority"])
     parts = sizes.select(
         "order", "copy", "priority", "label", "confidence", F.posexplode("sizes").alias("k", "size")
     )

@@ -142,3 +142,11 @@ def test_prefilter_hides_no_match(documents):
 def test_names_behind_the_prefilter(documents, text, label):
     (row,) = scan(documents([(1, text)])).collect()
     assert row["labels"] == label
+
+
+def test_repeated_rows_count_once(documents):
+    text = "Creative Commons Attribution"
+    found = scan(documents([(1, text), (1, text), (2, text), (1, "other words")])).collect()
+    assert sorted((r["doc_id"], r["labels"], r["score"]) for r in found) == [
+        (1, "", 0.0), (1, "cc-by", 0.7), (1, "cc-by", 0.7), (2, "cc-by", 0.7)
+    ]
