@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import extraction, quality
 from ledgerloom.llm.chat_format import prefix_tree, read_back
 from ledgerloom.llm.decontamination import find_leaks
+from ledgerloom.llm.filter_audit import audit
 from ledgerloom.llm.fingerprints import edited_neighbours
 from ledgerloom.llm.frames import table
 from ledgerloom.llm.language_id import held_out, identify, learn
@@ -104,6 +105,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -115,4 +120,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_language_id": op10_language_id,
+    "op11_filter_audit": op11_filter_audit,
 }

@@ -65,8 +65,50 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
+# Order by order and step by step over the masks of all documents.
+FILTER_AUDIT = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+marks AS (
+  SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+failed AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CAST(len(w) < 50 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 65 * len(w) AS INT)
+         + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) AS INT)
+         + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT)
+         + 16 * CAST(min(doc_id) OVER (PARTITION BY t) < doc_id AS INT) AS mask
+  FROM texts LEFT JOIN marks USING (doc_id)),
+cells AS (SELECT part, mask, good, toxic, count(*) AS n FROM failed GROUP BY ALL),
+parts AS (SELECT DISTINCT part FROM cells),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+  SELECT '' AS filter_order, 0 AS used
+  UNION ALL SELECT filter_order || letter, used | bit FROM orders JOIN letters ON used & bit = 0),
+steps AS (
+  SELECT filter_order, step, bit, substr(filter_order, step, 1) AS letter,
+         (SELECT coalesce(sum(l.bit), 0) FROM letters l WHERE position(l.letter IN filter_order) < step) AS applied
+  FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders WHERE used = 31)
+  JOIN letters ON letters.letter = substr(filter_order, step, 1)),
+counted AS (
+  SELECT part, filter_order, step, letter,
+         coalesce(sum(n) FILTER (mask & (CAST(applied AS INT) | bit) = 0), 0) AS kept,
+         coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & CAST(applied AS INT) = 0), 0) AS removed,
+         coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & CAST(applied AS INT) <> 0), 0) AS redundant,
+         coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+         coalesce(sum(n) FILTER (good = 1 AND mask & bit <> 0 AND mask & CAST(applied AS INT) = 0), 0) AS good_lost,
+         coalesce(sum(n) FILTER (toxic = 1 AND mask & bit <> 0 AND mask & CAST(applied AS INT) = 0), 0) AS toxic_lost
+  FROM parts CROSS JOIN steps JOIN cells USING (part) GROUP BY part, filter_order, step, letter)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM counted
+"""
+
 SQL: dict[str, str] = {
     "op1_substring_dedup": SUBSTRING_DEDUP,
     "op4_chat_formatting": CHAT_FORMATTING,
     "op7_decontamination": DECONTAMINATION,
+    "op11_filter_audit": FILTER_AUDIT,
 }
