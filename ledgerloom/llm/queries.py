@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import extraction, quality
+from ledgerloom.llm import extraction, nn_descent, quality
 from ledgerloom.llm.chat_format import prefix_tree, read_back
 from ledgerloom.llm.decontamination import find_leaks
 from ledgerloom.llm.filter_audit import audit
@@ -109,6 +109,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -121,4 +125,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_language_id": op10_language_id,
     "op11_filter_audit": op11_filter_audit,
+    "op12_embedding_dedup": op12_embedding_dedup,
 }
