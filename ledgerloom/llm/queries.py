@@ -14,6 +14,7 @@ from ledgerloom.llm.decontamination import find_leaks
 from ledgerloom.llm.filter_audit import audit
 from ledgerloom.llm.fingerprints import edited_neighbours
 from ledgerloom.llm.frames import table
+from ledgerloom.llm.hard_negatives import mine
 from ledgerloom.llm.language_id import held_out, identify, learn
 from ledgerloom.llm.license_scan import scan
 from ledgerloom.llm.packing import pack
@@ -113,6 +114,18 @@ def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "embeddings").filter(
+        F.col("label").isNotNull()
+        & F.col("embedding").isNotNull()
+        & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    )
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vector = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")))
+    anchor = F.col("vec_id") % 100 == 0
+    return mine(given.select("vec_id", label.alias("label"), vector.alias("vector"), anchor.alias("anchor")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -126,4 +139,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_filter_audit": op11_filter_audit,
     "op12_embedding_dedup": op12_embedding_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }

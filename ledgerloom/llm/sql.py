@@ -152,4 +152,5 @@ SQL: dict[str, str] = {
     "op7_decontamination": DECONTAMINATION,
     "op11_filter_audit": FILTER_AUDIT,
     "op12_embedding_dedup": EMBEDDING_DEDUP,
+    "op13_hard_negatives": HARD_NEGATIVES,
 }
