@@ -15,7 +15,10 @@ pad goes on with the next block. Nothing is shuffled.
 
 from __future__ import annotations
 
+import re
+import string
 import struct
+import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -23,14 +26,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
 from ledgerloom.llm.frames import ready
-from ledgerloom.llm.words import texts_of
+from ledgerloom.llm.words import SPACED, pieces, texts_of
 
 END = 2  # the id behind each document
 SIZE = 4096
@@ -42,7 +44,15 @@ SEQUENCE = 4
 # Tokens packed at once; they take about 30 bytes each.
 BLOCK_TOKENS = 1_000_000
 # Words and pieces whose ids a worker remembers, in two generations of about 200 bytes an entry.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
+_PUNCTUATION = string.punctuation.encode()
+# What all special tokens hold.
+_SPECIAL = "<|"
+
+
+def _letters_of(categories: str) -> str:
+    """The characters below U+0250 whose category starts with one of ``categories``, for a class of a pattern."""
+    return "".join(map(re.escape, (chr(x) for x in range(0x250) if unicodedata.category(chr(x))[0] in categories)))
 
 
 class WordIds:
@@ -50,61 +60,68 @@ class WordIds:
 
     White space is dropped and separates, so the ids of a text are those of its
     words one after the other, and a word is encoded once while it is remembered.
-    Words of plain characters are split as the tokenizer's own pattern does and
-    reach its model directly; all others go through the whole tokenizer.
+    Words of plain characters are split as the tokenizer's own pattern does, and
+    their pieces, words themselves, reach its model directly; all others go through the
+    whole tokenizer. Capitals don't matter, so A-Z are lowered first.
     """
 
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)
-        self.letters = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.words: tuple[dict, dict] = ({}, {})
-        self.pieces: tuple[dict, dict] = ({}, {})
-
-    def _piece(self, piece: str) -> bytes:
-        young, old = self.pieces
-        ids = young.get(piece)
+        letters, digits = _letters_of("L"), _letters_of("N")
+        # Below U+0250 lower case needs no context and the normal form changes nothing.
+        plain = "".join(map(re.escape, (chr(x) for x in range(0x250) if chr(x).isprintable())))
+        self.odd = re.compile(f"[^{plain}]")
+        self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^\s{letters}{digits}]+")
+        # The model spells a byte as the character of its number, or where that can't be printed as the next one from 256.
+        printed = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        self.spelling = {x: 256 + k for k, x in enumerate(x for x in range(256) if x not in printed)}
+        if not all(_SPECIAL in t.content for t in self.whole.get_added_tokens_decoder().values()):
+            raise ValueError("this tokenizer has special tokens of another form")
+        self.young, self.old = {}, {}
+
+    def _one(self, word: bytes) -> bytes:
+        """Ids of a word in which A-Z are lower case."""
+        ids = self.young.get(word)
         if ids is None:
-            ids = old.get(piece)
-            if ids is None:
-                spelled = piece if piece.isascii() else self.spell(piece)[0][0]
-                found = [t.id for t in self.whole.model.tokenize(spelled)]
-                ids = struct.pack(f"<{len(found)}I", *found)
-            if len(young) >= REMEMBERED:
-                young = {}
-                self.pieces = (young, self.pieces[0])
-            young[piece] = ids
+            ids = self.old.get(word)
+            self.young[word] = ids = self._encoded(word) if ids is None else ids
         return ids
 
-    def _word(self, word: bytes) -> bytes:
-        if word.isalpha():  # ASCII letters only: one piece
-            return self._piece(word.decode().lower())
-        if word[:-1].isalpha() and word[-1] in b".,;:!?":
-            return self._piece(word[:-1].decode().lower()) + self._piece(chr(word[-1]))
-        text = word.decode()
-        # Below U+0250 lower case needs no context and the normal form changes nothing.
-        if max(text) < "\u0250" and text.isprintable() and not any(x in text for x in self.special):
-            text = text.lower()
-            return self._piece(text) if text.isalpha() else b"".join(map(self._piece, self.letters.findall(text)))
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __call__(self, data: bytes) -> np.ndarray:
-        words = data.split()
-        if len(self.words[0]) >= REMEMBERED:
-            self.words = ({}, self.words[0])
-        young, old = self.words
-        found = list(map(young.get, words))
+    def _encoded(self, word: bytes) -> bytes:
+        core = word.rstrip(_PUNCTUATION)
+        if core.isalpha() or not core:
+            if core and len(core) < len(word):
+                return self._one(core) + self._one(word[len(core) :])
+            return self._piece(word)
+        text = word.decode().lower()
+        if self.odd.search(text):
+            return self._whole(word)
+        found = self.split.findall(text)
+        return self._piece(found[0].encode()) if len(found) == 1 else b"".join(self._one(x.encode()) for x in found)
+
+    def _piece(self, piece: bytes) -> bytes:
+        spelled = piece.decode() if piece.isascii() else piece.decode("latin-1").translate(self.spelling)
+        ids = [t.id for t in self.whole.model.tokenize(spelled)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _whole(self, word: bytes) -> bytes:
+        return np.array(self.whole.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _ids(self, data: bytes) -> bytes:
+        if _SPECIAL.encode() in data:  # what looks like a special token, for which capitals do matter
+            return b"".join(self._whole(x) if _SPECIAL.encode() in x else self._one(x.lower()) for x in data.split())
+        if len(self.young) >= REMEMBERED:
+            self.young, self.old = {}, self.young
+        words = data.lower().split()
+        found = list(map(self.young.get, words))
         if None in found:
             for k, ids in enumerate(found):
                 if ids is None:
-                    word = words[k]
-                    ids = young.get(word)
-                    if ids is None:
-                        ids = old.get(word)
-                        young[word] = ids = self._word(word) if ids is None else ids
-                    found[k] = ids
-        return np.frombuffer(b"".join(found), "<u4")
+                    found[k] = self._one(words[k])
+        return b"".join(found)
+
+    def __call__(self, data: bytes) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self._ids, pieces(data, SPACED))), "<u4")
 
 
 # Kept for the tasks that a worker runs one after the other.

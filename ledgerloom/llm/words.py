@@ -76,7 +76,7 @@ def _range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((total[ends] - total[starts]) * down[starts])
 
 
-def _pieces(data: bytes, table: np.ndarray) -> Iterator[bytes]:
+def pieces(data: bytes, table: np.ndarray) -> Iterator[bytes]:
     """``data`` in pieces of about PIECE bytes, cut where no word is; a longer word stays whole."""
     view, at = np.frombuffer(data, np.uint8), 0
     while len(data) - at > PIECE:
@@ -109,7 +109,7 @@ def word_hashes(texts: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.n
             size += len(texts[j]) + 1
             j += 1
         if j == i + 1:
-            for piece in _pieces(texts[i], table):
+            for piece in pieces(texts[i], table):
                 hashes, _ = _hash_piece(piece, table)
                 found.append(hashes)
                 counts[i] += len(hashes)
