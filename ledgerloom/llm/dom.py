@@ -5,10 +5,11 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 _TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""",
+    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*(?:"|\Z)|=\s*'[^']*(?:'|\Z)|[^>])*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""",
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
@@ -16,6 +17,8 @@ _TOKEN = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# Only here a slash before the end of a tag closes the element.
+FOREIGN = ("svg", "math")
 # Elements whose content is no text of the page.
 SILENT = frozenset(
     "script style template noscript iframe object svg math canvas textarea select option button title head audio video".split()
@@ -76,16 +79,20 @@ class Page:
 def read(source: str) -> Page:
     page, stack, silent, at = Page(), [0], 0, 0
     tags, parents, attributes, pieces = page.tags, page.parents, page.attributes, page.pieces
+    opened: Counter[str] = Counter()  # open elements by tag: most tags that could close one find none
 
     def close(upto: int) -> None:
         nonlocal silent
         while len(stack) > upto:
             tag = tags[stack.pop()]
+            opened[tag] -= 1
             silent -= tag in SILENT
             if tag not in INLINE:
                 pieces.append(None)
 
     def nearest(names: tuple[str, ...], stop: frozenset[str]) -> int | None:
+        if not any(opened[name] for name in names):
+            return None
         for k in range(len(stack) - 1, 0, -1):
             tag = tags[stack[k]]
             if tag in names:
@@ -129,11 +136,12 @@ def read(source: str) -> Page:
         tags.append(tag)
         parents.append(stack[-1])
         attributes.append(found[3])
-        if tag in VOID or found[3].endswith("/"):
+        if tag in VOID or found[3].endswith("/") and (tag in FOREIGN or any(opened[name] for name in FOREIGN)):
             continue
         if tag in _RAW:
             at = _CLOSING[tag].search(source, at).start()
         stack.append(len(tags) - 1)
+        opened[tag] += 1
         silent += tag in SILENT
     return page
 

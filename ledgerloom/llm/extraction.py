@@ -27,6 +27,7 @@ from ledgerloom.llm import boosting, dom
 from ledgerloom.llm.frames import as_row, ready, row_and
 
 # Pages whose sentences the training pages are made of, and training pages.
+SAMPLE_CHARS = 100_000
 SAMPLE_PAGES = 200
 TRAINING_PAGES = 700
 SEED = 11
@@ -298,11 +299,16 @@ def _texts(pages: list[dom.Page], rows: list[list[float]], trees: boosting.Trees
 
 
 def sample(pages: DataFrame, most: int = SAMPLE_PAGES) -> list[str]:
-    """At most ``most`` pages, those with the smallest hashes among about twice as many."""
-    n = max(1, pages.count())
-    place = F.pmod(F.xxhash64("html"), F.lit(1 << 30))
-    near = pages.filter("html is not null").filter(place < min(1 << 30, int(2 * most / n * (1 << 30)) + 1))
-    return [r["html"] for r in near.select("html", place.alias("place")).orderBy("place", "html").limit(most).collect()]
+    """At most ``most`` different pages, cut at ``SAMPLE_CHARS``: those with the smallest hashes among about twice as many.
+
+    Sentences are all they are for, so the rest of a long page isn't missed.
+    """
+    given = pages.filter("html is not null").select(F.xxhash64("html").alias("hash"), F.substring("html", 1, SAMPLE_CHARS).alias("html"))
+    n = max(1, given.agg(F.approx_count_distinct("hash")).first()[0])
+    place = F.pmod("hash", F.lit(1 << 30))
+    near = given.filter(place < min(1 << 30, int(2 * most / n * (1 << 30)) + 1))
+    one = near.groupBy("hash").agg(F.min("html").alias("html"))
+    return [r["html"] for r in one.orderBy(place, "html").limit(most).collect()]
 
 
 def extract(pages: DataFrame, trees: boosting.Trees) -> DataFrame:

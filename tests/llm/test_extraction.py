@@ -1,6 +1,7 @@
 import html
 import os
 import re
+import time
 
 import numpy as np
 import pytest
@@ -115,3 +116,33 @@ def test_given_pages(spark):
 )
 def test_heads_without_an_end_tag(source, text):
     assert everything(source) == text
+
+
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ('<p title=5">first</p><p>second</p>', "first\nsecond"),
+        ("<p title='a > b' class = \"c > d\" e>first</p>", "first"),
+        ('<p "x">first</p><p data-x=">">second</p>', "first\nsecond"),
+        ("<script src=x />var a=1;</script><p>text</p>", "text"),
+        ("<p>one <a href=/x/>two</a> three</p>", "one two three"),
+        # A slash closes elements of drawings; these stand between blocks.
+        ("<p>one<svg/> two<svg><path d=z/></svg> three</p>", "one\ntwo\nthree"),
+    ],
+)
+def test_attributes_and_slashes(source, text):
+    assert everything(source) == text
+
+
+def test_deep_and_long_pages():
+    started = time.process_time()
+    page = dom.read("<b>" * 20_000 + "text" + "</i>" * 20_000 + "<p>" * 20_000 + "</b>" * 20_000)
+    assert len(page.tags) == 40_001 and time.process_time() - started < 3
+    assert everything("<p>" + "word " * 300_000 + "</p>").count("word") == 300_000
+
+
+def test_sample_has_different_pages_of_bounded_size(spark):
+    pages = ["<p>same</p>"] * 300 + [f"<p>page {k}</p>" for k in range(20)] + ["<p>" + "x" * 500_000]
+    df = spark.createDataFrame([(p,) for p in pages], "html string")
+    found = extraction.sample(df)
+    assert len(found) == len(set(found)) == 22 and max(map(len, found)) == extraction.SAMPLE_CHARS
