@@ -56,7 +56,7 @@ NAMED: tuple[tuple[str, str, str, str], ...] = (
     ("zlib", "zlib", "zlib(?: libpng)? licen[sc]e", "zlib"),
     ("bsl-1.0", "boost software", f"boost software licen[sc]e(?: {V}1(?: 0)?)?", "bsl 1 0"),
     ("unlicense", "unlicense", "the unlicense", "unlicense"),
-    ("wtfpl", "public licen", "do what the f[a-z]* you want to public licen[sc]e", "wtfpl"),
+    ("wtfpl", "public licen", "do what the f[a-z]{0,99} you want to public licen[sc]e", "wtfpl"),
     ("cc0-1.0", "cc0", "cc0(?: 1 0)?(?: universal)?", "cc0 1 0"),
     ("psf-2.0", "python software foundation", "python software foundation licen[sc]e", "psf 2 0"),
     ("ruby", "ruby licen", "ruby licen[sc]e", "ruby"),
@@ -101,24 +101,24 @@ NOTICES: tuple[tuple[str, str, str, float], ...] = (
     ("mit", "the above copyright notice", "the above copyright notice and this permission notice shall be included in all copies", 0.9),
     ("isc", "permission to use copy modify", "permission to use copy modify and or distribute this software for any purpose", 0.95),
     ("bsd", "redistribution and use in source", "redistribution and use in source and binary forms with or without modification are permitted", 0.95),
-    ("bsd-3-clause", "neither the name of", "neither the name of [^ ]+(?: [^ ]+){0,12}? nor the names of its contributors", 0.95),
+    ("bsd-3-clause", "neither the name of", "neither the name of [^ ]{1,99}(?: [^ ]{1,99}){0,12}? nor the names of its contributors", 0.95),
     ("bsd-4-clause", "all advertising materials", "all advertising materials mentioning features or use of this software", 0.95),
     ("apache-2.0", "apache org licenses", "(?:http |https )?www apache org licenses license 2 0", 0.97),
     ("apache-2.0", "unless required by applicable law", "unless required by applicable law or agreed to in writing software distributed under the license", 0.95),
     ("gpl", "this program is free software", "this program is free software you can redistribute it and or modify", 0.95),
-    ("gpl", "gnu org licenses", "(?:www )?gnu org licenses gpl(?: [a-z0-9]+)?", 0.9),
+    ("gpl", "gnu org licenses", "(?:www )?gnu org licenses gpl(?: [a-z0-9]{1,99})?", 0.9),
     ("lgpl", "this library is free software", "this library is free software you can redistribute it and or modify", 0.95),
-    ("lgpl", "gnu org licenses", "(?:www )?gnu org licenses lgpl(?: [a-z0-9]+)?", 0.92),
-    ("agpl", "gnu org licenses", "(?:www )?gnu org licenses agpl(?: [a-z0-9]+)?", 0.92),
+    ("lgpl", "gnu org licenses", "(?:www )?gnu org licenses lgpl(?: [a-z0-9]{1,99})?", 0.92),
+    ("agpl", "gnu org licenses", "(?:www )?gnu org licenses agpl(?: [a-z0-9]{1,99})?", 0.92),
     ("gfdl", "permission is granted to copy", "permission is granted to copy distribute and or modify this document", 0.95),
     ("mpl-2.0", "this source code form is subject", "this source code form is subject to the terms of the mozilla public licen[sc]e", 0.97),
     ("zlib", "the origin of this software", "the origin of this software must not be misrepresented", 0.95),
     ("unlicense", "unencumbered software", "this is free and unencumbered software released into the public domain", 0.97),
-    ("wtfpl", "you just do what", "you just do what the f[a-z]* you want to", 0.9),
+    ("wtfpl", "you just do what", "you just do what the f[a-z]{0,99} you want to", 0.9),
     ("bsl-1.0", "boost org license", "(?:www )?boost org license 1 0", 0.95),
     ("cc0-1.0", "publicdomain zero", "creativecommons org publicdomain zero(?: 1 0)?", 0.97),
     ("cc0-1.0", "waived all copyright", "waived all copyright and related or neighboring rights", 0.93),
-    ("cc", "creativecommons org licenses", "creativecommons org licenses(?: [a-z]+){1,3}(?: [0-9] [0-9])?", 0.8),
+    ("cc", "creativecommons org licenses", "creativecommons org licenses(?: [a-z]{1,99}){1,3}(?: [0-9] [0-9])?", 0.8),
     ("cc", "creative commons", "creative commons(?: licen[sc]e)?", 0.6),
     ("public-domain", "public domain", "(?:released|placed|dedicated|published) (?:in|into|to) the public domain", 0.9),
     ("public-domain", "public domain", "(?:is|are) in the public domain", 0.8),
@@ -130,9 +130,9 @@ NOTICES: tuple[tuple[str, str, str, float], ...] = (
     ("reserved", "rights reserved", "(?:some|no other) rights reserved", 0.6),
     ("proprietary", "proprietary and confidential", "proprietary and confidential", 0.8),
     ("proprietary", "unauthorized copying", "unauthorized copying (?:of this file )?", 0.8),
-    ("proprietary", "without prior written permission", "(?:reproduced|distributed|copied)(?: [^ ]+){0,6}? without prior written permission", 0.8),
+    ("proprietary", "without prior written permission", "(?:reproduced|distributed|copied)(?: [^ ]{1,99}){0,6}? without prior written permission", 0.8),
     ("proprietary", "end user licen", "end user licen[sc]e agreement", 0.7),
-    ("proprietary", "may not be reproduced", "may not be reproduced(?: [^ ]+){0,8}? permission", 0.7),
+    ("proprietary", "may not be reproduced", "may not be reproduced(?: [^ ]{1,99}){0,8}? permission", 0.7),
     ("noncommercial", "commercial use", "(?:for|only) non commercial use(?: only)?", 0.6),
     ("noncommercial", "commercial use", "no commercial use", 0.6),
     ("no-warranty", "without warranty", "without warranty of any kind", 0.5),
@@ -166,10 +166,10 @@ def _commons() -> list[tuple[str, str, str, str]]:
         short = " ".join(("cc", *elements))
         for version in (*_VERSIONS, ""):
             spaced = version.replace(".", " ")
-            name = f"creative commons {long}(?: licen[sc]e| international| unported| generic)*"
+            name = f"creative commons {long}(?: licen[sc]e| international| unported| generic){{0,4}}"
             label = "-".join(("cc", *elements, *([version] if version else [])))
             if version:
-                name += f" {V}{spaced}(?: international| unported| generic| licen[sc]e)*"
+                name += f" {V}{spaced}(?: international| unported| generic| licen[sc]e){{0,4}}"
             found.append((label, "creative commons attribution", name, f"{short} {spaced}" if version else ""))
             found.append((label, short, f"{short} {spaced}" if version else short, ""))
     return found

@@ -4,8 +4,8 @@ A text is reduced to lower-case words joined by one blank. A keyword prefilter
 picks the rules that can match at all; each of them finds all its places with one
 regular expression. Places are intervals of the reduced text: an interval inside
 another one is suppressed, the better priority standing among equal ones, and of
-two that overlap in part the one with the worse priority goes. Both take sorted
-windows with one look back or ahead, never pairs of detections.
+any two that overlap in part the one with the worse priority goes. Both take sorted
+windows: all that ends before, and what starts no farther than the longest match.
 
 The counts of the base phrases come from the text alone. Only documents that
 hold a keyword go on to the rules, and only their detections, without any text,
@@ -28,6 +28,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Phrases, as words, and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 BASE_CONFIDENCE = 0.6
+# Characters that no match is longer than; all repeats in the rules are bounded.
+SPAN = 1 << 12
 # No reduced text holds it.
 MARK = "\u0001"
 
@@ -119,11 +121,14 @@ def _standing(found: DataFrame) -> DataFrame:
     earlier = place.rowsBetween(Window.unboundedPreceding, -1)
     inside = F.coalesce(F.max("after").over(earlier) >= F.col("after"), F.lit(False))
     outer = found.withColumn("inside", inside).filter(~F.col("inside"))
-    # What is left starts and ends in the same order, so only neighbours can overlap it most.
-    before = (F.lag("after").over(place) > F.col("first")) & (F.lag("priority").over(place) < F.col("priority"))
-    behind = (F.lead("first").over(place) < F.col("after")) & (F.lead("priority").over(place) < F.col("priority"))
-    beaten = F.coalesce(before, F.lit(False)) | F.coalesce(behind, F.lit(False))
-    return outer.withColumn("beaten", beaten).filter(~F.col("beaten"))
+    # What is left starts at different places, so no more than SPAN can overlap one from either side.
+    near = Window.partitionBy("order", "copy").orderBy("first").rangeBetween(-SPAN, SPAN)
+    around = outer.withColumn("around", F.collect_list(F.struct("first", "after", "priority")).over(near))
+    beaten = F.exists(
+        "around",
+        lambda x: (x["first"] < F.col("after")) & (x["after"] > F.col("first")) & (x["priority"] < F.col("priority")),
+    )
+    return around.filter(~beaten).drop("around")
 
 
 def scan(docs: DataFrame, signatures: Sequence[Rule] | None = None) -> DataFrame:
