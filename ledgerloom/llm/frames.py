@@ -50,19 +50,23 @@ def row_and(rows: DataFrame, more: str) -> T.StructType:
     return T.StructType([rows.schema["row"], *T.StructType.fromDDL(more).fields])
 
 
-def identified(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame) -> bool:
+    """Whether any ``doc_id`` stands in more than one row."""
+    return not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+
+
+def identified(docs: DataFrame, repeat: bool | None = None) -> DataFrame:
     """``row``, ``order`` (``doc_id``, null last) and ``copy``, which tells rows with one ``doc_id`` apart by text.
 
     ``copy`` is 0 where no ``doc_id`` repeats, which the first job here finds out
-    from the ids alone.
+    from the ids alone, unless the caller knows.
     """
-    repeats = docs.groupBy("doc_id").count().filter("count > 1")
-    copy = F.lit(0).cast("long") if repeats.isEmpty() else F.coalesce(F.xxhash64("row.text"), F.lit(0))
+    repeat = repeats(docs) if repeat is None else repeat
+    copy = F.coalesce(F.xxhash64("row.text"), F.lit(0)) if repeat else F.lit(0).cast("long")
     rows = as_row(docs)
     return rows.select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(LAST)).alias("order"), copy.alias("copy"))
 
 
-
 def join_totals(rows: DataFrame, totals: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Join ``rows`` with ``totals``, an aggregate by the long ``key``, such that a hot key can be split.
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.frames import identified, join_totals, ready, row_and
+from ledgerloom.llm.frames import identified, join_totals, ready, repeats, row_and
 from ledgerloom.llm.words import SPACED, Windows, covered, groups, mix, signed, sliding, spans, texts_of, word_hashes
 from ledgerloom.session import stage
 
@@ -206,13 +206,20 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, one_space: bool = Fal
     """
     part, half, _ = _levels(window)
     ready(docs.sparkSession)
-    rows = identified(docs)
+    repeat = repeats(docs)
+    rows = identified(docs, repeat)
     narrow = rows.select("order", "copy", F.col("row.text").alias("text"))
+    if repeat:  # equal rows are one until their words are cut
+        narrow = stage(narrow.groupBy("order", "copy").agg(F.min("text").alias("text")), "texts")
 
     def only_repeated(found: DataFrame) -> DataFrame:
         ends = found.groupBy("hash").agg(F.min("order").alias("first"), F.max("order").alias("last"))
         return join_totals(found, ends.filter("first < last").select("hash"), "hash", "left_semi")
 
+    def finished(gone: DataFrame) -> DataFrame:
+        more = "kept string, n_words long, n_removed long"
+        return rows.join(gone, ["order", "copy"], "left").mapInArrow(_kept(window, one_space), row_and(rows, more))
+
     def places(found: DataFrame) -> DataFrame:
         lists = F.collect_list(F.concat(F.array("place"), F.coalesce("more", F.array().cast("array<int>"))))
         return found.groupBy("order", "copy").agg(F.flatten(lists).alias("places"))
@@ -222,11 +229,14 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, one_space: bool = Fal
     copies = join_totals(texts.withColumnRenamed("digest", "own"), originals, "hash")
     copies = copies.filter((F.col("own") == F.col("digest")) & (F.col("order") > F.col("first")))
     copies = stage(copies.select("order", "copy").distinct(), "copies")
+    whole = copies.select("order", "copy", F.lit(None).cast("array<int>").alias("places"), F.lit(True).alias("whole"))
 
     schema = "hash long, order long, copy long, place int, more array<int>"
     parts = narrow.mapInArrow(_parts(window), f"{schema}, right long, left long")
     hits = only_repeated(parts).drop("hash").join(copies, ["order", "copy"], "left_anti")
     hits = stage(hits, "parts")
+    if hits.isEmpty():  # no candidate survives the first level
+        return finished(whole)
 
     ahead = half - part
     before = F.transform("more", lambda x: x - ahead)
@@ -237,14 +247,10 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, one_space: bool = Fal
     halves = hits.select("order", "copy", F.explode(sides).alias("side")).select("order", "copy", "side.*")
     around = places(only_repeated(halves.filter("hash is not null")))
 
-    passages = rows.join(around, ["order", "copy"]).mapInArrow(_passages(window), schema)
+    # Where no row repeats, this and the last join share one shuffle of the rows.
+    texts = narrow.select("order", "copy", F.struct("text").alias("row")) if repeat else rows
+    passages = texts.join(around, ["order", "copy"]).mapInArrow(_passages(window), schema)
     ends = passages.groupBy("hash").agg(F.min("order").alias("first"), F.max("order").alias("last"))
     gone = join_totals(passages, ends.filter("first < last").select("hash", "first"), "hash")
-    gone = places(gone.filter(F.col("order") > F.col("first")))
-    gone = gone.withColumn("whole", F.lit(False)).unionByName(
-        copies.select("order", "copy", F.lit(None).cast("array<int>").alias("places"), F.lit(True).alias("whole"))
-    )
-
-    return rows.join(gone, ["order", "copy"], "left").mapInArrow(
-        _kept(window, one_space), row_and(rows, "kept string, n_words long, n_removed long")
-    )
+    gone = places(gone.filter(F.col("order") > F.col("first"))).withColumn("whole", F.lit(False))
+    return finished(gone.unionByName(whole))

@@ -60,3 +60,18 @@ def test_layout_is_kept_and_columns_pass(documents, prose):
 
 def test_empty_table(documents):
     assert remove_repeated(documents([])).collect() == []
+
+
+def test_many_equal_rows_and_a_long_text(documents, prose):
+    passage, long = prose(1, 60), prose(3, 200_000)
+    rows = [(1, passage)] + [(2, f"{passage} {prose(2, 30)}")] * 10_000 + [(3, long), (4, f"x {long} y")]
+    result = {}
+    for r in found(remove_repeated(documents(rows))):
+        result.setdefault(r[:3], 0)
+        result[r[:3]] += 1
+    assert result == {(1, 60, 0): 1, (2, 90, 60): 10_000, (3, 200_000, 0): 1, (4, 200_002, 200_000): 1}
+
+
+def test_no_candidate_survives(documents, prose):
+    rows = [(k, prose(10 + k, 80)) for k in range(5)] + [(9, prose(10, 80))]
+    assert [r[2] for r in found(remove_repeated(documents(rows)))] == [0, 0, 0, 0, 0, 80]
