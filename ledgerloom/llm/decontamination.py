@@ -6,14 +6,18 @@ wavelet-tree ranks, locates the hits by sampled suffix positions, and merges
 them to spans of words per document. No document is shuffled. Words that no
 benchmark item has can't be in a hit; in the index a run of them is a separator.
 
-The benchmark is a stated query set. It goes to the tasks in blocks of bounded
-size, read one after the other, each with its own alphabet.
+The benchmark is a stated query set. It is read in blocks of bounded size, each with
+its own alphabet. One block is searched in the pass that cuts the texts; of several
+each takes a pass of its own, so neither the driver nor a task ever holds two, and
+what they find, without texts, is merged.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.fm_index import FMIndex
-from ledgerloom.llm.frames import as_row, ready, row_and
+from ledgerloom.llm.frames import as_row, identified, ready, row_and
 from ledgerloom.llm.words import ALNUM, ALNUM_BLANKS, covered, groups, spans, texts_of, word_hashes
+from ledgerloom.session import stage
 
 WINDOW = 10
 # Words of benchmark text in one block; a block takes about 100 bytes a word.
@@ -118,52 +123,94 @@ def _cut(data: bytes, hit: np.ndarray) -> bytes:
     return b"".join(kept)
 
 
-def _task(blocks: list, window: int):
+def _found(texts: list[bytes], blocks: list, window: int) -> tuple[np.ndarray, list[np.ndarray], list[set[int]]]:
+    """The number of words of each text, flags of the hit ones (no flags if none is), and the items found in it."""
+    hit = [np.zeros(0, bool)] * len(texts)
+    items: list[set[int]] = [set() for _ in texts]
+    counts = np.zeros(len(texts), np.int64)
+    for i, j in groups(texts):
+        hashes, counts[i:j] = word_hashes([t.translate(ALNUM_BLANKS) for t in texts[i:j]], ALNUM)
+        for shared in blocks:
+            block: Block = shared.value
+            for text, place, which in _hits(hashes, counts[i:j], block, window):
+                if not len(text):
+                    continue
+                order = np.argsort(text, kind="stable")
+                text, place, which = text[order], place[order], which[order]
+                cuts = np.flatnonzero(np.diff(text, prepend=-1))
+                for a, b in zip(cuts, np.append(cuts[1:], len(text)), strict=True):
+                    k = i + int(text[a])
+                    flags = np.zeros(counts[k], bool)
+                    for size in np.unique(block.lengths[which[a:b]]):
+                        same = block.lengths[which[a:b]] == size
+                        flags |= covered(place[a:b][same], int(size), int(counts[k]))
+                    hit[k] = hit[k] | flags if len(hit[k]) else flags
+                    for w in np.unique(which[a:b]):
+                        items[k].update(block.items[block.first[w] : block.first[w + 1]].tolist())
+    return counts, hit, items
+
+
+def _edges(hit: np.ndarray) -> list[tuple[int, int]]:
+    edges = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=np.int8(0), append=np.int8(0)))
+    return [(int(a), int(b)) for a, b in edges.reshape(-1, 2)]
+
+
+_SPANS = pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))
+_FOUND = "spans array<struct<first: long, after: long>>, items array<long>"
+
+
+def _spans(hits: list[np.ndarray]) -> pa.Array:
+    return pa.array([[{"first": a, "after": b} for a, b in _edges(hit)] for hit in hits], _SPANS)
+
+
+def _results(row: pa.Array, texts: list[bytes], counts: np.ndarray, hit: list[np.ndarray], items: list[set[int]]) -> pa.RecordBatch:
+    clean = [_cut(data, flags) if flags.any() else data for data, flags in zip(texts, hit, strict=True)]
+    listed = pa.array([sorted(s - {NO_ITEM}, key=str) for s in items], pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays(
+        [row, pa.array(counts), _spans(hit), listed, pa.array(clean, pa.binary()).cast(pa.string())],
+        ["row", "n_words", "spans", "items", "clean"],
+    )
+
+
+def _in_one_pass(blocks: list, window: int):
+    """Task function for a benchmark of one block at most."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch.column("row").field("text"))
-            n = len(texts)
-            hit = [np.zeros(0, bool)] * n
-            items: list[set[int]] = [set() for _ in range(n)]
-            counts = np.zeros(n, np.int64)
-            for i, j in groups(texts):
-                hashes, counts[i:j] = word_hashes([t.translate(ALNUM_BLANKS) for t in texts[i:j]], ALNUM)
-                for shared in blocks:
-                    block: Block = shared.value
-                    for text, place, which in _hits(hashes, counts[i:j], block, window):
-                        if not len(text):
-                            continue
-                        order = np.argsort(text, kind="stable")
-                        text, place, which = text[order], place[order], which[order]
-                        cuts = np.flatnonzero(np.diff(text, prepend=-1))
-                        for a, b in zip(cuts, np.append(cuts[1:], len(text)), strict=True):
-                            k = i + int(text[a])
-                            flags = np.zeros(counts[k], bool)
-                            for size in np.unique(block.lengths[which[a:b]]):
-                                same = block.lengths[which[a:b]] == size
-                                flags |= covered(place[a:b][same], int(size), int(counts[k]))
-                            hit[k] = hit[k] | flags if len(hit[k]) else flags
-                            for w in np.unique(which[a:b]):
-                                items[k].update(block.items[block.first[w] : block.first[w + 1]].tolist())
-            removed, clean = [], []
-            for k, data in enumerate(texts):
-                edges = np.flatnonzero(np.diff(hit[k].astype(np.int8), prepend=np.int8(0), append=np.int8(0)))
-                removed.append([{"first": int(a), "after": int(b)} for a, b in edges.reshape(-1, 2)])
-                clean.append(_cut(data, hit[k]) if len(edges) else data)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("row"),
-                    pa.array(counts),
-                    pa.array(removed, pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))),
-                    pa.array([sorted(s - {NO_ITEM}, key=str) for s in items], pa.list_(pa.int64())),
-                    pa.array(clean, pa.binary()).cast(pa.string()),
-                ],
-                ["row", "n_words", "spans", "items", "clean"],
-            )
+            yield _results(batch.column("row"), texts, *_found(texts, blocks, window))
 
     return run
 
 
+def _of_block(shared, window: int):
+    """Task function: what one block of several finds, for the rows where it finds anything."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, hit, items = _found(texts_of(batch.column("row").field("text")), [shared], window)
+            arrays = [batch.column("order"), batch.column("copy"), _spans(hit), pa.array([sorted(s) for s in items], pa.list_(pa.int64()))]
+            found = pa.RecordBatch.from_arrays(arrays, ["order", "copy", "spans", "items"])
+            yield found.filter(pa.array([len(s) > 0 for s in items], pa.bool_()))
+
+    return run
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task function: rows with what all blocks have found in them."""
+    for batch in batches:
+        texts = texts_of(batch.column("row").field("text"))
+        _, counts = word_hashes([t.translate(ALNUM_BLANKS) for t in texts], ALNUM)
+        hit, items = [], []
+        for n, spans_, items_ in zip(counts.tolist(), *(batch.column(c).to_pylist() for c in ("spans", "items")), strict=True):
+            flags = np.zeros(n if spans_ else 0, bool)
+            for x in (x for some in spans_ or () for x in some):
+                flags[x["first"] : x["after"]] = True
+            hit.append(flags)
+            items.append({x for some in items_ or () for x in some})
+        yield _results(batch.column("row"), texts, counts, hit, items)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Spans of benchmark windows in each row of ``docs``.
 
@@ -181,7 +228,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
     """
     spark = docs.sparkSession
     ready(spark)
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, window)]
-    rows = as_row(docs)
-    more = "n_words long, spans array<struct<first: long, after: long>>, items array<long>, clean string"
-    return rows.mapInArrow(_task(blocks, window), row_and(rows, more))
+    blocks = _blocks(benchmark, window)
+    some = list(itertools.islice(blocks, 2))
+    more = f"n_words long, {_FOUND}, clean string"
+    if len(some) < 2:
+        rows = as_row(docs)
+        return rows.mapInArrow(_in_one_pass([spark.sparkContext.broadcast(b) for b in some], window), row_and(rows, more))
+    rows, hits = identified(docs), []
+    for block in itertools.chain(some, blocks):
+        shared = spark.sparkContext.broadcast(block)
+        hits.append(stage(rows.mapInArrow(_of_block(shared, window), f"order long, copy long, {_FOUND}"), "hits"))
+        shared.destroy()
+    # Equal rows have equal hits, and a set holds those once.
+    found = reduce(DataFrame.unionByName, hits).groupBy("order", "copy")
+    found = found.agg(F.collect_set("spans").alias("spans"), F.collect_set("items").alias("items"))
+    return rows.join(found, ["order", "copy"], "left").mapInArrow(_merged, row_and(rows, more))

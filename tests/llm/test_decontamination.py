@@ -99,6 +99,24 @@ def test_texts_without_the_spans(spark, documents, prose):
     assert {r["row"]["doc_id"]: r["clean"] for r in rows} == {1: "Before, . After!", 2: "clean text"}
 
 
+def test_blocks_are_held_one_at_a_time(spark, documents, prose, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 10)
+    items = [(k, prose(k, 12)) for k in range(3)]
+    held = []
+    send = type(spark.sparkContext).broadcast
+
+    def watched(context, value):
+        shared = send(context, value)
+        assert not [h for h in held if h._path is None or h._jbroadcast.isValid()]
+        held.append(shared)
+        return shared
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", watched)
+    docs = [(1, f"{items[0][1]} {prose(9, 20)} {items[2][1]}"), (2, prose(10, 40))] + [(3, items[1][1])] * 50
+    table = spark.createDataFrame(items, "item_id long, text string")
+    assert found(find_leaks(documents(docs), table)) == by_hand(docs, items, 10) and len(held) == 3
+
+
 def test_empty_tables(spark, documents):
     none = spark.createDataFrame([], "item_id long, text string")
     assert find_leaks(documents([]), none).collect() == []
