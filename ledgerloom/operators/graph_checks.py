@@ -65,6 +65,11 @@ def _ends(edges: DataFrame) -> DataFrame:
     )
 
 
+def absent_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Distinct ids that edges start from or lead to, but no node has, staged; find them once per graph."""
+    return absent_ids(nodes, _ends(edges))
+
+
 def dangling_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(edge_type, end, edges, dangling)``: how many edge ends lead to no node, zeros included."""
     absent = absent_ids(nodes, _ends(edges)).withColumn("missing", F.lit(True))

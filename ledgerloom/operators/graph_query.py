@@ -3,26 +3,35 @@
 Every operator answers a whole table of seeds at once. An edge meets its two
 ends by exploding it, so each hop is one equi-join instead of an OR condition.
 Results that may be large per seed are rows, never collected lists.
+
+Where every node is asked for, what matters is which ends of edges have no node.
+These ids are few and the same for every query, so a caller who keeps them passes
+them as ``absent(node_id)`` (``graph_checks.absent_ends``, or what a stored graph has);
+otherwise they are looked up.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.graph_build import EDGE_COLUMNS, EDGE_ENDS, NODE_COLUMNS
-from ledgerloom.operators.graph_checks import absent_ids
+from ledgerloom.operators.graph_checks import absent_ends
 from ledgerloom.session import stage
+from ledgerloom.sources.graph_store import StoredGraph, few_ids
 
 SAMPLE_SIZE = 5
 PAGE_SIZE = 500
 MAX_PAGE_SIZE = 1000
+# Numbers of paths grow as products of degrees.
+_WAYS = "decimal(38,0)"
 
 
 def lookup(nodes: DataFrame, ids: DataFrame) -> DataFrame:
-    """Nodes whose id is in ``ids(node_id)``."""
+    """Nodes whose id is in ``ids(node_id)``; see :func:`stored_lookup` for a stored graph."""
     return nodes.join(ids.select("node_id"), "node_id", "left_semi").select(*NODE_COLUMNS)
 
 
@@ -35,17 +44,19 @@ def _chosen(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     return stage(nodes.select("node_id").join(ids.select("node_id"), "node_id", "left_semi"), "chosen")
 
 
-def _at_nodes(rows: DataFrame, nodes: DataFrame, ids: DataFrame | None) -> DataFrame:
-    """``rows`` whose ``node_id`` is one of the chosen nodes, or any node.
-
-    For any node, the ids to leave out are the smaller side: see ``absent_ids``.
-    """
+def _at_nodes(
+    rows: DataFrame, nodes: DataFrame, edges: DataFrame, ids: DataFrame | None, absent: DataFrame | None
+) -> DataFrame:
+    """``rows`` whose ``node_id`` is one of the chosen nodes, or any node."""
     if ids is not None:
         return rows.join(_chosen(nodes, ids), "node_id", "left_semi")
-    return rows.filter(F.col("node_id").isNotNull()).join(absent_ids(nodes, rows), "node_id", "left_anti")
+    absent = absent_ends(nodes, edges) if absent is None else absent
+    return rows.filter(F.col("node_id").isNotNull()).join(absent.select("node_id"), "node_id", "left_anti")
 
 
-def incident_edges(nodes: DataFrame, edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+def incident_edges(
+    nodes: DataFrame, edges: DataFrame, ids: DataFrame | None = None, absent: DataFrame | None = None
+) -> DataFrame:
     """Edges of each node, as ``outgoing`` from and ``incoming`` to it.
 
     A self-loop shows up in both directions. ``ids`` limits the nodes; without
@@ -68,12 +79,19 @@ def incident_edges(nodes: DataFrame, edges: DataFrame, ids: DataFrame | None = N
             )
         ),
     )
-    return _at_nodes(directed, nodes, ids).select("node_id", "direction", "neighbor_id", *EDGE_COLUMNS)
+    found = _at_nodes(directed, nodes, edges, ids, absent)
+    return found.select("node_id", "direction", "neighbor_id", *EDGE_COLUMNS)
 
 
-def neighbors(nodes: DataFrame, edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+def neighbors(
+    nodes: DataFrame, edges: DataFrame, ids: DataFrame | None = None, absent: DataFrame | None = None
+) -> DataFrame:
     """Distinct neighbours of each node that have a node row themselves."""
-    pairs = incident_edges(nodes, edges.select(*EDGE_COLUMNS), ids).select("node_id", "neighbor_id").distinct()
+    return _with_nodes(nodes, incident_edges(nodes, edges, ids, absent))
+
+
+def _with_nodes(nodes: DataFrame, incident: DataFrame) -> DataFrame:
+    pairs = incident.select("node_id", "neighbor_id").distinct()
     others = nodes.select(
         F.col("node_id").alias("neighbor_id"),
         F.col("node_type").alias("neighbor_type"),
@@ -85,19 +103,30 @@ def neighbors(nodes: DataFrame, edges: DataFrame, ids: DataFrame | None = None)
     )
 
 
-def related_counts(nodes: DataFrame, edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+def related_counts(
+    nodes: DataFrame, edges: DataFrame, ids: DataFrame | None = None, absent: DataFrame | None = None
+) -> DataFrame:
     """Number of distinct neighbours per node and neighbour type.
 
     The type of a neighbour follows from the edge type and the direction, so the
-    pairs needn't meet the nodes; those without a node row are taken out instead.
+    pairs needn't meet the nodes: edges with an end that has no node go first, and what
+    is left has nodes on both sides.
     """
-    ends = F.create_map(*[F.lit(x) for name, (source, target) in EDGE_ENDS.items() for x in (name, (source + "|" + target))])
-    side = F.when(F.col("direction") == "outgoing", 1).otherwise(0)
-    related = F.split(ends[F.col("edge_type")], "[|]")[side].alias("related_type")
-    pairs = incident_edges(nodes, edges.select(*EDGE_COLUMNS), ids).select("node_id", "neighbor_id", related).distinct()
-    absent = absent_ids(nodes, pairs.select(F.col("neighbor_id").alias("node_id")))
-    known = pairs.join(absent.select(F.col("node_id").alias("neighbor_id")), "neighbor_id", "left_anti")
-    return known.groupBy("node_id", "related_type").agg(F.count("*").alias("related"))
+    absent = absent_ends(nodes, edges) if absent is None else absent
+    known = edges.filter("source_id is not null and target_id is not null")
+    for end in ("source_id", "target_id"):
+        known = known.join(absent.select(F.col("node_id").alias(end)), end, "left_anti")
+    sides = [F.create_map(*[F.lit(x) for name, ends in EDGE_ENDS.items() for x in (name, ends[k])]) for k in (0, 1)]
+
+    def side(own: str, other: str, types: Column) -> Column:
+        related = types[F.col("edge_type")].alias("related_type")
+        return F.struct(F.col(own).alias("node_id"), F.col(other).alias("neighbor_id"), related)
+
+    both = F.array(side("source_id", "target_id", sides[1]), side("target_id", "source_id", sides[0]))
+    pairs = known.select(F.inline(both))
+    if ids is not None:
+        pairs = pairs.join(_chosen(nodes, ids), "node_id", "left_semi")
+    return pairs.distinct().groupBy("node_id", "related_type").agg(F.count("*").alias("related"))
 
 
 def _adjacency(edges: DataFrame, *columns: str) -> DataFrame:
@@ -109,7 +138,9 @@ def _other_end() -> Column:
     return F.when(F.col("source_id") == F.col("node_id"), F.col("target_id")).otherwise(F.col("source_id"))
 
 
-def _reached(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None, depth: int) -> DataFrame:
+def _reached(
+    nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None, depth: int, absent: DataFrame | None = None
+) -> DataFrame:
     """``(seed_id, node_id)`` of all ids within ``depth`` hops, the seed included.
 
     Ids without a node row are reached and passed through like any other. From
@@ -118,7 +149,7 @@ def _reached(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None, depth:
     true size decides how the next join runs.
     """
     if seeds is None:
-        step = _at_nodes(_adjacency(edges), nodes, None)
+        step = _at_nodes(_adjacency(edges), nodes, edges, None, absent)
         own = nodes.select(F.col("node_id").alias("seed_id"), "node_id")
         return own.unionByName(step.select(F.col("node_id").alias("seed_id"), _other_end().alias("node_id"))).distinct()
     start = _chosen(nodes, seeds.select(F.col("seed_id").alias("node_id")))
@@ -130,7 +161,9 @@ def _reached(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None, depth:
     return reached
 
 
-def subgraph_nodes(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None, depth: int = 2) -> DataFrame:
+def subgraph_nodes(
+    nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None, depth: int = 2, absent: DataFrame | None = None
+) -> DataFrame:
     """Nodes within ``depth`` undirected hops (1 or more) of each ``seeds(seed_id)``.
 
     A seed that is no node has an empty subgraph. Without ``seeds`` every node
@@ -138,18 +171,21 @@ def subgraph_nodes(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None,
     each other.
     """
     _check_depth(depth, seeds)
-    reached = _reached(nodes, edges, seeds, depth)
+    reached = _reached(nodes, edges, seeds, depth, absent)
     return reached.join(nodes, "node_id").select("seed_id", *NODE_COLUMNS)
 
 
-def subgraph_edges(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None, depth: int = 2) -> DataFrame:
+def subgraph_edges(
+    nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None, depth: int = 2, absent: DataFrame | None = None
+) -> DataFrame:
     """Edges with at least one end closer than ``depth`` hops to the seed."""
     _check_depth(depth, seeds)
     ends = _adjacency(edges, "edge_id", "edge_type", "metadata_json")
     if depth == 1:
         # Each edge is at each of its ends once, so nothing repeats.
         ids = None if seeds is None else seeds.select(F.col("seed_id").alias("node_id"))
-        return _at_nodes(ends, nodes, ids).select(F.col("node_id").alias("seed_id"), *EDGE_COLUMNS)
+        found = _at_nodes(ends, nodes, edges, ids, absent)
+        return found.select(F.col("node_id").alias("seed_id"), *EDGE_COLUMNS)
     touching = _reached(nodes, edges, seeds, depth - 1).join(ends, "node_id")
     return touching.select("seed_id", *EDGE_COLUMNS).distinct()
 
@@ -215,10 +251,14 @@ def highlight(rows: DataFrame, id_column: str, referenced: DataFrame) -> DataFra
     )
 
 
-def _page(rows: DataFrame, key: str, limit: int, after_id: str | None) -> DataFrame:
-    """The first ``limit`` rows behind ``after_id``: however deep a page is, a task keeps ``limit`` rows."""
+def _check_limit(limit: int) -> None:
     if not 1 <= limit <= MAX_PAGE_SIZE:
         raise ValueError(f"limit must be between 1 and {MAX_PAGE_SIZE}")
+
+
+def _page(rows: DataFrame, key: str, limit: int, after_id: str | None) -> DataFrame:
+    """The first ``limit`` rows behind ``after_id``: however deep a page is, a task keeps ``limit`` rows."""
+    _check_limit(limit)
     total = rows.agg(F.count("*").alias("total"))
     left = rows if after_id is None else rows.filter(F.col(key) > after_id)
     return left.orderBy(key).limit(limit).withColumn("total", total.scalar())
@@ -235,6 +275,62 @@ def node_page(
     return _page(rows.select(*NODE_COLUMNS), "node_id", limit, after_id)
 
 
+def stored_lookup(stored: StoredGraph, ids: DataFrame) -> DataFrame:
+    """:func:`lookup` in a stored graph; a few ids read only the files that can hold them."""
+    few = few_ids(ids, "node_id")
+    return lookup(stored.nodes, ids) if few is None else stored.having("nodes", "node_id", few)
+
+
+def stored_incident_edges(stored: StoredGraph, ids: DataFrame) -> DataFrame:
+    """:func:`incident_edges` of chosen nodes in a stored graph; a few ids read only the files that can hold them."""
+    few = few_ids(ids, "node_id")
+    if few is None:
+        return incident_edges(*stored, ids)
+    ends = [stored.having("edges", end, few) for end in ("source_id", "target_id")]
+    found = ends[0].unionByName(ends[1].filter(~F.coalesce(F.col("source_id").isin(few), F.lit(False))))
+    return incident_edges(stored.having("nodes", "node_id", few), found, ids)
+
+
+def stored_neighbors(stored: StoredGraph, ids: DataFrame) -> DataFrame:
+    """:func:`neighbors` of chosen nodes in a stored graph."""
+    return _with_nodes(stored.nodes, stored_incident_edges(stored, ids))
+
+
+def stored_node_page(
+    stored: StoredGraph, node_type: str | None = None, limit: int = PAGE_SIZE, after_id: str | None = None
+) -> DataFrame:
+    """:func:`node_page` of a stored graph: reads the files the page lies in, the total is stored."""
+    _check_limit(limit)
+    rows, total = stored.page("nodes", limit, after_id, None if node_type is None else [node_type])
+    return rows.withColumn("total", F.lit(total).cast("bigint"))
+
+
+def stored_edge_page(
+    stored: StoredGraph, limit: int = PAGE_SIZE, after_id: str | None = None, source_id: str | None = None, **types: str | None
+) -> DataFrame:
+    """:func:`edge_page` of a stored graph; with a ``source_id`` it reads the files with edges of that node."""
+    _check_limit(limit)
+    wanted = _edge_types(**types)
+    if source_id is not None:
+        rows = stored.having("edges", "source_id", [source_id]).filter(F.col("edge_type").isin(wanted))
+        return _page(rows, "edge_id", limit, after_id)
+    rows, total = stored.page("edges", limit, after_id, wanted)
+    return rows.withColumn("total", F.lit(total).cast("bigint"))
+
+
+def _edge_types(
+    source_type: str | None = None, target_type: str | None = None, edge_type: str | None = None
+) -> list[str]:
+    """Edge types that fit; the types of the ends follow from the edge type."""
+    if edge_type is not None and edge_type not in EDGE_ENDS:
+        raise ValueError(f"edge_type must be one of {', '.join(EDGE_ENDS)}")
+    return [
+        name
+        for name, (source, target) in EDGE_ENDS.items()
+        if edge_type in (None, name) and source_type in (None, source) and target_type in (None, target)
+    ]
+
+
 def filter_edges(
     edges: DataFrame,
     source_type: str | None = None,
@@ -243,14 +339,7 @@ def filter_edges(
     edge_type: str | None = None,
 ) -> DataFrame:
     """Edges by type and ends. End types follow from the edge type, so this prunes folders."""
-    if edge_type is not None and edge_type not in EDGE_ENDS:
-        raise ValueError(f"edge_type must be one of {', '.join(EDGE_ENDS)}")
-    types = [
-        name
-        for name, (source, target) in EDGE_ENDS.items()
-        if edge_type in (None, name) and source_type in (None, source) and target_type in (None, target)
-    ]
-    rows = edges.filter(F.col("edge_type").isin(types))
+    rows = edges.filter(F.col("edge_type").isin(_edge_types(source_type, target_type, edge_type)))
     return rows if source_id is None else rows.filter(F.col("source_id") == source_id)
 
 
@@ -261,29 +350,82 @@ def edge_page(
     return _page(filter_edges(edges, **filters).select(*EDGE_COLUMNS), "edge_id", limit, after_id)
 
 
-def typed_path(nodes: DataFrame, edges: DataFrame, edge_types: Sequence[str]) -> DataFrame:
-    """All paths that follow ``edge_types`` in order, as columns ``node_0`` to ``node_n``.
-
-    Each step goes along the edge or against it, whichever continues the path.
-    The first node must exist.
-    """
+def _hops(edges: DataFrame, edge_types: Sequence[str]) -> list[DataFrame]:
+    """For each step its edges as ``node_k`` and ``node_k+1``, along the edge or against it, whichever continues the path."""
     if not edge_types:
         raise ValueError("no edge types")
-    start = _start_type(edge_types)
-    paths = nodes.filter(F.col("node_type") == start).select(F.col("node_id").alias("node_0"))
-    at = start
+    hops, at = [], _start_type(edge_types)
     for step, edge_type in enumerate(edge_types):
         source, target = EDGE_ENDS[edge_type]
         if at not in (source, target):
             raise ValueError(f"{edge_type} does not start at {at}")
-        forward = at == source
-        near, far = ("source_id", "target_id") if forward else ("target_id", "source_id")
-        hop = edges.filter(F.col("edge_type") == edge_type).select(
-            F.col(near).alias(f"node_{step}"), F.col(far).alias(f"node_{step + 1}")
-        )
+        near, far = ("source_id", "target_id") if at == source else ("target_id", "source_id")
+        rows = edges.filter(F.col("edge_type") == edge_type)
+        hops.append(rows.select(F.col(near).alias(f"node_{step}"), F.col(far).alias(f"node_{step + 1}")))
+        at = target if at == source else source
+    return hops
+
+
+def _onwards(hops: list[DataFrame]) -> list[DataFrame]:
+    """For each step its node and ``onwards``, the number of ways from there to the end of the path, staged.
+
+    Summed from the end backwards, so a node with any number of paths is one row at
+    every step; a dead end has none.
+    """
+    found: list[DataFrame] = []
+    for hop in reversed(hops):
+        near, far = hop.columns
+        hop = hop.join(found[0], far) if found else hop.withColumn("onwards", F.lit(1))
+        ways = hop.groupBy(near).agg(F.sum(F.col("onwards").cast(_WAYS)).cast(_WAYS).alias("onwards"))
+        found.insert(0, stage(ways, "onwards"))
+    return found
+
+
+def typed_path(nodes: DataFrame, edges: DataFrame, edge_types: Sequence[str]) -> DataFrame:
+    """All paths that follow ``edge_types`` in order, as columns ``node_0`` to ``node_n``.
+
+    Each step goes along the edge or against it, whichever continues the path. The
+    first node must exist. Edges that lead to where a path can't be finished are left
+    out before any path is written, so no row made on the way is lost later on.
+    """
+    hops = _hops(edges, edge_types)
+    paths = _path_starts(nodes, edge_types)
+    alive = _onwards(hops[1:])
+    for step, hop in enumerate(hops):
+        if step < len(alive):
+            # What ends in nothing is known by its far end, of which there are fewer than edges.
+            hop = hop.join(alive[step].select(hop.columns[1]), hop.columns[1], "left_semi")
         paths = paths.join(hop, f"node_{step}")
-        at = target if forward else source
-    return paths.select(*[f"node_{i}" for i in range(len(edge_types) + 1)])
+    return paths.select(*[f"node_{i}" for i in range(len(hops) + 1)])
+
+
+def path_counts(nodes: DataFrame, edges: DataFrame, edge_types: Sequence[str]) -> DataFrame:
+    """How many of the paths of :func:`typed_path` visit each node, as ``step``, ``node_id`` and ``paths``; none is listed.
+
+    Ways from the start are summed forwards and ways to the end backwards, and their
+    product counts the paths through a node. The counts of each step add up to the
+    number of all paths.
+    """
+    hops = _hops(edges, edge_types)
+    onwards = _onwards(hops)
+    reached = _path_starts(nodes, edge_types).groupBy("node_0").agg(F.count("*").cast(_WAYS).alias("ways"))
+    found = []
+    for step in range(len(hops) + 1):
+        node = f"node_{step}"
+        last = step == len(hops)
+        reached = reached.withColumn("onwards", F.lit(1).cast(_WAYS)) if last else reached.join(onwards[step], node)
+        reached = stage(reached, "reached")
+        paths = (F.col("ways") * F.col("onwards")).cast(_WAYS).alias("paths")
+        found.append(reached.select(F.lit(step).alias("step"), F.col(node).alias("node_id"), paths))
+        if not last:
+            ways = hops[step].join(reached.select(node, "ways"), node).groupBy(f"node_{step + 1}")
+            reached = ways.agg(F.sum("ways").cast(_WAYS).alias("ways"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _path_starts(nodes: DataFrame, edge_types: Sequence[str]) -> DataFrame:
+    start = nodes.filter(F.col("node_type") == _start_type(edge_types))
+    return start.select(F.col("node_id").alias("node_0"))
 
 
 def _start_type(edge_types: Sequence[str]) -> str:

@@ -851,11 +851,6 @@ def statements() -> dict[str, str]:
     # Graph queries
     graph["node_lookup"] = f"SELECT * FROM graph_nodes WHERE node_id IN ({CANCELLED_IDS})"
     graph["node_edges"] = "SELECT * FROM ends WHERE node_id IN (SELECT node_id FROM graph_nodes)"
-    graph["node_neighbors"] = f"""
-        SELECT p.node_id, p.neighbor_id, n.node_type AS neighbor_type, n.label AS neighbor_label,
-               n.metadata_json AS neighbor_metadata
-        FROM pairs p JOIN graph_nodes n ON n.node_id = p.neighbor_id
-        WHERE p.node_id IN (SELECT node_id FROM graph_nodes) AND p.node_id IN ({CANCELLED_IDS})"""
     graph["node_related_counts"] = """
         SELECT p.node_id, n.node_type AS related_type, count(*) AS related
         FROM pairs p JOIN graph_nodes n ON n.node_id = p.neighbor_id
@@ -919,20 +914,37 @@ def statements() -> dict[str, str]:
               AND edge_id > 'delivery_item_from_plant_8' ORDER BY edge_id LIMIT 500)"""
     graph["filtered_edges"] = """
         SELECT edge_id, source_id, target_id, edge_type FROM typed_edges WHERE source_type = 'BillingDocument'"""
-    def only(edge_type: str) -> str:
-        return f"(SELECT * FROM graph_edges WHERE edge_type = '{edge_type}')"
-
-    graph["path_customer_to_product"] = f"""
+    # Of the graph these need a few types only.
+    around = ("billing_item_in_document", "billing_document_posted_to_journal_entry", "billing_document_for_customer")
+    plain["node_neighbors"] = f"""
+        SELECT DISTINCT p.node_id, p.neighbor_id, n.node_type AS neighbor_type, n.label AS neighbor_label,
+               n.metadata_json AS neighbor_metadata
+        FROM (SELECT source_id AS node_id, target_id AS neighbor_id FROM ({_union([EDGES[e] for e in around])})
+              UNION ALL
+              SELECT target_id, source_id FROM ({_union([EDGES[e] for e in around])})) p
+        JOIN ({_union([NODES[n] for n in ("billing_item", "journal_entry", "customer")])}) n ON n.node_id = p.neighbor_id
+        WHERE p.node_id IN ({CANCELLED_IDS})
+          AND p.node_id IN (SELECT 'billingdocument_' || billingdocument FROM billing_document_headers)"""
+    to_product = f"""
         SELECT a.source_id AS node_0, a.target_id AS node_1, b.target_id AS node_2, c.target_id AS node_3
-        FROM {only("CUSTOMER_PLACED_ORDER")} a JOIN {only("ORDER_HAS_ITEM")} b ON a.target_id = b.source_id
-        JOIN {only("ITEM_FOR_PRODUCT")} c ON b.target_id = c.source_id
-        WHERE a.source_id IN (SELECT node_id FROM graph_nodes)"""
-    graph["path_payment_to_customer"] = f"""
+        FROM ({EDGES["customer_placed_order"]}) a JOIN ({EDGES["order_has_item"]}) b ON a.target_id = b.source_id
+        JOIN ({EDGES["item_for_product"]}) c ON b.target_id = c.source_id
+        WHERE a.source_id IN (SELECT 'customer_' || businesspartner FROM business_partners)"""
+    plain["path_customer_to_product"] = to_product
+    plain["path_counts_customer_to_product"] = f"""
+        SELECT CAST(step AS INT) AS step, node_id, count(*) AS paths
+        FROM (SELECT unnest([0, 1, 2, 3]) AS step, unnest([node_0, node_1, node_2, node_3]) AS node_id FROM ({to_product}))
+        GROUP BY step, node_id"""
+    plain["path_payment_to_customer"] = f"""
         SELECT a.source_id AS node_0, a.target_id AS node_1, b.source_id AS node_2, c.target_id AS node_3
-        FROM {only("PAYMENT_CLEARS_JOURNAL_ENTRY")} a
-        JOIN {only("BILLING_DOCUMENT_POSTED_TO_JOURNAL_ENTRY")} b ON a.target_id = b.target_id
-        JOIN {only("BILLING_DOCUMENT_FOR_CUSTOMER")} c ON b.source_id = c.source_id
-        WHERE a.source_id IN (SELECT node_id FROM graph_nodes)"""
+        FROM ({EDGES["payment_clears_journal_entry"]}) a
+        JOIN ({EDGES["billing_document_posted_to_journal_entry"]}) b ON a.target_id = b.target_id
+        JOIN ({EDGES["billing_document_for_customer"]}) c ON b.source_id = c.source_id
+        WHERE a.source_id IN (SELECT 'payment_' || accountingdocument FROM payments_accounts_receivable)"""
+    plain["stored_node_edges"] = f"""
+        SELECT e.target_id AS node_id, 'incoming' AS direction, e.source_id AS neighbor_id, e.*
+        FROM ({EDGES["delivery_item_from_plant"]}) e
+        WHERE e.target_id IN (SELECT 'plant_' || plant FROM plants ORDER BY plant LIMIT 5)"""
 
     # Flows and traces
     plain["top_products"] = f"{RANKING} ORDER BY billing_document_count DESC, product LIMIT 10"

@@ -227,22 +227,22 @@ def _cancelled_document_ids(w: Workspace) -> DataFrame:
 
 @query
 def node_lookup(w: Workspace) -> DataFrame:
-    return graph_query.lookup(w.graph.nodes, _cancelled_document_ids(w))
+    return graph_query.stored_lookup(w.stored, _cancelled_document_ids(w))
 
 
 @query
 def node_edges(w: Workspace) -> DataFrame:
-    return graph_query.incident_edges(*w.graph)
+    return graph_query.incident_edges(*w.graph, absent=w.absent)
 
 
 @query
 def node_neighbors(w: Workspace) -> DataFrame:
-    return graph_query.neighbors(*w.graph, _cancelled_document_ids(w))
+    return graph_query.stored_neighbors(w.stored, _cancelled_document_ids(w))
 
 
 @query
 def node_related_counts(w: Workspace) -> DataFrame:
-    return graph_query.related_counts(*w.graph)
+    return graph_query.related_counts(*w.graph, absent=w.absent)
 
 
 @query
@@ -255,7 +255,7 @@ def node_details(w: Workspace) -> DataFrame:
 
 @query
 def node_details_lead_times(w: Workspace) -> DataFrame:
-    related = graph_query.related_counts(*w.graph, _ids_of_type(w, "SalesOrder", "node_id"))
+    related = graph_query.related_counts(*w.graph, _ids_of_type(w, "SalesOrder", "node_id"), w.absent)
     times = analytics.lead_times(w.tables).withColumn(
         "node_id", F.concat(F.lit("salesorder_"), F.col("salesorder"))
     )
@@ -266,12 +266,12 @@ def node_details_lead_times(w: Workspace) -> DataFrame:
 
 @query
 def subgraph_nodes_depth_1(w: Workspace) -> DataFrame:
-    return graph_query.subgraph_nodes(*w.graph, None, depth=1).select("seed_id", "node_id", "node_type", "label")
+    return graph_query.subgraph_nodes(*w.graph, None, depth=1, absent=w.absent).select("seed_id", "node_id", "node_type", "label")
 
 
 @query
 def subgraph_edges_depth_1(w: Workspace) -> DataFrame:
-    return graph_query.subgraph_edges(*w.graph, None, depth=1).select("seed_id", "edge_id", "edge_type")
+    return graph_query.subgraph_edges(*w.graph, None, depth=1, absent=w.absent).select("seed_id", "edge_id", "edge_type")
 
 
 def _deep_seeds(w: Workspace) -> DataFrame:
@@ -351,13 +351,13 @@ def highlighted_edges(w: Workspace) -> DataFrame:
 
 @query
 def node_page(w: Workspace) -> DataFrame:
-    return graph_query.node_page(w.graph.nodes, "SalesOrder", limit=100, after_id="salesorder_12")
+    return graph_query.stored_node_page(w.stored, "SalesOrder", limit=100, after_id="salesorder_12")
 
 
 @query
 def edge_page(w: Workspace) -> DataFrame:
-    return graph_query.edge_page(
-        w.graph.edges, limit=500, after_id="delivery_item_from_plant_8", source_type="DeliveryItem"
+    return graph_query.stored_edge_page(
+        w.stored, limit=500, after_id="delivery_item_from_plant_8", source_type="DeliveryItem"
     )
 
 
@@ -378,6 +378,18 @@ def path_payment_to_customer(w: Workspace) -> DataFrame:
     return graph_query.typed_path(*w.graph, PAYMENT_TO_CUSTOMER)
 
 
+@query
+def path_counts_customer_to_product(w: Workspace) -> DataFrame:
+    return graph_query.path_counts(*w.graph, CUSTOMER_TO_PRODUCT).withColumn("paths", F.col("paths").cast("bigint"))
+
+
+@query
+def stored_node_edges(w: Workspace) -> DataFrame:
+    """Edges of the plants of a few suppliers, by the ranges and Bloom filters of the stored graph."""
+    plants = w.tables["plants"].orderBy("plant").limit(5)
+    return graph_query.stored_incident_edges(w.stored, plants.select(F.concat(F.lit("plant_"), "plant").alias("node_id")))
+
+
 # --- Flows and traces --------------------------------------------------------
 
 

@@ -16,11 +16,11 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import graph_build
+from ledgerloom.operators import graph_build, graph_checks
 from ledgerloom.session import release, stage, staging_path, tune
 from ledgerloom.sources import ingest
 from ledgerloom.sources.catalog import CORE_COLLECTIONS, Collections
-from ledgerloom.sources.graph_store import Graph
+from ledgerloom.sources.graph_store import Graph, StoredGraph, write_graph
 from ledgerloom.sources.tpch import BILLING_BASE, order_to_cash
 
 _open: dict[tuple[str, str], Workspace] = {}
@@ -81,6 +81,16 @@ class Workspace:
         edges = stage(graph_build.build_edges(self.tables), "edges", "edge_type", self.owner)
         return Graph(nodes, edges)
 
+    @cached_property
+    def absent(self) -> DataFrame:
+        """Ids that edges of the graph lead to, but no node has."""
+        return graph_checks.absent_ends(*self.graph)
+
+    @cached_property
+    def stored(self) -> StoredGraph:
+        """The graph as the graph store lays it out, for what reads parts of it."""
+        return write_graph(self.graph, staging_path(self.spark, "graph", self.owner))
+
     @cached_property
     def jsonl_root(self) -> str:
         """Folder with the core collections as JSON lines, four files each, and lines that must be rejected.

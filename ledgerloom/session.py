@@ -100,15 +100,25 @@ def staging_path(spark: SparkSession, name: str, owner: str = "queries") -> str:
 
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder in any file system that Spark reaches."""
+    target, files = _files(spark, path)
+    files.delete(target, True)
+
+
+def _files(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds, in order; none if there is no such folder."""
+    target, files = _files(spark, path)
+    return sorted(x.getPath().getName() for x in files.listStatus(target)) if files.exists(target) else []
 
 
-def rename(spark: SparkSession, path: str, to: str) -> None:
-    """Give a folder another path in the same file system."""
-    source, target = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, to))
-    if not source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(source, target):
-        raise OSError(f"cannot rename {path} to {to}")
+def touch(spark: SparkSession, path: str) -> None:
+    """Create an empty file, which must not be there yet; it is there from one moment to the next."""
+    target, files = _files(spark, path)
+    files.create(target, False).close()
 
 
 def release(spark: SparkSession, owner: str | None = None) -> None:

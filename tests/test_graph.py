@@ -6,7 +6,18 @@ import pytest
 from helpers import rows_of
 
 from ledgerloom.operators import graph_build, graph_checks, graph_query
-from ledgerloom.sources.graph_store import EDGE_SCHEMA, NODE_SCHEMA, Graph, GraphIntegrityError, counts, read_graph, write_graph
+from ledgerloom.sources import graph_store
+from ledgerloom.sources.graph_store import (
+    EDGE_SCHEMA,
+    NODE_SCHEMA,
+    Graph,
+    GraphIntegrityError,
+    counts,
+    read_graph,
+    vacuum,
+    versions,
+    write_graph,
+)
 
 TYPES = list(graph_build.NODE_KINDS)
 
@@ -165,18 +176,160 @@ def test_checks(spark, small):
     assert rows_of(graph_checks.dangling_edges(*graph), "edge_id", "end", "missing_id") == sorted(expected)
 
 
+def test_paths_are_counted_and_dead_ends_pruned(spark):
+    """A hub with many items of which few go on, and parallel edges."""
+    pick = random.Random(2)
+    nodes = [(f"c{i}", "Customer", "x", "{}") for i in range(4)]
+    edges = [(f"c{pick.randrange(6)}", f"o{i % 9}", "CUSTOMER_PLACED_ORDER") for i in range(20)]
+    edges += [("o1", f"i{i}", "ORDER_HAS_ITEM") for i in range(200)] + [("o2", "i1", "ORDER_HAS_ITEM")] * 3
+    edges += [(f"i{i}", f"p{i % 2}", "ITEM_FOR_PRODUCT") for i in range(5)] + [("i1", None, "ITEM_FOR_PRODUCT")]
+    graph = Graph(
+        spark.createDataFrame(nodes, NODE_SCHEMA),
+        spark.createDataFrame([(f"e{i}", s, t, k, "{}") for i, (s, t, k) in enumerate(edges)], EDGE_SCHEMA),
+    )
+    kinds = ["CUSTOMER_PLACED_ORDER", "ORDER_HAS_ITEM", "ITEM_FOR_PRODUCT"]
+    steps = [[(s, t) for s, t, k in edges if k == kind] for kind in kinds]
+    known = {n[0] for n in nodes}
+    paths = [(a, b, c, d) for a, b in steps[0] if a in known for x, c in steps[1] if x == b for y, d in steps[2] if y == c]
+    listed = rows_of(graph_query.typed_path(*graph, kinds))
+    full = [p for p in paths if p[3] is not None]
+    assert sorted(x for x in map(tuple, listed) if x[3] is not None) == sorted(full)
+    counted = {(r["step"], r["node_id"]): int(r["paths"]) for r in graph_query.path_counts(*graph, kinds).collect()}
+    expected = {}
+    for p in paths:
+        for step, node in enumerate(p):
+            expected[step, node] = expected.get((step, node), 0) + 1
+    assert counted == expected and sum(n for (step, _), n in counted.items() if step == 0) == len(paths)
+    alive = graph_query._onwards(graph_query._hops(graph.edges, kinds)[1:])
+    assert rows_of(alive[1], "node_2") == [(f"i{i}",) for i in range(5)]
+
+
 def test_store(spark, small, tmp_path):
     graph = small[2]
     written = write_graph(graph, str(tmp_path / "g"))
     assert rows_of(written.nodes) == rows_of(graph.nodes) and rows_of(written.edges) == rows_of(graph.edges)
-    assert (tmp_path / "g" / "edges" / "edge_type=ORDER_HAS_ITEM").is_dir()
+    assert (tmp_path / "g" / "versions" / versions(spark, str(tmp_path / "g"))[0] / "edges" / "edge_type=ORDER_HAS_ITEM").is_dir()
     assert rows_of(read_graph(spark, str(tmp_path / "g")).nodes) == rows_of(graph.nodes)
+    assert rows_of(counts(written)) == rows_of(counts(graph))
+    assert sorted(r[0] for r in written.absent.collect()) == sorted(
+        {x for e in small[1] for x in e[1:3]} - {n[0] for n in small[0]}
+    )
     twice = Graph(graph.nodes.unionByName(graph.nodes), graph.edges)
     with pytest.raises(GraphIntegrityError):
         write_graph(twice, str(tmp_path / "h"))
+    with pytest.raises(FileNotFoundError):
+        read_graph(spark, str(tmp_path / "h"))
     assert write_graph(twice, str(tmp_path / "h"), strict=False).nodes.count() == 25
 
 
+STEPS = ("_write", "_violations", "_describe", "touch", "delete")
+
+
+@pytest.mark.parametrize("step", STEPS)
+def test_a_writer_that_dies_leaves_a_whole_graph(spark, small, tmp_path, monkeypatch, step):
+    """Stops the third write before or in each of its steps."""
+    graph, path = small[2], str(tmp_path / "g")
+    write_graph(graph, path)
+    opened = write_graph(Graph(graph.nodes.limit(20), graph.edges), path)
+    calls = []
+
+    def die(*_, **__):
+        calls.append(1)
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(graph_store, step, die)
+        with pytest.raises(KeyboardInterrupt):
+            write_graph(Graph(graph.nodes.limit(10), graph.edges), path)
+    assert calls
+    now = 10 if step == "delete" else 20  # the new version is current before old ones go
+    assert read_graph(spark, path).nodes.count() == now and opened.nodes.count() == 20
+    lost = vacuum(spark, path)
+    assert len(lost) == (0 if step in ("_write", "delete") else 1) and read_graph(spark, path).nodes.count() == now
+    assert write_graph(graph, path).nodes.count() == 25 and len(versions(spark, path)) == 2
+
+
+def test_readers_stay_on_their_version(spark, small, tmp_path):
+    graph, path = small[2], str(tmp_path / "g")
+    first = write_graph(graph, path)
+    second = write_graph(Graph(graph.nodes.limit(5), graph.edges.limit(3)), path)
+    assert first.nodes.count() == 25 and second.nodes.count() == 5
+    old, new = versions(spark, path)
+    assert read_graph(spark, path, old).nodes.count() == 25 and read_graph(spark, path).nodes.count() == 5
+    with pytest.raises(FileNotFoundError):
+        read_graph(spark, path, "000000000009-x")
+
+
+@pytest.fixture(scope="module")
+def large(spark, tmp_path_factory):
+    """A stored graph of three node types in many files."""
+    nodes = spark.range(6000).selectExpr(
+        "concat(case id % 3 when 0 then 'customer_' when 1 then 'salesorder_' else 'plant_' end, lpad(id, 6, '0')) as node_id",
+        "case id % 3 when 0 then 'Customer' when 1 then 'SalesOrder' else 'Plant' end as node_type",
+        "concat('n', id) as label", "'{}' as metadata_json",
+    )
+    edges = spark.range(4000).selectExpr(
+        "concat('e', lpad(id, 6, '0')) as edge_id", "concat('customer_', lpad(id * 3 % 6000, 6, '0')) as source_id",
+        "concat('salesorder_', lpad(id * 3 % 5999 + 1, 6, '0')) as target_id", "'CUSTOMER_PLACED_ORDER' as edge_type", "'{}' as metadata_json",
+    )
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    stored = write_graph(Graph(nodes, edges), str(tmp_path_factory.mktemp("large") / "g"))
+    for k, v in before.items():
+        spark.conf.set(k, v)
+    return Graph(nodes, edges), stored
+
+
+def files_of(df):
+    return len(df.inputFiles())
+
+
+def test_pages_read_the_files_they_lie_in(large):
+    graph, stored = large
+    assert stored.files.filter("kind = 'nodes'").count() >= 40
+    for kind in (None, "SalesOrder"):
+        ids = sorted(r[0] for r in graph.nodes.filter("true" if kind is None else f"node_type = '{kind}'").select("node_id").collect())
+        for after in (None, "", ids[0], ids[777], "plant_003", ids[-3], ids[-1], "zzz"):
+            page = graph_query.stored_node_page(stored, kind, 50, after)
+            expected = [i for i in ids if after is None or i > after][:50]
+            got = page.collect()
+            assert [r["node_id"] for r in got] == expected and {r["total"] for r in got} <= {len(ids)}
+            assert files_of(page) <= 4
+    page = graph_query.stored_edge_page(stored, 10, "e001", edge_type="CUSTOMER_PLACED_ORDER")
+    assert [r["edge_id"] for r in page.collect()] == [f"e{i:06}" for i in range(1000, 1010)] and files_of(page) <= 3
+    assert graph_query.stored_edge_page(stored, target_type="Plant").collect() == []
+    page = graph_query.stored_edge_page(stored, source_id="customer_000003")
+    assert rows_of(page, "edge_id") == rows_of(graph_query.filter_edges(graph.edges, source_id="customer_000003"), "edge_id")
+    for bad in ({"limit": 0}, {"edge_type": "UNKNOWN"}):
+        with pytest.raises(ValueError):
+            graph_query.stored_edge_page(stored, **bad)
+
+
+def test_a_few_ids_read_few_files(spark, large):
+    graph, stored = large
+    ids = spark.createDataFrame([("customer_000003",), ("plant_000002",), ("nowhere",), (None,)], "node_id string")
+    found = graph_query.stored_lookup(stored, ids)
+    assert rows_of(found, "node_id") == [("customer_000003",), ("plant_000002",)] and files_of(found) <= 3
+    both = [f(g, *rest) for f, g, *rest in ((graph_query.stored_incident_edges, stored, ids),)]
+    assert rows_of(both[0], "node_id", "edge_id") == rows_of(graph_query.incident_edges(*graph, ids), "node_id", "edge_id")
+    assert rows_of(graph_query.stored_neighbors(stored, ids)) == rows_of(graph_query.neighbors(*graph, ids))
+    many = graph.nodes.select("node_id").limit(500)
+    assert graph_query.stored_lookup(stored, many).count() == 500
+    assert rows_of(graph_query.stored_incident_edges(stored, many), "node_id", "edge_id") == rows_of(
+        graph_query.incident_edges(*graph, many), "node_id", "edge_id"
+    )
+
+
+def test_absent_ids_can_be_kept(small):
+    graph = small[2]
+    absent = graph_checks.absent_ends(*graph)
+    for ask in (graph_query.incident_edges, graph_query.neighbors, graph_query.related_counts):
+        assert rows_of(ask(*graph, absent=absent)) == rows_of(ask(*graph))
+    for ask in (graph_query.subgraph_nodes, graph_query.subgraph_edges):
+        assert rows_of(ask(*graph, None, 1, absent)) == rows_of(ask(*graph, None, 1))
+
+
 def test_payments_of_one_document_share_a_node(make_tables):
     rows = [
         {"accountingdocument": "x", "accountingdocumentitem": i, "amountintransactioncurrency": a}
@@ -193,4 +346,4 @@ def test_a_failed_check_keeps_the_old_graph(spark, small, tmp_path):
     with pytest.raises(GraphIntegrityError):
         write_graph(twice, path)
     assert read_graph(spark, path).nodes.count() == 25
-    assert [p.name for p in tmp_path.iterdir()] == ["kept"]
+    assert [p.name for p in tmp_path.iterdir()] == ["kept"] and vacuum(spark, path) == []
