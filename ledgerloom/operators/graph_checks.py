@@ -35,10 +35,17 @@ def missing_ids(rows: DataFrame, *id_columns: str) -> DataFrame:
 
 
 def keep_first(rows: DataFrame, id_column: str) -> DataFrame:
-    """One row per id, the smallest by the remaining columns; rows without an id are left out."""
+    """One row per id, the smallest by the remaining columns; rows without an id are left out.
+
+    Which ids repeat is counted from the ids alone. Only their rows are shuffled and
+    compared; all others pass as they are.
+    """
     others = [c for c in rows.columns if c != id_column]
-    kept = rows.filter(F.col(id_column).isNotNull()).groupBy(id_column).agg(F.min(F.struct(*others)).alias("first"))
-    return kept.select(id_column, *[F.col("first").getField(c).alias(c) for c in others]).select(*rows.columns)
+    repeated = stage(duplicate_ids(rows, id_column).select(id_column), "repeated")
+    single = rows.filter(F.col(id_column).isNotNull()).join(repeated, id_column, "left_anti")
+    several = rows.join(repeated, id_column, "left_semi").groupBy(id_column).agg(F.min(F.struct(*others)).alias("first"))
+    first = several.select(id_column, *[F.col("first").getField(c).alias(c) for c in others])
+    return single.select(*rows.columns).unionByName(first)
 
 
 def absent_ids(nodes: DataFrame, ids: DataFrame) -> DataFrame:

@@ -26,6 +26,8 @@ from ledgerloom.sources.graph_store import StoredGraph, few_ids
 SAMPLE_SIZE = 5
 PAGE_SIZE = 500
 MAX_PAGE_SIZE = 1000
+# Rows that a hub makes in one task; beyond, its edges are dealt to several.
+PART_ROWS = 1 << 20
 # Numbers of paths grow as products of degrees.
 _WAYS = "decimal(38,0)"
 
@@ -138,8 +140,50 @@ def _other_end() -> Column:
     return F.when(F.col("source_id") == F.col("node_id"), F.col("target_id")).otherwise(F.col("source_id"))
 
 
+def hop_sizes(edges: DataFrame, frontier: DataFrame) -> DataFrame:
+    """``node_id``, ``seeds`` that have reached it, ``degree``, and ``rows``, what one more hop makes of them.
+
+    ``frontier`` has ``seed_id`` and ``node_id``. Degrees are counted for its nodes only.
+    """
+    seeds = stage(frontier.groupBy("node_id").agg(F.count("*").alias("seeds")), "frontier")
+    degrees = _adjacency(edges).join(seeds.select("node_id"), "node_id", "left_semi")
+    degrees = degrees.groupBy("node_id").agg(F.count("*").alias("degree"))
+    return seeds.join(degrees, "node_id").withColumn("rows", F.col("seeds") * F.col("degree"))
+
+
+def _step(edges: DataFrame, frontier: DataFrame, most_rows: int | None) -> DataFrame:
+    """``(seed_id, node_id)`` one hop on from ``frontier``.
+
+    What a hub makes is the product of the seeds that reach it and its edges, however
+    small either side is. Its edges are dealt to parts, which each seed meets one
+    by one, so no task makes more than about ``PART_ROWS`` rows of one hub.
+    """
+    sizes = stage(hop_sizes(edges, frontier), "hop-sizes")
+    rows, largest = sizes.agg(F.sum("rows"), F.max("rows")).first()
+    if most_rows is not None and (rows or 0) > most_rows:
+        raise ValueError(f"the next hop makes {rows} rows, more than {most_rows}")
+    ends = _adjacency(edges)
+    if (largest or 0) <= PART_ROWS:
+        return frontier.join(ends, "node_id").select("seed_id", _other_end().alias("node_id"))
+    parts = F.ceil(F.col("rows") / PART_ROWS).alias("parts")
+    hubs = stage(sizes.filter(F.col("rows") > PART_ROWS).select("node_id", parts), "hubs")
+    light = frontier.join(hubs, "node_id", "left_anti").join(ends, "node_id")
+    part = F.pmod(F.xxhash64("source_id", "target_id"), F.col("parts"))
+    dealt = ends.join(hubs, "node_id").withColumn("part", part).drop("parts")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
+    heavy = frontier.join(hubs, "node_id").select("seed_id", "node_id", each).join(dealt, ["node_id", "part"])
+    return light.select("seed_id", _other_end().alias("node_id")).unionByName(
+        heavy.select("seed_id", _other_end().alias("node_id"))
+    )
+
+
 def _reached(
-    nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None, depth: int, absent: DataFrame | None = None
+    nodes: DataFrame,
+    edges: DataFrame,
+    seeds: DataFrame | None,
+    depth: int,
+    absent: DataFrame | None = None,
+    most_rows: int | None = None,
 ) -> DataFrame:
     """``(seed_id, node_id)`` of all ids within ``depth`` hops, the seed included.
 
@@ -155,23 +199,31 @@ def _reached(
     start = _chosen(nodes, seeds.select(F.col("seed_id").alias("node_id")))
     reached = start.select(F.col("node_id").alias("seed_id"), "node_id")
     for hop in range(1, depth + 1):
-        frontier = reached if hop == 1 else reached.filter(F.col("node_id") != F.col("seed_id"))
-        step = frontier.join(_adjacency(edges), "node_id").select("seed_id", _other_end().alias("node_id"))
+        if hop == 1:  # every seed meets its own edges once
+            step = reached.join(_adjacency(edges), "node_id").select("seed_id", _other_end().alias("node_id"))
+        else:
+            step = _step(edges, reached.filter(F.col("node_id") != F.col("seed_id")), most_rows)
         reached = stage(reached.unionByName(step).distinct(), "reached")
     return reached
 
 
 def subgraph_nodes(
-    nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None, depth: int = 2, absent: DataFrame | None = None
+    nodes: DataFrame,
+    edges: DataFrame,
+    seeds: DataFrame | None,
+    depth: int = 2,
+    absent: DataFrame | None = None,
+    most_rows: int | None = None,
 ) -> DataFrame:
     """Nodes within ``depth`` undirected hops (1 or more) of each ``seeds(seed_id)``.
 
     A seed that is no node has an empty subgraph. Without ``seeds`` every node
     is one, at depth 1 only: beyond, all neighbours of a hub would be related to
-    each other.
+    each other. A hop that would make more than ``most_rows`` rows, by the degrees of
+    what is reached, is refused with an error before it is made.
     """
     _check_depth(depth, seeds)
-    reached = _reached(nodes, edges, seeds, depth, absent)
+    reached = _reached(nodes, edges, seeds, depth, absent, most_rows)
     return reached.join(nodes, "node_id").select("seed_id", *NODE_COLUMNS)
 
 

@@ -64,6 +64,27 @@ def test_subgraph(spark, small, depth, asked):
     assert got_edges == sorted((s, e) for s, (_, found) in expected.items() for e in found)
 
 
+def test_hubs_are_dealt_to_parts(spark, monkeypatch):
+    """Many seeds around one hub: their product is far larger than either side."""
+    monkeypatch.setattr(graph_query, "PART_ROWS", 500)
+    nodes = [(f"n{i}", "Plant", "x", "{}") for i in range(80)] + [("hub", "Customer", "x", "{}")]
+    edges = [(f"h{i}", *(("hub", f"n{i}") if i % 2 else (f"n{i}", "hub")), "CUSTOMER_PLACED_ORDER", "{}") for i in range(80)]
+    edges += [("loop", "hub", "hub", "ORDER_HAS_ITEM", "{}")] + [(f"e{i}", f"n{i}", f"n{i + 1}", "ORDER_HAS_ITEM", "{}") for i in range(20)]
+    graph = Graph(spark.createDataFrame(nodes, NODE_SCHEMA), spark.createDataFrame(edges, EDGE_SCHEMA))
+    asked = [f"n{i}" for i in range(60)]
+    seeds = spark.createDataFrame([(s,) for s in asked], "seed_id string")
+    for depth in (2, 3):
+        got = rows_of(graph_query.subgraph_nodes(*graph, seeds, depth), "seed_id", "node_id")
+        assert got == sorted((s, n) for s in asked for n in walk(nodes, edges, s, depth)[0])
+    frontier = seeds.selectExpr("seed_id", "'hub' as node_id")
+    (size,) = graph_query.hop_sizes(graph.edges, frontier).collect()
+    assert (size["seeds"], size["degree"], size["rows"]) == (60, 81, 4860)
+    plan = graph_query._step(graph.edges, frontier, None)._jdf.queryExecution().toString()
+    assert "part" in plan and graph_query._step(graph.edges, frontier, None).count() == 4860
+    with pytest.raises(ValueError, match="4860|rows"):
+        graph_query.subgraph_nodes(*graph, seeds, 2, most_rows=1000)
+
+
 def test_depths_that_are_refused(spark, small):
     graph = small[2]
     seeds = spark.createDataFrame([("n01",)], "seed_id string")
@@ -170,6 +191,9 @@ def test_checks(spark, small):
     assert rows_of(graph_checks.duplicate_ids(df, "node_id")) == [("a", 2)]
     assert graph_checks.missing_ids(df, "node_id").count() == 1
     assert rows_of(graph_checks.keep_first(df, "node_id"), "node_id", "label") == [("a", "1"), ("b", "1")]
+    many = spark.createDataFrame([(f"i{k % 500}", "T", str(k // 500), None) for k in range(1500)] + [("z", "T", None, None)], NODE_SCHEMA)
+    kept = rows_of(graph_checks.keep_first(many, "node_id"), "node_id", "label")
+    assert kept == sorted([(f"i{k}", "0") for k in range(500)] + [("z", None)])
     nodes, edges, graph = small
     known = {n[0] for n in nodes}
     expected = [(e[0], end, e[i]) for e in edges for i, end in ((1, "source"), (2, "target")) if e[i] not in known]
