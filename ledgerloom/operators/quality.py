@@ -18,6 +18,9 @@ CONFIRMED, PARTIAL, UNCERTAIN = 95, 80, 50
 # Name parts of likely keys, and the least share of distinct values.
 KEY_NAME_PARTS = ("id", "key", "number", "document", "order")
 KEY_SHARE = 0.8
+# Hashes a sketch keeps, as a power of two, and the estimate up to which it surely holds all of them.
+SKETCH_BITS = 12
+EXACT = 1 << (SKETCH_BITS - 1)
 MISSING_DATA = "Missing collection data"
 
 
@@ -219,8 +222,12 @@ def sample_records(tables: Collections, names: Iterable[str]) -> DataFrame:
     parts = []
     for name in names:
         columns = sorted(tables[name].columns)
-        record = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
-        first = tables[name].orderBy(*[F.asc_nulls_last(c) for c in columns]).limit(1)
+        # Nulls last: whether a value is missing is compared before the value.
+        order = F.struct(*[x for i, c in enumerate(columns) for x in (F.col(c).isNull().alias(f"m_{i}"), F.col(c).alias(f"v_{i}"))])
+        first = tables[name].agg(F.min(order).alias("first")).filter("first is not null")
+        record = F.to_json(
+            F.struct(*[F.col("first")[f"v_{i}"].alias(c) for i, c in enumerate(columns)]), {"ignoreNullFields": "false"}
+        )
         parts.append(first.select(F.lit(name).alias("collection"), record.alias("sample")))
     return reduce(DataFrame.unionByName, parts)
 
@@ -238,35 +245,71 @@ def inventory(tables: Collections, names: Iterable[str]) -> DataFrame:
     )
 
 
-def column_distinct(tables: Collections, names: Iterable[str]) -> DataFrame:
-    """``(collection, column, rows, distinct_values)`` of the columns named like keys.
+def _likely_keys(tables: Collections, names: Iterable[str]) -> dict[str, list[str]]:
+    """Columns named like keys, by collection."""
+    found = {}
+    for name in names:
+        columns = [field.name for field in _source_fields(tables[name])]
+        found[name] = [c for c in columns if any(part in c.lower() for part in KEY_NAME_PARTS)]
+    return {name: columns for name, columns in found.items() if columns}
+
 
-    Missing values count as one value. Columns are stacked into rows, so the
-    exact distinct counts of all of them take one shuffle by value.
-    """
+def _sketched(tables: Collections, likely: dict[str, list[str]]) -> DataFrame:
+    """``(collection, column, rows, estimate)`` by bottom-k sketches: one pass per collection, a row per task is shuffled."""
     parts = []
-    for name in names:
-        df = tables[name]
-        names_of = [field.name for field in _source_fields(df)]
-        likely = [c for c in names_of if any(part in c.lower() for part in KEY_NAME_PARTS)]
-        if likely:
-            values = [
-                F.struct(F.lit(c.lower()).alias("column"), spelled(F.col(f"`{c}`")).alias("value")) for c in likely
-            ]
-            parts.append(df.select(F.lit(name).alias("collection"), F.inline(F.array(*values))))
-    per_value = (
-        reduce(DataFrame.unionByName, parts)
-        .groupBy("collection", "column", "value")
-        .agg(F.count("*").alias("n"))
-    )
+    for name, columns in likely.items():
+        sketches = [
+            F.theta_sketch_estimate(F.theta_sketch_agg(spelled(F.col(f"`{c}`")), F.lit(SKETCH_BITS))).alias(f"n_{i}")
+            for i, c in enumerate(columns)
+        ]
+        counted = tables[name].agg(F.count("*").alias("rows"), *sketches)
+        values = [F.struct(F.lit(c).alias("column"), F.col(f"n_{i}").alias("estimate")) for i, c in enumerate(columns)]
+        parts.append(counted.select(F.lit(name).alias("collection"), "rows", F.inline(F.array(*values))))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _counted(tables: Collections, columns: list[tuple[str, str]]) -> DataFrame:
+    """``(collection, column, rows, distinct_values)`` of some columns, exact by one shuffle of their values."""
+    parts = []
+    for name in dict.fromkeys(name for name, _ in columns):
+        values = [
+            F.struct(F.lit(c.lower()).alias("column"), spelled(F.col(f"`{c}`")).alias("value"))
+            for own, c in columns
+            if own == name
+        ]
+        parts.append(tables[name].select(F.lit(name).alias("collection"), F.inline(F.array(*values))))
+    per_value = reduce(DataFrame.unionByName, parts).groupBy("collection", "column", "value").agg(F.count("*").alias("n"))
     return per_value.groupBy("collection", "column").agg(
         F.sum("n").alias("rows"), F.count("*").alias("distinct_values")
     )
 
 
+def column_distinct(tables: Collections, names: Iterable[str], least_share: float = 0.0) -> DataFrame:
+    """``(collection, column, rows, distinct_values)`` of the columns named like keys, exactly.
+
+    Missing values count as one value. Sketches of the smallest hashes come first:
+    one that is far from full holds all distinct values and is the exact count. Only
+    columns with more values are stacked into rows and shuffled by value. With
+    ``least_share`` columns whose distinct values are surely no such share of the rows
+    (by a tenth, some six standard errors of a sketch) are left out.
+    """
+    likely = _likely_keys(tables, names)
+    if not likely:
+        schema = "collection string, column string, rows bigint, distinct_values bigint"
+        return tables.spark.createDataFrame([], schema)
+    # One row per column.
+    told = [tuple(r) for r in _sketched(tables, likely).select("collection", "column", "rows", "estimate").collect()]
+    told = [r for r in told if r[2] and r[3] * 1.1 >= r[2] * least_share]
+    exact = [(name, c.lower(), rows, n) for name, c, rows, n in told if n <= EXACT]
+    schema = "collection string, column string, rows bigint, distinct_values bigint"
+    found = tables.spark.createDataFrame(exact, schema)
+    many = [(name, c) for name, c, _, n in told if n > EXACT]
+    return found.unionByName(_counted(tables, many)) if many else found
+
+
 def key_candidates(tables: Collections, names: Iterable[str]) -> DataFrame:
     """Columns named like keys whose values are mostly distinct."""
-    measured = column_distinct(tables, names)
+    measured = column_distinct(tables, names, KEY_SHARE)
     return measured.filter(F.col("distinct_values") > F.col("rows") * KEY_SHARE)
 
 

@@ -366,3 +366,18 @@ def test_reports(small_flow):
 def test_histogram_of_nothing(make_tables):
     assert analytics.cycle_time_histogram(make_tables()).count() == 0
     assert flows.top_products(make_tables()).count() == 0
+
+
+def test_full_sketches_are_counted_exactly(make_tables, monkeypatch):
+    """Few, many and mostly distinct values; what a sketch can't hold is shuffled, and only that."""
+    rows = [
+        {"salesorder": str(i), "salesorderitem": str(i % 7), "material": "m", "productionplant": None} for i in range(9000)
+    ] + [{"salesorder": None}] * 3
+    tables = make_tables(sales_order_items=rows, sales_order_headers=[])
+    names = ["sales_order_items", "sales_order_headers"]
+    asked, counted = [], quality._counted
+    monkeypatch.setattr(quality, "_counted", lambda t, columns: asked.append(columns) or counted(t, columns))
+    found = {r["column"]: (r["rows"], r["distinct_values"]) for r in quality.column_distinct(tables, names).collect()}
+    assert found["salesorder"] == (9003, 9001) and found["salesorderitem"] == (9003, 8)
+    assert asked == [[("sales_order_items", "salesorder")]]
+    assert [r["column"] for r in quality.key_candidates(tables, names).collect()] == ["salesorder"]
