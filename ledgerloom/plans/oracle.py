@@ -894,6 +894,7 @@ def statements() -> dict[str, str]:
         SELECT n.node_id, n.node_type, n.label, max(s.batch) AS batch
         FROM (SELECT * FROM ({seeds}) UNION ALL SELECT p.neighbor_id, s.batch FROM ({seeds}) s JOIN pairs p USING (node_id)) s
         JOIN graph_nodes n ON n.node_id = s.node_id GROUP BY 1, 2, 3"""
+    graph["appended_subgraph_nodes"] = graph["merged_subgraph_nodes"]
     graph["merged_subgraph_edges"] = f"""
         SELECT e.edge_id, e.source_id, e.target_id, e.edge_type, max(s.batch) AS batch
         FROM ({seeds}) s JOIN ends e USING (node_id) GROUP BY 1, 2, 3, 4"""
@@ -969,7 +970,7 @@ def statements() -> dict[str, str]:
 
     for name, sql in graph.items():
         extra = [GRAPH]
-        if name.startswith(("node_edges", "node_neighbors", "node_related", "node_details", "merged")) or name.endswith(
+        if name.startswith(("node_edges", "node_neighbors", "node_related", "node_details", "merged", "appended")) or name.endswith(
             "depth_1"
         ):
             extra.append(ENDS)

@@ -18,6 +18,7 @@ from ledgerloom.plans.workspace import FILES, Workspace, open_workspace
 from ledgerloom.session import staging_path
 from ledgerloom.sources import graph_store, ingest, jsonl
 from ledgerloom.sources.catalog import COLLECTIONS, CORE_COLLECTIONS, ITEM_KEY_COLUMN, ITEM_KEYS
+from ledgerloom.sources.merge_store import MergeStore
 
 AS_OF = datetime.date(1998, 8, 2)
 CUSTOMER_TO_PRODUCT = ("CUSTOMER_PLACED_ORDER", "ORDER_HAS_ITEM", "ITEM_FOR_PRODUCT")
@@ -329,6 +330,16 @@ def merged_subgraph_nodes(w: Workspace) -> DataFrame:
     return graph_query.merge(found, "node_id").select("node_id", "node_type", "label", "batch")
 
 
+@query
+def appended_subgraph_nodes(w: Workspace) -> DataFrame:
+    """The same merge, batch after batch in a store: the second rewrites nothing of the first."""
+    store = MergeStore(w.spark, staging_path(w.spark, "merged", w.owner), "node_id")
+    for kind in MERGED_SEEDS:
+        found = graph_query.subgraph_nodes(*w.graph, _ids_of_type(w, kind, "seed_id"), depth=1)
+        store.append(found.select("node_id", "node_type", "label"))
+    return store.read().select("node_id", "node_type", "label", F.col("batch").cast("int").alias("batch"))
+
+
 @query
 def merged_subgraph_edges(w: Workspace) -> DataFrame:
     seeds = [_ids_of_type(w, t, "seed_id") for t in MERGED_SEEDS]
