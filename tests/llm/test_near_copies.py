@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from ledgerloom.llm import simhash_dedup
+from ledgerloom.llm import near_copies, simhash_dedup
 from ledgerloom.llm.near_copies import LIKENESS, buckets, keep_one, shingle_sets
 from llm_helpers import ODD_TEXTS, words
 
@@ -48,6 +48,21 @@ def test_near_copies_against_all_pairs(documents, prose):
     assert len(kept) < simhash_dedup.keep_one(docs).count() - 20
 
 
+def test_turns_change_no_group(documents, prose, monkeypatch):
+    """Copies that are alike to what they were edited from, but not to each other."""
+    pick = random.Random(11)
+    base = prose(5, 120)
+    rows = [(k, edited(base, pick, 2)) for k in range(60)] + [(99, base)]
+    rows += [(200 + k, edited(prose(6, 120), pick, 7)) for k in range(40)]  # hardly any two alike
+    pairs, links = [], near_copies._links
+    monkeypatch.setattr(near_copies, "_links", lambda r, p, asked, n: pairs.append(asked.count()) or links(r, p, asked, n))
+    kept = {}
+    for turns in (0, 4):
+        pairs.clear()
+        kept[turns] = {r["doc_id"] for r in keep_one(documents(rows), turns).collect()}, sum(pairs)
+    assert kept[0][0] == kept[4][0] == kept_by_hand(rows) and kept[4][1] < kept[0][1]
+
+
 def test_candidates_meet(prose):
     pick = random.Random(9)
     pairs = [(t, edited(t, pick, n // 45)) for n in (50, 100, 300) for t in (prose(1000 * n + k, n) for k in range(60))]
