@@ -775,6 +775,20 @@ def _id_report(table: str, id_column: str, type_column: str) -> str:
     )
 
 
+# Bad lines by collection, one for each row of a table, and why they are rejected.
+BAD_LINES = (
+    ("sales_order_headers", "nation", "no record", "not one JSON object"),
+    ("outbound_delivery_headers", "region", '["deliverydocument"]', "not one JSON object"),
+    ("billing_document_headers", "region", '{"billingdocumentiscancelled": "maybe"}',
+     "wrong value: billingdocumentiscancelled"),
+    ("business_partners", "nation", '{"businesspartner": "x"} trailing', "not one JSON object"),
+    ("business_partners", "region", "{}", "no members"),
+    ("products", "region", "{'product': 'x'}", "not one JSON object"),
+    ("products", "nation", '{"product": "x"}{"product": "y"}', "not one JSON object"),
+    ("plants", "region", '{"plant": "x", "unknown": 1}', "unknown key: unknown"),
+)
+
+
 def statements() -> dict[str, str]:
     """SQL by query name."""
     plain: dict[str, str] = {}
@@ -842,6 +856,10 @@ def statements() -> dict[str, str]:
         SELECT edge_type, side AS "end", count(*) AS edges,
                count(*) FILTER (missing_id NOT IN (SELECT node_id FROM graph_nodes)) AS dangling
         FROM {all_ends} GROUP BY 1, 2"""
+    plain["rejected_lines"] = _union([
+        f"SELECT '{collection}' AS collection, {_text(line)} AS line, '{reason}' AS reason FROM {table}"
+        for collection, table, line, reason in BAD_LINES
+    ])
     graph["graph_sink"] = """
         SELECT node_type AS type, count(*) AS "count" FROM graph_nodes GROUP BY 1
         UNION ALL SELECT edge_type, count(*) FROM graph_edges GROUP BY 1"""

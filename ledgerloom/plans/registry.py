@@ -68,6 +68,12 @@ def ingest_report(w: Workspace) -> DataFrame:
     return ingest.with_total(w.ingested[1]).select("collection", "inserted", "errors", "files", "status")
 
 
+@query
+def rejected_lines(w: Workspace) -> DataFrame:
+    """Lines that the ingest has set aside, and why."""
+    return ingest.open_rejected(w.spark, w.ingested[0]).select("collection", "line", "reason")
+
+
 @query
 def ingested_items(w: Workspace) -> DataFrame:
     """Items of all orders as read back from the ingested tables."""

@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.session import delete
+from ledgerloom.session import names as names_in
 from ledgerloom.sources import jsonl
 from ledgerloom.sources.catalog import (
     COLLECTIONS,
@@ -18,6 +20,9 @@ from ledgerloom.sources.catalog import (
     empty,
 )
 
+# Folder of the rejected lines, beside the tables.
+REJECTED_FOLDER = "_rejected"
+REJECTED_LINES = "collection string, file string, line string, reason string"
 REPORT = "collection string, inserted bigint, errors bigint, files bigint"
 
 
@@ -52,11 +57,13 @@ def ingest(
 ) -> DataFrame:
     """Replace the tables under ``out`` with the accepted records under ``root``.
 
-    Each collection is read once: the counts are observed while it is written.
-    A missing or empty collection becomes an empty table.
+    Each collection is read once: the counts are observed while it is written. One with
+    rejected lines is read once more to write those, with file and reason; see
+    :func:`open_rejected`. A missing or empty collection becomes an empty table.
     """
     report = []
     for name in names:
+        delete(spark, posixpath.join(out, REJECTED_FOLDER, name))
         source = jsonl.Source(spark, posixpath.join(root, name), name, patterns)
         records = jsonl.scan(source) if source.files else None
         target = posixpath.join(out, name)
@@ -73,10 +80,22 @@ def ingest(
             .write.mode("overwrite")
             .parquet(target)
         )
+        if seen.get["errors"]:
+            bad = jsonl.rejected_lines(source).drop("collection")
+            bad.write.parquet(posixpath.join(out, REJECTED_FOLDER, name))
         report.append((name, seen.get["inserted"], seen.get["errors"], source.files))
     return spark.createDataFrame(report, REPORT)
 
 
+def open_rejected(spark: SparkSession, out: str) -> DataFrame:
+    """``(collection, file, line, reason)`` of what the last :func:`ingest` of each collection rejected."""
+    found = spark.createDataFrame([], REJECTED_LINES)
+    for name in names_in(spark, posixpath.join(out, REJECTED_FOLDER)):
+        rows = spark.read.parquet(posixpath.join(out, REJECTED_FOLDER, name))
+        found = found.unionByName(rows.select(F.lit(name).alias("collection"), "file", "line", "reason"))
+    return found
+
+
 def load_report(
     spark: SparkSession, root: str, names: Iterable[str], patterns: Sequence[str] = jsonl.FILE_PATTERNS
 ) -> DataFrame:

@@ -26,6 +26,8 @@ from ledgerloom.sources.catalog import ITEM_KEY_COLUMN, ITEM_KEYS, sanitize
 SUFFIX = ".jsonl"
 FILE_PATTERNS = ("part-*.jsonl", "*.jsonl")
 REJECTED = "_rejected"
+# Why a line is rejected.
+NO_OBJECT, NO_MEMBERS, UNKNOWN_KEY, WRONG_VALUE = "not one JSON object", "no members", "unknown key", "wrong value"
 STRICT = {"allowSingleQuotes": "false"}
 
 
@@ -109,11 +111,8 @@ def _convert(text: Column, kind: str) -> Column:
     return text if kind == "string" else text.try_cast(kind)
 
 
-def scan(source: Source) -> DataFrame | None:
-    """All records of a collection with sanitised columns and a ``_rejected`` flag.
-
-    Nested values stay as JSON text. None when the collection has no record.
-    """
+def _judged(source: Source) -> tuple[DataFrame, dict[str, Column]] | None:
+    """Lines with their parsed ``record`` and the ``reason`` to reject them (null for good ones), and the columns they make."""
     sample = source.sample()
     if not sample:
         return None
@@ -124,22 +123,38 @@ def scan(source: Source) -> DataFrame | None:
     # In brackets, a line must be the only element of a whole array: nothing may follow its object.
     alone = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<map<string,string>>", STRICT)
     parsed = source.lines().select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
         F.from_json("value", shape, STRICT).alias("record"),
         F.when(F.size(alone) == 1, F.map_keys(alone[0])).alias("keys"),
     )
     keys = F.transform("keys", lambda k: F.lower(F.translate(k, " -", "__")))
-    rejected = F.col("keys").isNull() | (F.size(F.array_except(keys, known)) > 0)
+    unknown = F.array_except(keys, known)
+    reason = F.when(F.col("keys").isNull(), NO_OBJECT).when(
+        F.size(unknown) > 0, F.concat(F.lit(f"{UNKNOWN_KEY}: "), F.array_join(F.array_sort(unknown), ", "))
+    )
     if source.name not in ITEM_KEYS:
-        rejected = rejected | (F.size("keys") == 0)
-    columns = []
+        reason = reason.when(F.size("keys") == 0, NO_MEMBERS)
+    columns = {}
     for key, kind in kinds.items():
         text = F.col("record").getField(key)
-        converted = _convert(text, kind)
-        columns.append(converted.alias(sanitize(key)))
+        columns[sanitize(key)] = _convert(text, kind)
         if kind != "string":
-            rejected = rejected | (text.isNotNull() & converted.isNull())
+            reason = reason.when(text.isNotNull() & columns[sanitize(key)].isNull(), f"{WRONG_VALUE}: {sanitize(key)}")
+    return parsed.withColumn("reason", reason), columns
+
+
+def scan(source: Source) -> DataFrame | None:
+    """All records of a collection with sanitised columns and a ``_rejected`` flag.
 
-    loaded = parsed.select(*columns, rejected.alias(REJECTED))
+    Nested values stay as JSON text. None when the collection has no record.
+    """
+    judged = _judged(source)
+    if judged is None:
+        return None
+    lines, columns = judged
+    rejected = F.col("reason").isNotNull().alias(REJECTED)
+    loaded = lines.select(*[value.alias(name) for name, value in columns.items()], rejected)
     if source.name in ITEM_KEYS:
         document, item = (
             F.col(c) if c in loaded.columns else F.lit(None).cast("string") for c in ITEM_KEYS[source.name]
@@ -148,6 +163,15 @@ def scan(source: Source) -> DataFrame | None:
     return loaded
 
 
+def rejected_lines(source: Source) -> DataFrame | None:
+    """``(collection, file, line, reason)`` of the lines that loading rejects; the first reason that applies."""
+    judged = _judged(source)
+    if judged is None:
+        return None
+    bad = judged[0].filter(F.col("reason").isNotNull())
+    return bad.select(F.lit(source.name).alias("collection"), "file", F.col("value").alias("line"), "reason")
+
+
 def read_collection(
     spark: SparkSession, path: str, name: str, patterns: Sequence[str] = FILE_PATTERNS
 ) -> DataFrame | None:

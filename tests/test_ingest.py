@@ -104,10 +104,33 @@ def test_ingest_is_a_full_refresh(spark, root, tmp_path):
     tables = ingest.open_tables(spark, out)
     assert rows_of(tables["plants"], "plant", "plantname") == [("p1", None), ("p2", None)]
     assert tables["products"].columns == ["product", "producttype", "productgroup", "baseunit"]
+    bad = ingest.open_rejected(spark, out)
+    assert sorted((r["collection"], r["file"][-12:], r["line"], r["reason"]) for r in bad.collect()) == sorted(
+        ("sales_order_items", "part-2.jsonl", line, reason)
+        for line, reason in (
+            ('{"salesOrder": "4", "extra": 1}', "unknown key: extra"),
+            ('{"salesOrder": "5", "n": "many"}', "wrong value: n"),
+            ('{"salesOrder": "6", "b": "perhaps"}', "wrong value: b"),
+            ("not json", "not one JSON object"),
+            ('{"salesOrder": "7"', "not one JSON object"),
+            ("[1, 2]", "not one JSON object"),
+        )
+    )
     total = ingest.with_total(ingest.load_report(spark, str(root), names))
     assert rows_of(total, "collection", "inserted", "errors", "files", "status")[0] == ("TOTAL", 5, 6, 3, "warning")
 
 
+def test_what_was_rejected_goes_with_the_next_ingest(spark, tmp_path):
+    folder, out = tmp_path / "in" / "plants", str(tmp_path / "out")
+    write(folder / "part-1.jsonl", {"plant": "p1"}, "{}", {"plant": "p2"})
+    ingest.ingest(spark, str(tmp_path / "in"), out, ["plants"])
+    assert rows_of(ingest.open_rejected(spark, out), "collection", "line", "reason") == [("plants", "{}", "no members")]
+    (folder / "part-1.jsonl").unlink()
+    write(folder / "part-2.jsonl", {"plant": "p1"})
+    ingest.ingest(spark, str(tmp_path / "in"), out, ["plants"])
+    assert ingest.open_rejected(spark, out).collect() == []
+
+
 def test_missing_collections(spark, root):
     missing = ingest.missing_required(spark, str(root))
     assert "plants" not in missing and "sales_order_headers" in missing
