@@ -27,7 +27,8 @@ _shipped: dict[str, tempfile.TemporaryDirectory] = {}
 def ready(spark: SparkSession) -> None:
     """Make the session fit for the operators that run Python in tasks.
 
-    Keeps Arrow batches small, as executors hold a few of them at a time, and once
+    Keeps Arrow batches small, as executors hold a few of them at a time (results are
+    read later, so the caller's session stays with this setting), and once
     per application gives the executors this package through Spark's file server.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)

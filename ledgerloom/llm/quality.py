@@ -161,6 +161,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int =
 
     At most about ``sample`` positives and as many unlabelled documents are used,
     chosen by a hash of ``doc_id``. Without a positive label nothing can be learned.
+    The class prior is the share of 1 among the labelled documents, which is that of
+    the unlabelled ones only if labels are drawn evenly from them.
     """
     ready(docs.sparkSession)
     marks = labels.select("doc_id", "quality").filter("doc_id is not null and quality is not null")
