@@ -251,7 +251,8 @@ def _met(visits: DataFrame, blocks: DataFrame, groups: int, space: _Space, most:
                         row = scores[at]
                         good = np.flatnonzero(fit[at] & (row >= w["floor"]) & (row <= w["high"]))
                         good = good[np.lexsort((ids[good], -row[good]))[:most]]
-                        found += [(int(anchors[at]), w["window"], i, s) for i, s in zip(ids[good].tolist(), row[good].tolist(), strict=True)]
+                        best = zip(ids[good].tolist(), row[good].tolist(), strict=True)
+                        found += [(int(anchors[at]), w["window"], i, s) for i, s in best]
                 columns = list(zip(*found, strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "window", "other", "score"])
 
@@ -326,7 +327,8 @@ def mine(
     everything = F.struct(*[F.lit(x).cast("long").alias(name) for name, x in bounds.items()])
     asked = anchors.withColumn("windows", F.array(everything))
     best = _searched(asked, blocks, tree, space, groups, positives, same=True)
-    pairs = best.select("id", F.col("rank").cast("long").alias("window"), F.col("other").alias("positive"), F.col("score").alias("positive_score"))
+    window_ = F.col("rank").cast("long").alias("window")
+    pairs = best.select("id", window_, F.col("other").alias("positive"), F.col("score").alias("positive_score"))
     # Bounds as whole numbers: the first from window[0] % of the score and the last up to window[1] %.
     low = -F.expr(f"(-{window[0]} * positive_score - pmod(-{window[0]} * positive_score, 100)) div 100")
     high = F.expr(f"({window[1]} * positive_score - pmod({window[1]} * positive_score, 100)) div 100")
