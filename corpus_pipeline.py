@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.decontamination import find_leaks
 from ledgerloom.llm.frames import table
 from ledgerloom.llm.language_id import UNKNOWN, held_out, identify, learn
-from ledgerloom.llm.near_copies import keep_one
+from ledgerloom.llm.near_copies import keep_one_of_both
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.substring_dedup import remove_repeated
 from ledgerloom.session import stage
@@ -40,8 +40,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near copies."""
-    return keep_one(docs)
+    """Keep the document with the smallest id of each group of near copies, by SimHash prints and by shared shingles."""
+    return keep_one_of_both(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

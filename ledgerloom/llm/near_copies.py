@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import simhash_dedup
 from ledgerloom.llm.frames import identified, join_totals, ready
 from ledgerloom.llm.graphs import components
 from ledgerloom.llm.simhash_dedup import first_of_groups
@@ -226,3 +227,23 @@ def keep_one(docs: DataFrame, turns: int = TURNS) -> DataFrame:
     """
     rows = identified(docs)
     return first_of_groups(rows, _grouped(rows, turns))
+
+
+def keep_one_of_both(docs: DataFrame) -> DataFrame:
+    """``keep_one`` with groups closed over links of SimHash prints, as ``simhash_dedup`` finds them, as well.
+
+    The prints weigh repeated shingles, which the sets do not; the sets find edits that
+    change more than two bits.
+    """
+    rows = identified(docs)
+    near = simhash_dedup._grouped(rows, simhash_dedup.CROWDED).select("order", "copy", F.col("group").alias("near"))
+    alike = stage(_grouped(rows, TURNS).select("order", "copy", "group"), "alike")
+    # Equal rows share order and copy, print and set; one of them tells.
+    pairs = near.dropDuplicates(["order", "copy"]).join(alike.dropDuplicates(["order", "copy"]), ["order", "copy"])
+    pairs = stage(pairs.select("near", "group").distinct(), "both")
+    # The groups that a group of prints meets are linked to the least of them.
+    least = pairs.groupBy("near").agg(F.min("group").alias("a"))
+    links = join_totals(pairs, least, "near").filter("a < group").select("a", F.col("group").alias("b"))
+    whole = components(stage(links, "both-links")).select(F.col("node").alias("group"), F.col("component").alias("whole"))
+    grouped = join_totals(alike, whole, "group", "left")
+    return first_of_groups(rows, grouped.select("order", "copy", F.coalesce("whole", "group").alias("group")))

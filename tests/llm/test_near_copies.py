@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from ledgerloom.llm import near_copies, simhash_dedup
-from ledgerloom.llm.near_copies import LIKENESS, buckets, keep_one, shingle_sets
+from ledgerloom.llm.near_copies import LIKENESS, buckets, keep_one, keep_one_of_both, shingle_sets
 from llm_helpers import ODD_TEXTS, words
 
 
@@ -75,3 +75,18 @@ def test_repeated_rows_and_no_rows(documents):
     docs = documents([(1, "same words here"), (1, "same words here"), (1, "other words here now"), (2, "same words here")])
     assert sorted(r["text"] for r in keep_one(docs).collect()) == ["other words here now", "same words here"]
     assert keep_one(documents([])).collect() == [] and not np.any([len(s) for s in shingle_sets([b"", b" "])])
+
+
+def test_prints_and_sets_close_groups_together(documents, prose):
+    # Prints weigh repeats, so 1 and 2 differ in their sets alone; 3 is an edit of 2 by few repeated words.
+    repeated = "one two three " * 400
+    tails = [prose(k, 12) for k in (31, 32)]
+    rows = [(1, repeated + tails[0]), (2, repeated + tails[1]), (3, "one two three " * 3 + tails[1])]
+    rows += [(4, prose(33, 80)), (5, prose(34, 80))]
+    prints = {i: simhash_dedup.fingerprint(t.lower().encode().split()) for i, t in rows}
+    assert (prints[1] ^ prints[2]).bit_count() <= 2 < (prints[2] ^ prints[3]).bit_count()
+    assert not alike(shingles(rows[0][1]), shingles(rows[1][1])) and not alike(shingles(rows[0][1]), shingles(rows[2][1]))
+    assert alike(shingles(rows[1][1]), shingles(rows[2][1]))
+    assert kept_by_hand(rows) == {1, 2, 4, 5}
+    assert {r.doc_id for r in keep_one_of_both(documents(rows)).collect()} == {1, 4, 5}
+    assert keep_one_of_both(documents([*rows, *rows])).count() == 3

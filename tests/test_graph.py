@@ -371,3 +371,30 @@ def test_a_failed_check_keeps_the_old_graph(spark, small, tmp_path):
         write_graph(twice, path)
     assert read_graph(spark, path).nodes.count() == 25
     assert [p.name for p in tmp_path.iterdir()] == ["kept"] and vacuum(spark, path) == []
+
+
+def test_types_of_seeds_change_the_work_but_no_row(spark, monkeypatch):
+    """A graph whose edges lead where their types say; some ids have no node."""
+    pick = random.Random(5)
+    ids = {t: [f"{t}_{i}" for i in range(4)] for t in TYPES}
+    nodes = [(n, t, f"label {n}", "{}") for t in TYPES for n in ids[t][:3]]
+    edges = []
+    for k, (name, (source, target)) in enumerate(graph_build.EDGE_ENDS.items()):
+        edges += [(f"e{k}_{i}", pick.choice(ids[source]), pick.choice(ids[target]), name, "{}") for i in range(6)]
+    graph = Graph(spark.createDataFrame(nodes, NODE_SCHEMA), spark.createDataFrame(edges, EDGE_SCHEMA))
+    kinds = ["Payment", "Plant"]
+    seeds = graph.nodes.filter(graph.nodes.node_type.isin(kinds)).selectExpr("node_id AS seed_id")
+    chosen = seeds.withColumnRenamed("seed_id", "node_id")
+    for depth in (1, 2, 3):
+        for operator in (graph_query.subgraph_nodes, graph_query.subgraph_edges):
+            assert rows_of(operator(*graph, seeds, depth, types=kinds)) == rows_of(operator(*graph, seeds, depth))
+    for operator in (graph_query.incident_edges, graph_query.neighbors, graph_query.related_counts):
+        assert rows_of(operator(*graph, chosen, types=kinds)) == rows_of(operator(*graph, chosen))
+    read = graph_query._adjacency(graph.edges, types=["Payment"])
+    assert {r.node_id for r in read.collect()} <= set(ids["Payment"])
+
+
+def test_a_staged_graph_is_not_staged_again(spark, small, tmp_path, monkeypatch):
+    monkeypatch.setattr(graph_store, "stage", lambda *_, **__: pytest.fail("staged again"))
+    written = write_graph(small[2], str(tmp_path / "g"), staged=True)
+    assert rows_of(written.nodes) == rows_of(small[2].nodes) and rows_of(written.edges) == rows_of(small[2].edges)

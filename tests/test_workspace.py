@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom import session
 from ledgerloom.plans import registry
-from ledgerloom.plans.workspace import open_workspace
+from ledgerloom.plans.workspace import BAD_LINES, FILES, FILES_EACH, Workspace, open_workspace
+from ledgerloom.session import names
+from ledgerloom.sources import jsonl
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -68,3 +70,24 @@ def test_owners_release_their_own(spark):
     with pytest.raises(Exception):  # noqa: B017
         gone.count()
     session.release(spark, "one")
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no table folder")
+def test_lines_are_written_compressed_and_for_the_collection_asked_for_only(spark):
+    workspace = Workspace(spark, FOLDER)
+    for name in ("plants", "sales_order_items"):
+        path = workspace.jsonl(name)
+        source = jsonl.Source(spark, path, name, FILES)
+        assert source.files == FILES_EACH
+        assert all(n.endswith(".gz") for n in names(spark, path) if n.startswith("part-"))
+        assert source.first_line() not in [line for _, line in BAD_LINES.get(name, ())]
+        good = jsonl.read_collection(spark, path, name, FILES)
+        assert good.count() == workspace.tables[name].count()
+    assert names(spark, os.path.dirname(path)) == ["plants", "sales_order_items"]
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no table folder")
+def test_the_stored_graph_serves_as_the_graph(spark):
+    workspace = Workspace(spark, FOLDER)
+    stored = workspace.stored
+    assert workspace.graph.nodes is stored.nodes and workspace.graph.edges is stored.edges
