@@ -398,3 +398,46 @@ def test_a_staged_graph_is_not_staged_again(spark, small, tmp_path, monkeypatch)
     monkeypatch.setattr(graph_store, "stage", lambda *_, **__: pytest.fail("staged again"))
     written = write_graph(small[2], str(tmp_path / "g"), staged=True)
     assert rows_of(written.nodes) == rows_of(small[2].nodes) and rows_of(written.edges) == rows_of(small[2].edges)
+
+
+def test_columns_about_nodes_go_with_their_neighbours(spark, small):
+    graph = small[2]
+    about = spark.createDataFrame([("n01", 1.5), ("n01", 2.5), ("n02", None), ("nobody", 3.0)], "node_id string, days double")
+    found = graph_query.neighbors(*graph, about=about)
+    assert rows_of(found) == rows_of(graph_query.neighbors(*graph).join(about, "node_id", "left").select(found.columns))
+
+
+def test_dangling_ends_with_kept_absent_ids(small):
+    graph = small[2]
+    absent = graph_checks.absent_ends(*graph)
+    for ask in (graph_checks.dangling_counts, graph_checks.dangling_edges):
+        assert rows_of(ask(*graph, absent)) == rows_of(ask(*graph))
+
+
+def test_absent_ids_around_some_types(small):
+    nodes, edges = graph_query.around(*small[2], ["SalesOrder"])
+    assert {r[0] for r in nodes.select("node_type").distinct().collect()} == {"SalesOrder", "Customer", "SalesOrderItem"}
+    assert {r[0] for r in edges.select("edge_type").distinct().collect()} == {"CUSTOMER_PLACED_ORDER", "ORDER_HAS_ITEM"}
+
+
+def test_an_expected_size_spares_counting(spark, small, tmp_path):
+    written = write_graph(small[2], str(tmp_path / "g"), staged=True, expected=100)
+    assert rows_of(written.nodes) == rows_of(small[2].nodes) and rows_of(written.edges) == rows_of(small[2].edges)
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_links_are_the_edges_that_subgraphs_follow(spark, depth):
+    ids = {t: [f"{t}{i}" for i in range(3)] for t in TYPES}
+    pick = random.Random(depth)
+    nodes = [(i, t, i, "{}") for t, all_ids in ids.items() for i in all_ids]
+    edges = [
+        (f"{name}{i}", pick.choice(ids[ends[0]]), pick.choice(ids[ends[1]]), name, "{}")
+        for name, ends in graph_build.EDGE_ENDS.items()
+        for i in range(3)
+    ]
+    graph = Graph(spark.createDataFrame(nodes, NODE_SCHEMA), spark.createDataFrame(edges, EDGE_SCHEMA))
+    seeds = graph.nodes.filter("node_type = 'Payment'").selectExpr("node_id AS seed_id")
+    links = graph_query.links(graph.edges, ["Payment"], depth)
+    assert links.columns == ["edge_type", "source_id", "target_id"] and links.count() < len(edges)
+    found = graph_query.subgraph_nodes(graph.nodes, links, seeds, depth, types=["Payment"])
+    assert rows_of(found) == rows_of(graph_query.subgraph_nodes(*graph, seeds, depth))

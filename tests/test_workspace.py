@@ -6,7 +6,10 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
+from helpers import rows_of
+
 from ledgerloom import session
+from ledgerloom.operators import graph_build, graph_checks
 from ledgerloom.plans import registry
 from ledgerloom.plans.workspace import BAD_LINES, FILES, FILES_EACH, Workspace, open_workspace
 from ledgerloom.session import names
@@ -91,3 +94,22 @@ def test_the_stored_graph_serves_as_the_graph(spark):
     workspace = Workspace(spark, FOLDER)
     stored = workspace.stored
     assert workspace.graph.nodes is stored.nodes and workspace.graph.edges is stored.edges
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no table folder")
+def test_queries_on_the_graph_write_no_graph(spark):
+    workspace = Workspace(spark, FOLDER)
+    root = os.path.join(session.staging_dir(spark), f"ledgerloom-{spark.sparkContext.applicationId}", workspace.owner)
+    assert registry.REGISTRY["node_edges"](workspace).count() == 2 * workspace.graph.edges.count()
+    registry.REGISTRY["path_payment_to_customer"](workspace).count()
+    assert {n.partition("-")[0] for n in names(spark, root)} == {"lines", "billed", "delivered"}
+    registry.REGISTRY["graph_sink"](workspace).count()
+    assert {n.partition("-")[0] for n in names(spark, root)} == {"lines", "billed", "delivered", "sink"}
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no table folder")
+def test_a_graph_with_repeating_rows_is_the_same_graph(spark):
+    workspace = Workspace(spark, FOLDER)
+    for several, once in zip(graph_build.repeating(workspace.tables), workspace.graph, strict=True):
+        assert rows_of(several.distinct()) == rows_of(once)
+    assert rows_of(workspace.absent) == rows_of(graph_checks.absent_ends(*workspace.graph))
