@@ -4,6 +4,7 @@ import random
 
 import pytest
 from helpers import rows_of
+from pyspark.sql import functions as F
 
 from ledgerloom.operators import graph_build, graph_checks, graph_query
 from ledgerloom.sources import graph_store
@@ -441,3 +442,46 @@ def test_links_are_the_edges_that_subgraphs_follow(spark, depth):
     assert links.columns == ["edge_type", "source_id", "target_id"] and links.count() < len(edges)
     found = graph_query.subgraph_nodes(graph.nodes, links, seeds, depth, types=["Payment"])
     assert rows_of(found) == rows_of(graph_query.subgraph_nodes(*graph, seeds, depth))
+
+
+def _plan(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edges_of_deep_subgraphs_by_types_are_those_without(spark, messy_flow):
+    _, tables = messy_flow
+    graph = graph_build.build_nodes(tables), graph_build.build_edges(tables)
+    for kind in ("Payment", "Plant", "SalesOrder"):
+        seeds = graph[0].filter(F.col("node_type") == kind).select(F.col("node_id").alias("seed_id"))
+        for depth in (2, 3):
+            found = graph_query.subgraph_edges(*graph, seeds, depth, types=[kind])
+            assert rows_of(found) == rows_of(graph_query.subgraph_edges(*graph, seeds, depth))
+
+
+def test_neighborhoods_of_all_nodes_by_single_links(spark, messy_flow):
+    _, tables = messy_flow
+    nodes, links = graph_build.build_nodes(tables), graph_build.build_links(tables)
+    found = graph_query.subgraph_nodes(nodes, links, None, 1, single=True)
+    assert rows_of(found) == rows_of(graph_query.subgraph_nodes(nodes, graph_build.build_edges(tables), None, 1))
+
+
+def test_loops_repeated_edges_and_repeated_nodes(spark):
+    labels = [("a", "one"), ("a", "two"), ("b", "b"), (None, "none")]
+    ends = [("a", "b"), ("b", "a"), ("a", "b"), ("a", "a"), ("b", None), ("b", "ghost")]
+    nodes = spark.createDataFrame([(node, "Plant", label, "{}") for node, label in labels], NODE_SCHEMA)
+    edges = [(f"e{i}", source, target, "ORDER_HAS_ITEM", "{}") for i, (source, target) in enumerate(ends)]
+    edges = spark.createDataFrame(edges, EDGE_SCHEMA)
+    found = graph_query.subgraph_nodes(nodes, edges, None, 1).select("seed_id", "node_id", "label")
+    want = [("a", "a", "one"), ("a", "a", "two"), ("a", "b", "b"), ("b", "a", "one"), ("b", "a", "two"), ("b", "b", "b")]
+    assert sorted(map(tuple, found.collect())) == want
+
+
+def test_overview_passes_each_row_on_once(spark, messy_flow):
+    _, tables = messy_flow
+    rows, edges = graph_build.build_nodes(tables), graph_build.build_edges(tables)
+    # The rows of a type are counted before they are expanded to the totals.
+    plan = _plan(graph_query.overview(rows, edges))
+    first, second = plan.index("Expand"), plan.rindex("Expand")
+    assert all("partial_count" in part for part in (plan[first:second], plan[second:])) and "partial_sum" in plan[:first]
+    counted = {(r.kind, r.type): r["count"] for r in graph_query.overview(rows, edges).collect()}
+    assert counted["node", "TOTAL"] == rows.count()

@@ -11,9 +11,10 @@ from helpers import rows_of
 from ledgerloom import session
 from ledgerloom.operators import graph_build, graph_checks
 from ledgerloom.plans import registry
-from ledgerloom.plans.workspace import BAD_LINES, FILES, FILES_EACH, Workspace, open_workspace
+from ledgerloom.plans.workspace import BAD_LINES, FILES, FILES_EACH, TABLES, Workspace, open_workspace
 from ledgerloom.session import names
-from ledgerloom.sources import jsonl
+from ledgerloom.sources import jsonl, tpch
+from ledgerloom.sources.catalog import Collections
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -38,6 +39,12 @@ def test_a_changed_table_gives_a_new_answer(spark, tmp_path):
     assert not os.path.exists(staged)
 
 
+def test_shuffles_start_with_partitions_that_are_sorted_in_memory():
+    # 0.7 GB of files were 12 partitions, each of which took 0.6 GB of memory to sort.
+    assert session.shuffle_partitions(700 << 20, 12) >= 40
+    assert session.shuffle_partitions(0, 12) == 12
+
+
 def test_settings_and_sizing(spark):
     name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
     try:
@@ -113,3 +120,43 @@ def test_a_graph_with_repeating_rows_is_the_same_graph(spark):
     for several, once in zip(graph_build.repeating(workspace.tables), workspace.graph, strict=True):
         assert rows_of(several.distinct()) == rows_of(once)
     assert rows_of(workspace.absent) == rows_of(graph_checks.absent_ends(*workspace.graph))
+
+
+@pytest.fixture
+def odd_orders(spark, tmp_path):
+    """A folder of the tables whose orders and lines hold every row twice, and some without a key."""
+    folder = str(tmp_path / "odd")
+    for name in TABLES:
+        rows = spark.read.parquet(f"{FOLDER}/{name}.parquet")
+        if name in ("lineitem", "orders"):
+            key = "l_orderkey" if name == "lineitem" else "o_orderkey"
+            rows = rows.filter(F.col(key) < 200).withColumn(key, F.when(F.col(key) % 7 != 0, F.col(key)))
+            rows = rows.unionByName(rows)
+        rows.write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no table folder")
+def test_known_keys_make_rows_distinct_without_a_shuffle(spark, odd_orders):
+    tables = Workspace(spark, odd_orders).tables
+    plain = Collections(spark, {name: tables[name] for name in tables})
+    assert tables.keyed("sales_order_items", "billing_document_items") and not plain.keyed("sales_order_items")
+    assert not tables.keyed("sales_order_headers")
+    for build in (graph_build.build_nodes, graph_build.build_edges, graph_build.billed_for):
+        assert rows_of(build(tables)) == rows_of(build(plain))
+    for rows in (graph_build.nodes_of_type(tables, "SalesOrderItem"), graph_build.edges_of_type(tables, "ORDER_HAS_ITEM")):
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    ends = graph_build.build_edges(plain).select("edge_type", "source_id", "target_id").dropna().distinct()
+    assert rows_of(graph_build.build_links(tables)) == rows_of(ends)
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no table folder")
+def test_items_cut_to_six_characters_are_no_known_keys(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tpch, "ITEM_WIDTH", 2)  # 99 and fewer: ten lines of an order are too many
+    folder = str(tmp_path / "long")
+    for name in TABLES:
+        rows = spark.read.parquet(f"{FOLDER}/{name}.parquet")
+        if name == "lineitem":
+            rows = rows.withColumn("l_orderkey", F.col("l_orderkey") % 10)
+        rows.write.parquet(f"{folder}/{name}.parquet")
+    assert not tpch.order_to_cash(spark, folder).keyed("sales_order_items")
