@@ -236,8 +236,7 @@ def answer(
     """
     routed = stage(route(prompts), "routed")
     asked = _asked_documents(routed)
-    sizes = Trace(tables, asked).summary()
-    facts = trace_facts(tables, asked).join(sizes, DOCUMENT).withColumnRenamed(DOCUMENT, "traced")
+    facts = trace_facts(tables, asked, sizes=True).withColumnRenamed(DOCUMENT, "traced")
     # Prompts that ask for no document would all share one key; a number made
     # from the row spreads them. Document ids are digits, so nothing meets it.
     spread = F.concat(F.lit("none-"), F.xxhash64(*prompts.columns).cast("string"))

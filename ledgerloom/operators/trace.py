@@ -285,11 +285,7 @@ class Trace:
 
     def summary(self) -> DataFrame:
         """Number of nodes and edges per document."""
-        return self.counts(KINDS).select(
-            DOCUMENT,
-            reduce(Column.__add__, [F.col(kind) for kind in NODE_KINDS]).alias("nodes"),
-            reduce(Column.__add__, [F.col(kind) for kind in EDGE_KINDS]).alias("edges"),
-        )
+        return self.counts(KINDS).select(DOCUMENT, *_sizes())
 
 
 # Facts a billing item gives by itself, and with the delivery item it refers to:
@@ -331,6 +327,12 @@ EDGE_KINDS = (
 KINDS = tuple(dict.fromkeys(NODE_KINDS + EDGE_KINDS))
 
 
+def _sizes() -> list[Column]:
+    """Number of nodes and edges, from the counts of all kinds."""
+    kinds = {"nodes": NODE_KINDS, "edges": EDGE_KINDS}
+    return [reduce(Column.__add__, [F.col(kind) for kind in kinds[name]]).alias(name) for name in kinds]
+
+
 def _edge(edge_type: str, edge_id: Column, source: Column, target: Column) -> Column:
     return F.struct(
         edge_id.alias("edge_id"),
@@ -395,10 +397,14 @@ def _first_spelling(rows: DataFrame, key: list[str], item: str) -> DataFrame:
     return first.select(*key, F.col("first").getField(item).alias(item))
 
 
-def trace_facts(tables: Collections, ids: DataFrame | None = None) -> DataFrame:
-    """What a written answer needs: the customer and the node counts per document."""
+def trace_facts(tables: Collections, ids: DataFrame | None = None, sizes: bool = False) -> DataFrame:
+    """What a written answer needs: the customer and the node counts per document.
+
+    With ``sizes`` also what :meth:`Trace.summary` has, ``nodes`` and ``edges``, from the same pass.
+    """
     trace = Trace(tables, ids)
     counted = ("billing_items", "delivery_items", "sales_order_items", "journal_entries")
     customers = trace.customers.select(DOCUMENT, F.col("soldtoparty").alias("customer"))
-    found = trace.counts(("documents", *counted))
-    return found.join(customers, DOCUMENT, "left").select(DOCUMENT, "customer", *counted)
+    found = trace.counts(KINDS if sizes else ("documents", *counted))
+    more = _sizes() if sizes else []
+    return found.join(customers, DOCUMENT, "left").select(DOCUMENT, "customer", *counted, *more)

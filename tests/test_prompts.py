@@ -3,6 +3,7 @@ import json
 import pytest
 
 from ledgerloom.operators import flows, prompts
+from ledgerloom.operators.trace import Trace
 
 # prompt, intent, needs clarification
 CASES = [
@@ -130,3 +131,13 @@ def test_no_products(spark, make_tables):
     assert got["top_products"]["cited_ids"] == [] and got["broken_flows"]["cited_ids"] == []
     assert got["broken_flows"]["answer_text"].startswith("Found 0 broken flows")
     assert flows.SAMPLE_SIZE == 20
+
+
+def test_answers_take_facts_and_sizes_of_traces_in_one_pass(spark, tables, monkeypatch):
+    passes, links = [], Trace.links
+    monkeypatch.setattr(Trace, "links", lambda trace, kinds: passes.append(kinds) or links(trace, kinds))
+    asked = spark.createDataFrame([("p", "Trace billing document 91150175")], "prompt_id string, prompt string")
+    answered = prompts.answer(asked, tables).first()
+    assert len(passes) == 1
+    sizes = Trace(tables).summary().filter("billing_document_id = '91150175'").first()
+    assert json.loads(answered.cited_data_summary) == {"nodes": sizes.nodes, "edges": sizes.edges}
