@@ -171,16 +171,41 @@ def _groups(links: DataFrame) -> DataFrame:
     return components(links).select(F.col("node").alias("print"), F.col("component").alias("group"))
 
 
+def _near_links(prints: DataFrame, near: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` between prints of sets whose texts have equal or linked SimHash prints.
+
+    The least print of a set stands for each SimHash print, so there are as many links as
+    different pairs of both prints, and as SimHash prints have links.
+    """
+    close = simhash_dedup.links(near)
+    # Equal rows share order and copy, and both prints; one of them tells.
+    key = ["order", "copy"]
+    near = near.select(*key, F.col("print").alias("near")).dropDuplicates(key)
+    told = stage(near.join(prints.select(*key, "print").dropDuplicates(key), key).select("near", "print").distinct(), "told")
+    least = stage(told.groupBy("near").agg(F.min("print").alias("least")), "least")
+    equal = join_totals(told, least, "near").filter("least < print").select(F.col("least").alias("a"), F.col("print").alias("b"))
+    for end in ("a", "b"):
+        close = join_totals(close, least.toDF(end, f"least_{end}"), end)
+    return stage(equal.unionByName(close.select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))), "near-links")
+
+
 def _apart(placed: DataFrame, known: DataFrame) -> DataFrame:
-    """The rows of buckets that hold more than one group, with their ``group``."""
+    """The rows of buckets that hold more than one group, with their ``group``.
+
+    Texts that have led a bucket are not among ``placed`` there: they were compared with all
+    of it, so that what is still to be compared is between the others.
+    """
     told = join_totals(placed, known, "print", "left").withColumn("group", F.coalesce("group", "print"))
     told = stage(told, "told")
     split = told.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high")
     return stage(join_totals(told, split.select("bucket"), "bucket"), "apart")
 
 
-def _grouped(rows: DataFrame, turns: int) -> DataFrame:
-    """``order``, ``copy``, ``print`` and the group (any print of it) of each row."""
+def _grouped(rows: DataFrame, turns: int, near: DataFrame | None = None) -> DataFrame:
+    """``order``, ``copy``, ``print`` and the group (any print of it) of each row.
+
+    Rows may have SimHash prints ``near(order, copy, print)``; links of these then close groups as well.
+    """
     ready(rows.sparkSession)
     schema = "order long, copy long, print long, size long, buckets array<long>"
     prints = stage(rows.mapInArrow(_prints, schema), "prints")
@@ -193,24 +218,28 @@ def _grouped(rows: DataFrame, turns: int) -> DataFrame:
 
     # In every turn the next most central text of each bucket meets the groups that it isn't in.
     links = rows.sparkSession.createDataFrame([], "a long, b long")
+    known = rows.sparkSession.createDataFrame([], "print long, group long")
     apart = apart.withColumn("group", F.col("print"))
     for turn in range(turns):
         rank = F.struct("weight", "print")
-        lead = apart.filter("weight > 0").groupBy("bucket").agg(F.max_by(F.struct("print", "size", "group"), rank).alias("lead"))
+        lead = apart.groupBy("bucket").agg(F.max_by(F.struct("print", "size", "group"), rank).alias("lead"))
         met = join_totals(apart, lead, "bucket")
         asked = met.filter((F.col("group") != F.col("lead.group")) & _close("size", "lead.size"))
         asked = asked.select(F.least("print", "lead.print").alias("a"), F.greatest("print", "lead.print").alias("b"))
         found = _links(rows, prints, asked, f"led-{turn}")
-        if found.isEmpty():
+        last = found.isEmpty()
+        # A text that has led its bucket is done there.
+        rest = join_totals(apart.drop("group"), lead, "bucket").filter(F.col("print") != F.col("lead.print")).drop("lead")
+        if not last:
+            links = links.unionByName(found)
+            known = _groups(links)
+        apart = _apart(rest, known)
+        if last:
             break
-        links = links.unionByName(found)
-        # A text that has led its bucket has no weight there any more.
-        led = F.when(F.col("print") == F.col("lead.print"), 0).otherwise(F.col("weight"))
-        rest = join_totals(apart.drop("group"), lead, "bucket", "left").withColumn("weight", led).drop("lead")
-        apart = _apart(rest, _groups(links))
 
     links = links.unionByName(_links(rows, prints, _across(rows, prints, apart), "across"))
-
+    if near is not None:
+        links = links.unionByName(_near_links(prints, near))
     all_ = prints.select("print").distinct().join(_groups(links), "print", "left")
     all_ = all_.select("print", F.coalesce("group", "print").alias("group"))
     return join_totals(prints.select("order", "copy", "print"), all_, "print")
@@ -236,14 +265,4 @@ def keep_one_of_both(docs: DataFrame) -> DataFrame:
     change more than two bits.
     """
     rows = identified(docs)
-    near = simhash_dedup._grouped(rows, simhash_dedup.CROWDED).select("order", "copy", F.col("group").alias("near"))
-    alike = stage(_grouped(rows, TURNS).select("order", "copy", "group"), "alike")
-    # Equal rows share order and copy, print and set; one of them tells.
-    pairs = near.dropDuplicates(["order", "copy"]).join(alike.dropDuplicates(["order", "copy"]), ["order", "copy"])
-    pairs = stage(pairs.select("near", "group").distinct(), "both")
-    # The groups that a group of prints meets are linked to the least of them.
-    least = pairs.groupBy("near").agg(F.min("group").alias("a"))
-    links = join_totals(pairs, least, "near").filter("a < group").select("a", F.col("group").alias("b"))
-    whole = components(stage(links, "both-links")).select(F.col("node").alias("group"), F.col("component").alias("whole"))
-    grouped = join_totals(alike, whole, "group", "left")
-    return first_of_groups(rows, grouped.select("order", "copy", F.coalesce("whole", "group").alias("group")))
+    return first_of_groups(rows, _grouped(rows, TURNS, simhash_dedup.fingerprints_of(rows)))

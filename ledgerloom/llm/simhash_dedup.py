@@ -146,10 +146,15 @@ def links(fingerprints: DataFrame, crowded: int = CROWDED) -> DataFrame:
     return found.distinct()
 
 
+def fingerprints_of(rows: DataFrame) -> DataFrame:
+    """``order``, ``copy`` and ``print`` of each row, staged."""
+    ready(rows.sparkSession)
+    return stage(rows.mapInArrow(_fingerprints, "order long, copy long, print long"), "fingerprints")
+
+
 def _grouped(rows: DataFrame, crowded: int) -> DataFrame:
     """``order``, ``copy``, ``print`` and the group (any print of it) of each row."""
-    ready(rows.sparkSession)
-    prints = stage(rows.mapInArrow(_fingerprints, "order long, copy long, print long"), "fingerprints")
+    prints = fingerprints_of(rows)
     joined = components(links(prints, crowded)).select(F.col("node").alias("print"), F.col("component").alias("group"))
     groups = prints.select("print").distinct().join(joined, "print", "left")
     return join_totals(prints, groups.select("print", F.coalesce("group", "print").alias("group")), "print")

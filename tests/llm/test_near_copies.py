@@ -90,3 +90,24 @@ def test_prints_and_sets_close_groups_together(documents, prose):
     assert kept_by_hand(rows) == {1, 2, 4, 5}
     assert {r.doc_id for r in keep_one_of_both(documents(rows)).collect()} == {1, 4, 5}
     assert keep_one_of_both(documents([*rows, *rows])).count() == 3
+
+
+def test_what_has_led_its_bucket_is_not_compared_again(documents, prose, monkeypatch):
+    """Texts that share a bucket but aren't alike: the first turn compares all pairs of two and three of them."""
+    pick = random.Random(12)
+    rows = [(10 * k + i, edited(prose(70 + k, 120), pick, 9 * i)) for k in range(30) for i in range(2)]
+    apart, across = [], near_copies._across
+    monkeypatch.setattr(near_copies, "_across", lambda r, p, rest: apart.append(rest.count()) or across(r, p, rest))
+    kept = {r["doc_id"] for r in keep_one(documents(rows)).collect()}
+    assert kept == kept_by_hand(rows) and apart == [0]
+
+
+def test_links_of_prints_and_sets_need_no_groups_of_their_own(documents, prose, monkeypatch):
+    """Groups are closed once over the links of both; with nothing alike by sets, in one run."""
+    runs, closed = [], near_copies.components
+    monkeypatch.setattr(near_copies, "components", lambda links: runs.append(1) or closed(links))
+    monkeypatch.setattr(simhash_dedup, "components", None)
+    rows = [(k, prose(200 + k, 60)) for k in range(6)] + [(10, "one two three " * 400 + "tail"), (11, "one two three " * 300)]
+    prints = [simhash_dedup.fingerprint(t.lower().encode().split()) for _, t in rows[-2:]]
+    assert (prints[0] ^ prints[1]).bit_count() <= 2
+    assert {r.doc_id for r in keep_one_of_both(documents(rows)).collect()} == {*range(6), 10} and len(runs) == 1
