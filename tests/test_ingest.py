@@ -1,5 +1,6 @@
 import json
 import os
+import threading
 
 import pytest
 from helpers import rows_of
@@ -189,3 +190,51 @@ def test_an_item_without_members_is_a_row(spark, tmp_path):
     write(tmp_path / "sales_order_items" / "part-1.jsonl", {"salesOrder": "1"}, "{}")
     source = jsonl.Source(spark, str(tmp_path / "sales_order_items"), "sales_order_items")
     assert jsonl.load_stats(jsonl.scan(source), "x").first()["inserted"] == 2
+
+
+def test_a_line_is_parsed_once_unless_its_keys_are_others(spark, tmp_path):
+    write(
+        tmp_path / "plants" / "plants.jsonl",
+        {"plant": "p1", "plant Name": "a", "n": 1, "t": {"x": [1]}},
+        {"plant": "p2", "plant Name": None, "n": 2, "t": "y"},
+        {"plant Name": "c", "plant": "p3", "t": 1.5, "n": 3},  # in another order
+        {"plant": "p4", "n": 4},  # not all of them
+        '{"plant": "p5", "plant": "p6", "plant Name": "d", "n": 5, "t": null}',  # the last one counts
+        '{"plant": "p7", "plant Name": "e", "n": 6, "t": null, "n": 7}',
+        {"plant": "p8", "Plant-Name": "f", "n": 8, "t": None},  # known, but of another spelling
+        {"plant": "p9", "plant Name": "g", "n": "many", "t": None},
+        {"plant": "p10", "plant Name": "h", "n": 9, "u": None},
+        '{"plant": "p11", "plant Name": "i", "n": 9, "t": null} {}',
+    )
+    source = jsonl.Source(spark, str(tmp_path / "plants"), "plants")
+    records = jsonl.scan(source)
+    assert rows_of(records.filter("not _rejected").drop("_rejected")) == sorted(
+        [
+            ("p1", "a", 1, '{"x":[1]}'),
+            ("p2", None, 2, "y"),
+            ("p3", "c", 3, "1.5"),
+            ("p4", None, 4, None),
+            ("p6", "d", 5, None),
+            ("p7", "e", 7, None),
+            ("p8", None, 8, None),
+        ],
+        key=repr,
+    )
+    assert {json.loads(line)["plant"] if "{}" not in line else "p11": reason for _, _, line, reason in jsonl.rejected_lines(source).collect()} == {
+        "p9": "wrong value: n", "p10": "unknown key: u", "p11": "not one JSON object",
+    }
+    plan = records._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(ArrayType") == 1
+
+
+def test_collections_are_loaded_side_by_side(spark, root, tmp_path, monkeypatch):
+    # One after the other, the four tasks of a collection left the other cores idle.
+    both, scan = threading.Barrier(2, timeout=60), jsonl.scan
+
+    def scan_at_once(source):
+        both.wait()
+        return scan(source)
+
+    monkeypatch.setattr(jsonl, "scan", scan_at_once)
+    report = ingest.ingest(spark, str(root), str(tmp_path / "out"), ["plants", "sales_order_items"])
+    assert [tuple(r) for r in report.collect()] == [("plants", 2, 0, 1), ("sales_order_items", 3, 6, 2)]
