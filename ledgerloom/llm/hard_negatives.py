@@ -38,8 +38,8 @@ FANOUT, DEPTH, LEAF = 16, 3, 256
 SAMPLE = 16_384
 # The share of the leaves that an anchor visits first.
 FIRST = 1 / 16
-# Rows and anchors that meet at once.
-ROWS, ANCHORS = 256, 64
+# Rows and anchors that meet at once, and the buckets of adjacent leaves that anchors are sent to.
+ROWS, ANCHORS, BUCKETS = 256, 64, 128
 SEED = 42
 LOWEST, HIGHEST = -(1 << 62), 1 << 62
 
@@ -66,6 +66,11 @@ class Tree(NamedTuple):
             node = node_ * self.points[0].shape[1] + child
         return node
 
+    @property
+    def width(self) -> int:
+        """How many adjacent leaves make a bucket."""
+        return max(1, len(self.points[-1]) * self.points[-1].shape[1] // BUCKETS)
+
     def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Least and greatest distances of each of ``q`` to the rows of each leaf, and those to its split point."""
         least, most = np.zeros((len(q), 1)), np.full((len(q), 1), np.inf)
@@ -82,6 +87,14 @@ class Tree(NamedTuple):
         return least, most, distances
 
 
+def _nearest(rows: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Which of a node's split points each row is next to; a few rows at a time, as all differences take much memory."""
+    near = np.zeros(len(rows), np.int64)
+    for at in range(0, len(rows), ROWS):
+        near[at : at + ROWS] = np.linalg.norm(rows[at : at + ROWS, None] - points, axis=2).argmin(1)
+    return near
+
+
 def _grow(sample: np.ndarray, depth: int) -> list[np.ndarray]:
     """Split points of all nodes: at each the ones of a few random rows that are farthest apart."""
     pick, levels = np.random.default_rng(SEED), []
@@ -96,9 +109,7 @@ def _grow(sample: np.ndarray, depth: int) -> list[np.ndarray]:
                     level[node, k] = some[at]
                     apart = np.minimum(apart, np.linalg.norm(some - some[at], axis=1))
                     at = int(apart.argmax())
-            nearest = (
-                np.linalg.norm(part[:, None] - level[node], axis=2).argmin(1) if len(part) else np.zeros(0, np.int64)
-            )
+            nearest = _nearest(part, level[node])
             below += [part[nearest == k] for k in range(FANOUT)]
         levels.append(level)
         parts = below
@@ -206,7 +217,11 @@ _ASKED = "id long, label long, vector binary, windows array<struct<window: long,
 
 
 def _visits(asked: DataFrame, tree: Tree, space: _Space, first: bool) -> DataFrame:
-    """Anchors with each ``leaf`` next to them, or (not ``first``) each other leaf that may hold what a window still lacks."""
+    """Anchors with the ``leaves`` next to them, or (not ``first``) all others that may hold what a window still lacks, by ``bucket``.
+
+    Of a large tree an anchor visits many leaves, so it is sent once to each bucket of them.
+    """
+    width = tree.width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,11 +241,15 @@ def _visits(asked: DataFrame, tree: Tree, space: _Space, first: bool) -> DataFra
                         left[k] |= (least[k] <= outer + space.slack) & (most[k] >= inner - space.slack)
                 left &= ~near
             i, leaf = np.nonzero(left)
+            bucket = leaf // width
+            begins = np.flatnonzero(np.r_[True, (np.diff(i) != 0) | (np.diff(bucket) != 0)][: len(i)])
+            leaves = pa.ListArray.from_arrays(pa.array(np.r_[begins, len(i)], pa.int32()), pa.array(leaf))
+            each = [c.take(pa.array(i[begins])) for c in batch.columns]
             yield pa.RecordBatch.from_arrays(
-                [*(c.take(pa.array(i)) for c in batch.columns), pa.array(leaf)], [*batch.schema.names, "leaf"]
+                [*each, pa.array(bucket[begins]), leaves], [*batch.schema.names, "bucket", "leaves"]
             )
 
-    return asked.mapInArrow(run, f"{_ASKED}, leaf long")
+    return asked.mapInArrow(run, f"{_ASKED}, bucket long, leaves array<long>")
 
 
 def _met(visits: DataFrame, blocks: DataFrame, groups: int, space: _Space, most: int, same: bool) -> DataFrame:
@@ -240,6 +259,12 @@ def _met(visits: DataFrame, blocks: DataFrame, groups: int, space: _Space, most:
         for batch in batches:
             for k in range(batch.num_rows):
                 asked, rows = batch.column("asked")[k].values, batch.column("rows")[k].values
+                lists = asked.field("leaves")
+                whose = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+                here = whose[lists.flatten().to_numpy() == batch.column("leaf")[k].as_py()]
+                if not len(here):
+                    continue
+                asked = asked.take(pa.array(here))
                 ids, labels = rows.field("id").to_numpy(), rows.field("label").to_numpy()
                 anchors, own = asked.field("id").to_numpy(), asked.field("label").to_numpy()
                 scores = space.numbers(asked.field("vector")) @ space.numbers(rows.field("vector")).T
@@ -256,10 +281,11 @@ def _met(visits: DataFrame, blocks: DataFrame, groups: int, space: _Space, most:
                 columns = list(zip(*found, strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "window", "other", "score"])
 
-    asked = F.collect_list(F.struct("id", "label", "vector", "windows")).alias("asked")
+    asked = F.collect_list(F.struct("id", "label", "vector", "windows", "leaves")).alias("asked")
     group = F.pmod(F.xxhash64("id"), F.lit(groups)).alias("group")
-    together = visits.groupBy("leaf", group).agg(asked).join(blocks, "leaf")
-    return together.select("asked", "rows").mapInArrow(run, "id long, window long, other long, score long")
+    # The planner takes visits for as few as the anchors, and would send them all to the driver.
+    together = visits.groupBy("bucket", group).agg(asked).join(blocks.hint("merge"), "bucket")
+    return together.select("asked", "leaf", "rows").mapInArrow(run, "id long, window long, other long, score long")
 
 
 def _first_ones(found: DataFrame, most: int) -> DataFrame:
@@ -319,7 +345,8 @@ def mine(
     sizes = placed.groupBy("leaf").agg(F.ceil(F.count("*") / ROWS).alias("blocks"))
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")
     blocks = join_totals(placed, sizes, "leaf").groupBy("leaf", block)
-    blocks = stage(blocks.agg(F.collect_list(F.struct("id", "label", "vector")).alias("rows")).select("leaf", "rows"), "blocks")
+    blocks = blocks.agg(F.collect_list(F.struct("id", "label", "vector")).alias("rows"))
+    blocks = stage(blocks.select(F.expr(f"leaf div {tree.width}").alias("bucket"), "leaf", "rows"), "blocks")
     anchors = stored.filter("anchor").select("id", "label", "vector")
     groups = max(1, math.ceil(anchors.count() / ANCHORS))
 

@@ -1,3 +1,6 @@
+import re
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -51,6 +54,33 @@ def test_against_all_scores(spark, monkeypatch):
     assert run(spark, rows) == by_hand(rows)
 
 
+def test_visits_are_not_sent_to_the_driver(spark, monkeypatch):
+    # Taken for as few as the anchors, all visits of the anchors were broadcast.
+    pick = np.random.default_rng(3)
+    rows = made(pick, 900, 6)
+    plans, first_ones = [], hard_negatives._first_ones
+
+    def seen(found, most):
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return first_ones(found, most)
+
+    monkeypatch.setattr(hard_negatives, "_first_ones", seen)
+    monkeypatch.setattr(hard_negatives, "LEAF", 4)
+    monkeypatch.setattr(hard_negatives, "BUCKETS", 4, raising=False)
+    assert run(spark, rows) == by_hand(rows)
+    assert len(plans) == 4 and not any(re.search(r"BroadcastHashJoin \[(leaf|bucket)#", plan) for plan in plans)
+
+
+def test_a_tree_grows_in_little_memory():
+    # All differences between the sample and the split points at once took 270 MB of the driver.
+    sample = np.random.default_rng(4).normal(size=(hard_negatives.SAMPLE, 65))
+    tracemalloc.start()
+    hard_negatives._grow(sample, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6
+
+
 def test_subtrees_are_eliminated(spark):
     pick = np.random.default_rng(2)
     x = pick.normal(size=(3000, 3))
