@@ -2,6 +2,7 @@
 
 import os
 import shutil
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from helpers import rows_of
 from ledgerloom import session
 from ledgerloom.operators import graph_build, graph_checks
 from ledgerloom.plans import registry
-from ledgerloom.plans.workspace import BAD_LINES, FILES, FILES_EACH, TABLES, Workspace, open_workspace
+from ledgerloom.plans.workspace import BAD_LINES, FILES, FILES_EACH, TABLES, Workspace, _dealt, open_workspace
 from ledgerloom.session import names
 from ledgerloom.sources import jsonl, tpch
 from ledgerloom.sources.catalog import Collections
@@ -160,3 +161,51 @@ def test_items_cut_to_six_characters_are_no_known_keys(spark, tmp_path, monkeypa
             rows = rows.withColumn("l_orderkey", F.col("l_orderkey") % 10)
         rows.write.parquet(f"{folder}/{name}.parquet")
     assert not tpch.order_to_cash(spark, folder).keyed("sales_order_items")
+
+
+def _shuffle_files(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    return {name for name in str(blocks.mkString(" ")).split() if name.startswith("shuffle_")}
+
+
+def _left_behind(spark, before):
+    """Shuffle files that are more than ``before``; they go soon, but not at once."""
+    end = time.time() + 10
+    while (left := _shuffle_files(spark) - before) and time.time() < end:
+        time.sleep(0.2)
+    return left
+
+
+def test_staging_leaves_no_shuffle_files(spark):
+    # The shuffle of the numbered lines, larger than the tables, lay beside all that came after.
+    before = _shuffle_files(spark)
+    rows = session.stage(spark.range(5000).groupBy(F.col("id") % 7).count(), "grouped", owner="freed")
+    assert not _left_behind(spark, before) and spark.conf.get(session.FREE_SHUFFLES) == "false"
+    assert len(rows.collect()) == 7
+    session.release(spark, "freed")
+
+
+def test_freed_shuffles_end_with_the_last_who_wanted_them(spark):
+    with session.freed_shuffles(spark):
+        with session.freed_shuffles(spark):
+            assert spark.conf.get(session.FREE_SHUFFLES) == "true"
+        assert spark.conf.get(session.FREE_SHUFFLES) == "true"
+    assert spark.conf.get(session.FREE_SHUFFLES) == "false"
+
+
+def test_types_are_dealt_to_parts_no_larger_than_the_largest():
+    assert _dealt({"a": 3, "b": 10, "c": 6, "d": 5, "e": 0}) == [["b"], ["c"], ["d", "a", "e"]]
+    assert _dealt({"a": 0, "b": 0}) == [["a", "b"]]
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no table folder")
+def test_the_stored_graph_is_written_part_by_part(spark, monkeypatch):
+    # Sorted in one go, the shuffles of all types lay on the disk at once.
+    workspace, ranges = Workspace(spark, FOLDER), []
+    deal = type(spark.range(1)).repartitionByRange
+    monkeypatch.setattr(type(spark.range(1)), "repartitionByRange", lambda rows, *a: ranges.append(a) or deal(rows, *a))
+    before = _shuffle_files(spark)
+    stored = workspace.write_graph("parts")
+    assert len(ranges) > 4 and not _left_behind(spark, before)
+    for written, built in zip(stored, workspace._built, strict=True):
+        assert rows_of(written) == rows_of(built)
