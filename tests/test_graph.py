@@ -485,3 +485,13 @@ def test_overview_passes_each_row_on_once(spark, messy_flow):
     assert all("partial_count" in part for part in (plan[first:second], plan[second:])) and "partial_sum" in plan[:first]
     counted = {(r.kind, r.type): r["count"] for r in graph_query.overview(rows, edges).collect()}
     assert counted["node", "TOTAL"] == rows.count()
+
+
+def test_single_links_are_counted_without_distinct_pairs(messy_flow):
+    tables = messy_flow[1]
+    nodes, edges, links = graph_build.build_nodes(tables), graph_build.build_edges(tables), graph_build.build_links(tables)
+    found = graph_query.related_counts(nodes, links, single=True)
+    assert rows_of(found) == rows_of(graph_query.related_counts(nodes, edges)) != []
+    absent = graph_checks.absent_ends(nodes, edges)
+    plans = [_plan(graph_query.related_counts(nodes, links, absent=absent, single=s)) for s in (True, False)]
+    assert plans[0].count("Exchange hashpartitioning") < plans[1].count("Exchange hashpartitioning")
